@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import decontamination, sharding
+from heliograph.llm import bpe, decontamination, html_extraction, language_id, lm_scoring, near_dedup, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
     "op3_decontamination": decontamination.query,
+    "op4_language_id": language_id.query,
+    "op5_token_counts": token_counts.query,
+    "op7_lm_scoring": lm_scoring.query,
+    "op8_near_dedup": near_dedup.query,
+    "op9_bpe": bpe.query,
+    "op10_html_extraction": html_extraction.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
