@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import bpe, decontamination, html_extraction, language_id, lm_scoring, near_dedup, sharding, token_counts
+from heliograph.llm import bpe, decontamination, html_extraction, language_id, lm_scoring, media_columns, near_dedup, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_sharding": sharding.query,
     "op3_decontamination": decontamination.query,
     "op4_language_id": language_id.query,
     "op5_token_counts": token_counts.query,
+    "op6_media_columns": media_columns.query,
     "op7_lm_scoring": lm_scoring.query,
     "op8_near_dedup": near_dedup.query,
     "op9_bpe": bpe.query,
