@@ -1,0 +1 @@
+"""Analytics over collections of time-series signals, as Spark plans."""
