@@ -97,8 +97,10 @@ def pairs_by_block(left: DataFrame, right: DataFrame | None = None, least: int =
     if right is None:
         rows = rows.where("i <= j AND NOT (i = j AND side = 1)")
 
+    alone = right is None  # the function below goes to the executors, DataFrames don't
+
     def correlate_blocks(t: pa.Table) -> pa.Table:
-        side, same = t["side"].to_numpy(), right is None and t["i"][0] == t["j"][0]
+        side, same = t["side"].to_numpy(), alone and t["i"][0] == t["j"][0]
         dates, values = t["dates"].combine_chunks(), t["values"].combine_chunks()
         if isinstance(dates, pa.ChunkedArray):
             dates, values = pa.concat_arrays(dates.chunks), pa.concat_arrays(values.chunks)
@@ -116,7 +118,7 @@ def pairs_by_block(left: DataFrame, right: DataFrame | None = None, least: int =
             n, corr = kernel(x[i], x_there[i], y[lo:], y_there[lo:], least, capital)
             for j in np.flatnonzero(n >= LEAST):
                 p, q = a_names[i], b_names[lo + j]
-                if right is None and q < p:
+                if alone and q < p:
                     p, q = q, p
                 out["a"].append(p)
                 out["b"].append(q)

@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Rounded, and without a negative zero, so that values compare across engines."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+def day(c: str = "date") -> Column:
+    """A date as text, which all engines hash alike."""
+    return F.date_format(c, "yyyy-MM-dd").alias(c)

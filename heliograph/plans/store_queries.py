@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.operators import filters, store, usage
-from heliograph.plans.registry import query, r6
+from heliograph.plans.registry import day, query, r6
 from heliograph.sources import tables as T
 
 _S = f"WITH {T.SIGNALS_SQL} "
@@ -26,16 +26,16 @@ def s3(spark, d):
     return T.signals(spark, d).where("region = 'EUROPE' AND kind = 'UNSUBMITTED'").select("id")
 
 
-@query("s4_series_of_ids", f"WITH {T.SERIES_SQL}, ids AS (SELECT s_suppkey + 5 AS key FROM supplier) SELECT ids.key, date, round(value, 2) + 0.0 AS value FROM ids LEFT JOIN series USING (key)")
+@query("s4_series_of_ids", f"WITH {T.SERIES_SQL}, ids AS (SELECT s_suppkey + 5 AS key FROM supplier) SELECT ids.key, date::VARCHAR AS date, round(value, 4) + 0.0 AS value FROM ids LEFT JOIN series USING (key)")
 def s4(spark, d):
     ids = T.table(spark, d, "supplier").select((F.col("s_suppkey") + 5).alias("key"))
-    return ids.join(T.series(spark, d), "key", "left").select("key", "date", r6("value", 2).alias("value"))
+    return ids.join(T.series(spark, d), "key", "left").select("key", day(), r6("value", 4).alias("value"))
 
 
-@query("s5_series_bulk", f"WITH {T.SERIES_SQL}, {T.SIGNALS_SQL} SELECT key, date, round(value, 2) + 0.0 AS value FROM series WHERE key IN (SELECT id FROM signals WHERE region = 'ASIA')")
+@query("s5_series_bulk", f"WITH {T.SERIES_SQL}, {T.SIGNALS_SQL} SELECT key, date::VARCHAR AS date, round(value, 4) + 0.0 AS value FROM series WHERE key IN (SELECT id FROM signals WHERE region = 'ASIA')")
 def s5(spark, d):
     ids = T.signals(spark, d).where("region = 'ASIA'").select(F.col("id").alias("key"))
-    return T.series(spark, d).join(ids, "key", "left_semi").select("key", "date", r6("value", 2).alias("value"))
+    return T.series(spark, d).join(ids, "key", "left_semi").select("key", day(), r6("value", 4).alias("value"))
 
 
 @query("s8_catalogue_filter", "SELECT * FROM (VALUES ('combo only', 1::BIGINT), ('kept', 2), ('selection only', 1), ('special', 1)) t(reason, n)")
@@ -207,7 +207,7 @@ def u1(spark, d):
     return both.unionByName(u().subtract(u("kind = 'SUPER' AND delay = 0")).withColumn("kind", F.lit("one")))
 
 
-@query("m43_best_value_column", "WITH p AS (SELECT l_suppkey AS key, l_shipdate::DATE AS date, max(l_extendedprice) AS a, max(l_quantity * 1000) AS b FROM lineitem GROUP BY 1, 2), w AS (SELECT key, arg_max(b, date) - arg_min(b, date) > arg_max(a, date) - arg_min(a, date) AS second FROM p GROUP BY 1) SELECT key, date, CASE WHEN second THEN b ELSE a END AS value FROM p JOIN w USING (key)")
+@query("m43_best_value_column", "WITH p AS (SELECT l_suppkey AS key, l_shipdate::DATE AS date, max(l_extendedprice) AS a, max(l_quantity * 1000) AS b FROM lineitem GROUP BY 1, 2), w AS (SELECT key, arg_max(b, date) - arg_min(b, date) > arg_max(a, date) - arg_min(a, date) AS second FROM p GROUP BY 1) SELECT key, date::VARCHAR AS date, CASE WHEN second THEN b ELSE a END AS value FROM p JOIN w USING (key)")
 def m43(spark, d):
     p = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("a"), F.max(F.col("l_quantity") * 1000).alias("b"))
-    return T.best_value_column(p, "key", "date", "a", "b")
+    return T.best_value_column(p, "key", "date", "a", "b").withColumn("date", day())

@@ -39,8 +39,6 @@ def x_cases(spark, d):
     return p.select("id", _text(F.col("operator_counts")).alias("operator_counts"), F.array_join("operators", ",").alias("operators"), _text(F.col("field_counts")).alias("field_counts"), "excluded", "reason")
 
 
-
-
 @query(
     "x_parser_table",
     """WITH e AS (SELECT l_linenumber % 3 AS g, 'f' || (l_partkey % 50) AS a, 'f' || (l_suppkey % 50) AS b FROM lineitem)
@@ -58,9 +56,9 @@ def x_table(spark, d):
     return t.select(F.explode(both).alias("field", "n")).groupBy("field").agg(F.sum("n").alias("nominal_count"), F.count("*").alias("unique_count"))
 
 
-@query("x14_dataset_category", """SELECT d, c FROM (VALUES ('fundamental6', 'Fundamental'), ('Analyst4', 'Analyst'), ('pv1', 'Price Volume'), ('macro9', 'Macroeconomic'), ('alternative2', 'Alternative'), ('technical', 'Technical'), ('x_sentiment', 'Sentiment'), ('newsfeed', 'News'), ('my_esg', 'ESG'), ('cryptic', 'Cryptocurrency'), ('', 'Other'), (NULL, 'Other'), ('model77', 'Other')) t(d, c)""")
+@query("x14_dataset_category", """SELECT d, c FROM (VALUES ('fundamental6', 'Fundamental'), ('Analyst4', 'Analyst'), ('pv1', 'Price Volume'), ('macro9', 'Macroeconomic'), ('alternative2', 'Alternative'), ('technical', 'Technical'), ('x_sentiment', 'Sentiment'), ('newsfeed', 'News'), ('my_esg', 'ESG'), ('cryptic', 'Other'), ('my_crypto', 'Cryptocurrency'), ('', 'Other'), (NULL, 'Other'), ('model77', 'Other')) t(d, c)""")
 def x14(spark, d):
-    names = ["fundamental6", "Analyst4", "pv1", "macro9", "alternative2", "technical", "x_sentiment", "newsfeed", "my_esg", "cryptic", "", None, "model77"]
+    names = ["fundamental6", "Analyst4", "pv1", "macro9", "alternative2", "technical", "x_sentiment", "newsfeed", "my_esg", "cryptic", "my_crypto", "", None, "model77"]
     return spark.createDataFrame([(n,) for n in names], "d string").select("d", X.dataset_category(F.col("d")).alias("c"))
 
 

@@ -68,10 +68,11 @@ def next_end(earliest_seen: Column, end: Column, step: int = 7) -> Column:
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """Rows of a stream whose key wasn't seen within the watermark."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+    timed = stream.withColumn(at, F.col(at).cast("timestamp"))  # watermarks take no timestamps without a zone
+    return timed.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
 def daily_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts of event types by day, batch or stream: an extension over event time."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("day"), "event_type", "n", "value")
