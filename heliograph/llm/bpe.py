@@ -2,11 +2,10 @@
 
 A task cuts its texts into the tokenizer's pieces and hands them to an in-process DuckDB.  A recursive query starts from one
 row per byte of every distinct piece (piece, position, token), joins neighbours with the merge table, and contracts in each
-piece the leftmost pair of minimum rank, until no pair of any piece is in the table.  Where the merged token can't form
-a pair of lower rank (told from the merge table when it is loaded), the further non-overlapping occurrences of
-that pair are contracted in the same step: they would be next anyway.
-An ordered aggregation strings the pieces' tokens together to the document's; decoding joins tokens with their bytes and
-aggregates those in order.  Pieces are remembered for the rest of the task, so each is contracted once.
+piece the leftmost pair of minimum rank, until no pair of any piece is in the table.  Pieces of more than LONG bytes take the same
+steps as one statement each, in which further occurrences of the pair are contracted where they would be next anyway.
+Decoding joins token rows with the tokens' bytes and aggregates those in order of position.  A worker remembers the tokens of the
+pieces that it has met, so each is contracted once.
 Documents stay where they are: there is no shuffle.
 """
 
@@ -14,7 +13,9 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ from heliograph.llm.textnum import chunks
 #: Rank file of the tokenizer; a parameter of every function here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a task remembers; beyond that it starts afresh. A matter of memory alone.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers; beyond that it starts afresh. A matter of memory alone.
+REMEMBERED = 700_000
 
 _TOKENS, _DECODED = T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
 
@@ -53,13 +54,11 @@ def load_ranks(path: str) -> tuple[pa.Table, pa.Table]:
     return _tables[path]
 
 
-#: Tokens of the rows of `fresh` (w, bytes) of ordinary length.  State: a row for each token, g its place and ng the next token's (-1: none); each
+#: Tokens of the pieces in `fresh` (w: piece, g, ng, byte) of ordinary length.  State: a row for each token, g its place and ng the next token's (-1: none); each
 #: step contracts the leftmost pair of minimum rank of each piece.  Pieces without such a pair leave as done.
 _CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT f.w, f.g0 + u.p AS g, CASE WHEN u.p + 1 < octet_length(f.bytes) THEN f.g0 + u.p + 1 ELSE -1 END AS ng, byte_token.t, false AS done
-  FROM fresh f, unnest(range(octet_length(f.bytes))) u(p), byte_token
-  WHERE octet_length(f.bytes) <= {long} AND byte_token.h = substr(hex(f.bytes), 2 * u.p + 1, 2)
+  SELECT w, g, ng, byte_token.t, false AS done FROM fresh JOIN byte_token USING (byte) WHERE NOT long
   UNION ALL
   SELECT s.w, s.g, CASE WHEN s.g = c.g THEN c.nng ELSE s.ng END, CASE WHEN s.g = c.g THEN c.m ELSE s.t END::INT, c.w IS NULL
   FROM step s LEFT JOIN (
@@ -72,30 +71,42 @@ WITH RECURSIVE step AS (
 )
 SELECT w, list(t ORDER BY g) AS tokens FROM step WHERE done GROUP BY w
 """
-#: The same for the long pieces: by windows over the tokens of a piece, and with all safe occurrences of its pair contracted at once,
-#: so that the number of steps depends on the merges that occur rather than on the length.
-_CONTRACT_LONG = """
-WITH RECURSIVE step AS (
-  SELECT 0 AS i, f.w, u.p, byte_token.t FROM fresh f, unnest(range(octet_length(f.bytes))) u(p), byte_token
-  WHERE octet_length(f.bytes) > {long} AND byte_token.h = substr(hex(f.bytes), 2 * u.p + 1, 2)
-  UNION ALL
-  SELECT i, w, p, CASE WHEN taken THEN m ELSE t END::INT
-  FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
-    SELECT i, w, p, t, m, m IS NOT NULL AND m = least_m
-        AND CASE WHEN safe THEN row_number() OVER (PARTITION BY w, island, m ORDER BY p) % 2 = 1 ELSE p = min(CASE WHEN m = least_m THEN p END) OVER (PARTITION BY w) END AS taken FROM (
-      SELECT *, sum((m IS DISTINCT FROM least_m)::INT) OVER (PARTITION BY w ORDER BY p) AS island FROM (
-        SELECT *, min(m) OVER (PARTITION BY w) AS least_m FROM (
-          SELECT n.i, n.w, n.p, n.t, merges.t AS m, merges.safe
-          FROM (SELECT i + 1 AS i, w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM step) n
-          LEFT JOIN merges ON merges.a = n.t AND merges.b = n.nt))
-      WHERE least_m IS NOT NULL)))
-  WHERE NOT gone
-)
-SELECT w, list(t ORDER BY p) AS tokens FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last_i FROM step) WHERE i = last_i GROUP BY w
+#: One step for the long pieces, whose state `long_step` (w, p, t) is written anew each time, so that memory follows their length and not the steps.
+#: All occurrences of a piece's pair are contracted at once, from the left, where none of the pairs that this makes (with the tokens beside it, as they
+#: were and as they will be) has a lower rank: the recursion would contract them next anyway.  Else the leftmost one alone is.
+_LONG_STEP = """
+CREATE OR REPLACE TEMP TABLE long_next AS
+SELECT w, p, CASE WHEN taken THEN m ELSE t END::INT AS t, taken
+FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
+  SELECT w, p, t, m, coalesce(hit AND CASE WHEN risky THEN p = first_p ELSE row_number() OVER (PARTITION BY w, island, hit ORDER BY p) % 2 = 1 END, false) AS taken FROM (
+    SELECT x.*, bool_or(hit AND NOT x.safe AND least(l.t, r.t, twice.t) < m) OVER (PARTITION BY w) AS risky, min(CASE WHEN hit THEN p END) OVER (PARTITION BY w) AS first_p FROM (
+      SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY w ORDER BY p) AS island FROM (
+        SELECT *, coalesce(m = min(m) OVER (PARTITION BY w), false) AS hit FROM (
+          SELECT n.w, n.p, n.t, n.before, n.after, merges.t AS m, merges.safe
+          FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(t, 2) OVER o AS after, lag(t) OVER o AS before FROM long_step WINDOW o AS (PARTITION BY w ORDER BY p)) n
+          LEFT JOIN merges ON merges.a = n.t AND merges.b = n.nt))) x
+    LEFT JOIN merges l ON NOT x.safe AND x.hit AND l.a = x.before AND l.b = x.m
+    LEFT JOIN merges r ON NOT x.safe AND x.hit AND r.a = x.m AND r.b = x.after
+    LEFT JOIN merges twice ON NOT x.safe AND x.hit AND twice.a = x.m AND twice.b = x.m)))
+WHERE NOT gone
 """
+_LONG_START = "CREATE OR REPLACE TEMP TABLE long_step AS SELECT w, g AS p, byte_token.t FROM fresh JOIN byte_token USING (byte) WHERE long"
 #: Bytes from which a piece counts as long; a matter of speed alone.
 LONG = 100
-_SIZES = {"{long}": str(LONG), "{wide}": str(1 << 36)}
+_WIDE = 1 << 36
+
+
+class _Pieces(dict):
+    """piece -> its number; a piece that is asked for the first time gets the next one and is noted as fresh."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
 
 
 class Codec:
@@ -106,62 +117,97 @@ class Codec:
         import regex
 
         tokens, merges = load_ranks(path)
-        self.pieces = regex.compile(PATTERN).findall
+        self.cut = regex.compile(PATTERN).findall
         self.db = duckdb.connect(config={"threads": 1})
         self.db.execute("SET memory_limit = '700MB'")
         self.db.register("tokens_in", tokens)
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE tokens AS SELECT t, hex(bytes) AS h FROM tokens_in")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        self.db.execute("CREATE TABLE byte_token AS SELECT t, h FROM tokens WHERE length(h) = 2")
-        self.db.execute("CREATE TABLE known (w BIGINT, piece VARCHAR, tokens INT[])")
-        self.contract = [_CONTRACT, _CONTRACT_LONG]
-        for name, value in _SIZES.items():
-            self.contract = [x.replace(name, value) for x in self.contract]
+        self.db.execute("CREATE TABLE byte_token AS SELECT t, ('0x' || h)::UTINYINT AS byte FROM tokens WHERE length(h) = 2")
+        self.contract = _CONTRACT.replace("{wide}", str(_WIDE))
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces = _Pieces()
+        #: Tokens of all pieces in order of their numbers, and where each piece's begin.
+        self.tokens, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self) -> None:
-        """Contracts the pieces of `piece_rows` that aren't known yet."""
-        n = self.db.execute("SELECT count(*) FROM known").fetchall()[0][0]
-        if n > REMEMBERED:
-            self.db.execute("DELETE FROM known").fetchall()
-            n = 0
-        fresh = "SELECT piece, encode(piece) AS bytes FROM (SELECT DISTINCT piece FROM piece_rows) x ANTI JOIN known USING (piece)"
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE fresh AS SELECT {n} + row_number() OVER () AS w, piece, bytes, coalesce(sum(octet_length(bytes)) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g0 FROM ({fresh})").fetchall()
-        for contract in self.contract:
-            self.db.execute(f"INSERT INTO known SELECT w, fresh.piece, c.tokens FROM fresh JOIN ({contract}) c USING (w)").fetchall()
+        """Contracts the pieces that aren't known yet."""
+        fresh, self.pieces.fresh = self.pieces.fresh, []
+        if not fresh:
+            return
+        raw = [x.encode() for x in fresh]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        begin = np.cumsum(sizes) - sizes
+        g = np.arange(sizes.sum())
+        last = np.zeros(len(g), bool)
+        last[begin + sizes - 1] = True
+        rows = {"w": np.repeat(np.arange(len(raw)), sizes), "g": g, "ng": np.where(last, -1, g + 1), "byte": np.frombuffer(b"".join(raw), np.uint8), "long": np.repeat(sizes > LONG, sizes)}
+        self.db.register("fresh", pa.table(rows))
+        done = []
+        if (sizes <= LONG).any():
+            done.append(f"SELECT * FROM ({self.contract})")
+        if (sizes > LONG).any():
+            self.contract_long()
+            done.append("SELECT w, list(t ORDER BY p) AS tokens FROM long_done GROUP BY w")
+        got = self.db.sql(f"SELECT tokens FROM ({' UNION ALL '.join(done)}) ORDER BY w").to_arrow_table()["tokens"]
+        self.db.unregister("fresh")
+        lists = pa.concat_arrays(got.chunks)
+        self.tokens = np.concatenate([self.tokens, lists.flatten().to_numpy()])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.diff(lists.offsets.to_numpy()))])
+
+    def contract_long(self) -> None:
+        """Fills long_done (w, p, t) with the tokens of the long fresh pieces."""
+        run = lambda sql: self.db.execute(sql).fetchall()
+        run(_LONG_START)
+        run("CREATE OR REPLACE TEMP TABLE long_done AS SELECT * FROM long_step LIMIT 0")
+        while run("SELECT count(*) FROM long_step")[0][0]:
+            run(_LONG_STEP)
+            run("INSERT INTO long_done SELECT w, p, t FROM long_next WHERE w NOT IN (SELECT w FROM long_next WHERE taken)")
+            run("CREATE OR REPLACE TEMP TABLE long_step AS SELECT w, p, t FROM long_next WHERE w IN (SELECT w FROM long_next WHERE taken)")
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """Token lists of texts; null for null."""
-        doc, pos, piece = [], [], []
-        for i, text in enumerate(texts):
-            if text:
-                found = self.pieces(text)
-                doc += [i] * len(found)
-                pos += range(len(found))
-                piece += found
-        rows = pa.table({"doc": pa.array(doc, pa.int32()), "pos": pa.array(pos, pa.int32()), "piece": pa.array(piece, pa.string())})
-        self.db.register("piece_rows", rows)
+        if len(self.pieces) > REMEMBERED:
+            self.forget()
+        number, found = self.pieces.__getitem__, [np.zeros(0, np.int64)]
+        for text in texts:
+            cut = self.cut(text) if text else []
+            found.append(np.fromiter(map(number, cut), np.int64, len(cut)))
         self.learn()
-        got = self.db.sql("SELECT doc, flatten(list(tokens ORDER BY pos)) AS tokens FROM piece_rows JOIN known USING (piece) GROUP BY doc").to_arrow_table()
-        self.db.unregister("piece_rows")
-        at = {d: k for k, d in enumerate(got["doc"].to_pylist())}
-        none, empty = len(at), len(at) + 1
-        lists = pa.concat_arrays([*(c.cast(pa.list_(pa.int32())) for c in got["tokens"].chunks), pa.array([None, []], pa.list_(pa.int32()))])
-        return lists.take(pa.array([none if x is None else at.get(i, empty) for i, x in enumerate(texts)]))
+        pieces = np.concatenate(found)
+        begin, size = self.start[pieces], self.start[pieces + 1] - self.start[pieces]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        flat = self.tokens[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
+        offsets = edge[np.cumsum([len(x) for x in found])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
+        none = pa.array([x is None for x in texts])
+        return pc.if_else(none, pa.scalar(None, lists.type), lists)
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """Texts of token lists; null for null. Tokens that are not in the vocabulary are left out, broken UTF-8 is replaced."""
-        n = len(lists)
-        rows = pa.table({"doc": pa.array(range(n), pa.int32()), "tokens": lists})
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        rows = pa.table({"doc": pa.array(np.repeat(np.arange(len(lists), dtype=np.int32), size)), "pos": pa.array(np.arange(len(flat), dtype=np.int32)), "t": flat})
         self.db.register("token_rows", rows)
-        got = self.db.sql(
-            "SELECT doc, unhex(string_agg(h, '' ORDER BY pos)) AS bytes FROM (SELECT doc, unnest(tokens) AS t, unnest(range(len(tokens))) AS pos FROM token_rows) JOIN tokens USING (t) GROUP BY doc"
-        ).to_arrow_table()
+        got = self.db.sql("SELECT doc, unhex(array_to_string(list(h ORDER BY pos), '')) AS bytes FROM token_rows JOIN tokens USING (t) GROUP BY doc").to_arrow_table()
         self.db.unregister("token_rows")
         texts = dict(zip(got["doc"].to_pylist(), got["bytes"].to_pylist(), strict=True))
         return pa.array([None if not ok else texts.get(i, b"").decode("utf-8", "replace") for i, ok in enumerate(lists.is_valid().to_pylist())], pa.string())
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    """The codec of a rank file, one for each worker process, so that later tasks know what earlier ones met."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def _runs(batch: pa.RecordBatch, column: int):
     for lo, hi, _, _ in chunks(batch.column(column)):
         yield batch.slice(lo, hi - lo)
@@ -176,10 +222,10 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        codec = Codec(path)
+        one = codec(path)
         for batch in batches:
             for part in _runs(batch, at):
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.encode(part.column(at).to_pylist())], [*part.schema.names, "tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns, one.encode(part.column(at).to_pylist())], [*part.schema.names, "tokens"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS]))
 
@@ -190,11 +236,11 @@ def decode(rows: DataFrame, path: str = RANKS, column: str = "tokens") -> DataFr
     at = rows.columns.index(column)
 
     def run(batches):
-        codec = Codec(path)
+        one = codec(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode(part.column(at))], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, one.decode(part.column(at))], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema, _DECODED]))
 
@@ -205,11 +251,11 @@ def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        codec = Codec(path)
+        one = codec(path)
         for batch in batches:
             for part in _runs(batch, at):
-                tokens = codec.encode(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, tokens, codec.decode(tokens)], [*part.schema.names, "tokens", "decoded"])
+                tokens = one.encode(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens, one.decode(tokens)], [*part.schema.names, "tokens", "decoded"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS, _DECODED]))
 
