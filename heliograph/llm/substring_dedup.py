@@ -160,17 +160,17 @@ def repeats(g: np.ndarray, key: np.ndarray, doc_id: np.ndarray, place: np.ndarra
     kept tells the first occurrence of a window, by doc_id, key and place, from the others.
     """
     group = np.cumsum(np.r_[True, g[1:] != g[:-1]])
-    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    by_age = np.lexsort((place, key, doc_id))
+    same = np.r_[False, (place[by_age][1:] == place[by_age][:-1]) & (key[by_age][1:] == key[by_age][:-1]) & (doc_id[by_age][1:] == doc_id[by_age][:-1])]
+    age = np.empty(len(g), np.int64)
+    age[by_age] = np.cumsum(~same)
+    once = np.sort(by_age[~same])  # repeated rows count once
+    several = once[np.bincount(group[once])[group[once]] > 1]
     out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool), np.zeros(0, np.int64)]
     if not len(several):
         return tuple(out)
-    group, around = group[several], around[several]
-    key, doc_id, place, low, high = (x[several] for x in (key, doc_id, place, low, high))
     m = len(several)
-    by_age = np.lexsort((place, key, doc_id))
-    same = (place[by_age][1:] == place[by_age][:-1]) & (key[by_age][1:] == key[by_age][:-1]) & (doc_id[by_age][1:] == doc_id[by_age][:-1])
-    age = np.empty(m, np.int64)
-    age[by_age] = np.cumsum(np.r_[False, ~same])
+    group, around, age, place, low, high = (x[several] for x in (group, around, age, place, low, high))
     left, right = SuffixTree(group, around[:, :_REACH]), SuffixTree(group, around[:, _REACH:])
     state, copies = np.zeros((_REACH + 3, m), np.int8), np.zeros((_REACH + 3, m), np.int64)
     for o in range(_REACH + 1):
