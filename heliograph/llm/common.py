@@ -5,11 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,20 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one record batch."""
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows of an Arrow batch to `rows`: batches of whole texts should stay in the megabytes. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
-
-
-def id_column(df: DataFrame, name: str) -> Column:
-    return F.col(name).cast("long").alias("doc_id")
-
-
-def text_column(name: str) -> Column:
-    return F.col(name).cast("string").alias("text")
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

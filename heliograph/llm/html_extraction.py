@@ -28,9 +28,10 @@ LEVELS = 5
 #: Share of the best score that a sibling must reach.
 SIBLING = 0.2
 
+#: Quantifiers that don't give back keep the scan linear on broken markup.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|button)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<[!?][^>]*+>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -62,7 +63,7 @@ def parse(page: str) -> Node:
     """The tree of a page, without what never holds main text."""
     root = Node("#root", "", None)
     open_, at = root, 0
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):  # behind the last > there is only text
         if m.start() > at:
             open_.children.append(page[at : m.start()])
         at = m.end()

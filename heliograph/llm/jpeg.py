@@ -20,6 +20,10 @@ DCT[0] /= np.sqrt(2)
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
+#: Blocks that a byte may stand for at most; a frame of more, such as a broken header names, would only fill memory.
+BLOCKS_PER_BYTE = 256
+
+
 class BadJpeg(ValueError):
     """A stream that isn't a JPEG, or of a kind that isn't supported."""
 
@@ -220,6 +224,8 @@ class Decoder:
             raise BadJpeg("a frame that isn't supported")
         self.h, self.v = max(c.h for c in comps), max(c.v for c in comps)
         self.mcus_x, self.mcus_y = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
+        if self.mcus_x * self.mcus_y > BLOCKS_PER_BYTE * len(self.data):
+            raise BadJpeg("a frame far larger than its data")
         for c in comps:
             c.width, c.height = -(-self.width * c.h // self.h), -(-self.height * c.v // self.v)
             c.stride, c.rows = self.mcus_x * c.h, self.mcus_y * c.v

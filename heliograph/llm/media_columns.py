@@ -21,7 +21,8 @@ _ADDED = [T.StructField("height", T.IntegerType()), T.StructField("width", T.Int
 def decode_column(df: DataFrame, column: str = "jpeg") -> DataFrame:
     """df with columns height, width, channels (ints) and rgb (binary), replacing any of these names; `column` is dropped.
 
-    A null, empty, broken or unsupported image gives nulls; one cut short decodes as far as it goes.  Rows stay in number and order.
+    A null, empty, broken or unsupported image gives nulls, as does one whose header names a frame far larger than its data;
+    one cut short decodes as far as it goes.  Rows stay in number and order.
     """
     base = df.drop("height", "width", "channels", "rgb")
     at = base.columns.index(column)

@@ -77,7 +77,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
     names = shards or [f"shard-{i:03d}" for i in range(N_SHARDS)]
     owner = lookup_table(names, size)
     slots = df.sparkSession.createDataFrame([(s, names[i]) for s, i in enumerate(owner)], "slot long, shard string")
-    placed = df.drop("shard").withColumn("slot", slot_of(df[key], len(owner)))
+    placed = df.withColumn("slot", slot_of(df[key], len(owner))).drop("shard")
     return placed.join(F.broadcast(slots) if len(owner) <= BROADCAST_SLOTS else slots, "slot").select(*[c for c in placed.columns], "shard")
 
 
