@@ -163,16 +163,25 @@ def with_reference(series: DataFrame, reference, least: int = LEAST, positive: b
 
 
 def rolling(left: DataFrame, windows: tuple[int, ...] = (60, 120, 252), least: int = 30, capital: float = CAPITAL) -> DataFrame:
-    """(a, b, corr): for each window width the median of the rolling correlation, averaged with weights 1, 1/2, 1/3 ...; missing ones count as 0."""
+    """(a, b, corr): for each window width the median of the rolling correlation, averaged with weights 1, 1/2, 1/3 ...; missing ones count as 0.
+
+    Windows are differences of running sums, so a row costs the same for every width.
+    """
     one = left.select(F.col("key").alias("a"), "date", F.col("value").alias("x"))
     two = left.select(F.col("key").alias("b"), "date", F.col("value").alias("y"))
     w = Window.partitionBy("a", "b").orderBy("date")
     r = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w) + capital)
     both = one.join(two, "date").where("a < b").select("a", "b", "date", r("x").alias("r"), r("y").alias("s")).where("r IS NOT NULL AND s IS NOT NULL")
+    terms = {"_r": F.col("r"), "_s": F.col("s"), "_rr": F.col("r") * F.col("r"), "_ss": F.col("s") * F.col("s"), "_rs": F.col("r") * F.col("s")}
+    for name, x in terms.items():
+        both = both.withColumn(name, F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_at", F.row_number().over(w))
     for i, width in enumerate(windows):
-        over = w.rowsBetween(-(width - 2), 0)
-        c = F.try_divide(F.covar_samp("r", "s").over(over), F.stddev_samp("r").over(over) * F.stddev_samp("s").over(over))
-        both = both.withColumn(f"c{i}", F.when(F.count("*").over(over) >= max(least, width - 1), c))
+        n = F.least(F.col("_at"), F.lit(width - 1))
+        inside = {c: F.col(c) - F.coalesce(F.lag(c, width - 1).over(w), F.lit(0.0)) for c in terms}
+        x2, y2 = inside["_rr"] - inside["_r"] * inside["_r"] / n, inside["_ss"] - inside["_s"] * inside["_s"] / n
+        c = F.when((x2 > 0) & (y2 > 0), (inside["_rs"] - inside["_r"] * inside["_s"] / n) / F.sqrt(x2 * y2))
+        both = both.withColumn(f"c{i}", F.when(n >= max(least, width - 1), c))
     total = sum(1 / (i + 1) for i in range(len(windows)))
     mean = sum(((F.coalesce(F.col(f"m{i}"), F.lit(0.0)) * (1 / (i + 1) / total)) for i in range(len(windows))), F.lit(0.0))
     return both.groupBy("a", "b").agg(*[F.median(f"c{i}").alias(f"m{i}") for i in range(len(windows))]).select("a", "b", mean.alias("corr"))

@@ -115,9 +115,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, date, change): what each supplier's series gains on a day."""
+    """(key, date, change): what each supplier's series gains on a day, to the four digits that such products have, whatever the order of the sum."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("change"))
+    return lines.groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 4).alias("change"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGNALS_SQL = """signals AS (SELECT s_suppkey AS id, s_name AS name, r_name AS region, n_name AS universe,
   CASE WHEN s_suppkey % 5 = 0 THEN 'SUPER' WHEN s_suppkey % 2 = 0 THEN 'REGULAR' ELSE 'UNSUBMITTED' END AS kind, (s_suppkey % 3)::INT AS delay, s_acctbal AS score
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-SERIES_SQL = """changes AS (SELECT l_suppkey AS key, l_shipdate::DATE AS date, sum(l_extendedprice * (l_discount - 0.05)) AS change FROM lineitem GROUP BY 1, 2),
+SERIES_SQL = """changes AS (SELECT l_suppkey AS key, l_shipdate::DATE AS date, round(sum(l_extendedprice * (l_discount - 0.05)), 4) AS change FROM lineitem GROUP BY 1, 2),
 series AS (SELECT key, date, sum(change) OVER (PARTITION BY key ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM changes)"""
 FIELDS_SQL = """fields AS (SELECT p_partkey AS field, r_name AS region, p_brand AS dataset, p_type AS category, ['MATRIX', 'VECTOR', 'GROUP'][p_size % 3 + 1] AS data_type, p_name AS description
   FROM part, region WHERE (p_partkey + r_regionkey) % 3 != 0)"""
