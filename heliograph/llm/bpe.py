@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.common import table
+from heliograph.llm.common import light_batches, table
 from heliograph.llm.textnum import chunks
 
 #: Rank file of the tokenizer; a parameter of every function here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers; beyond that it starts afresh. A matter of memory alone.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
+#: Bytes of text that are encoded at once; a matter of memory alone.
+AT_ONCE = 2 << 20
 
 _TOKENS, _DECODED = T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
 
@@ -209,7 +211,7 @@ def codec(path: str) -> Codec:
 
 
 def _runs(batch: pa.RecordBatch, column: int):
-    for lo, hi, _, _ in chunks(batch.column(column)):
+    for lo, hi, _, _ in chunks(batch.column(column), AT_ONCE):
         yield batch.slice(lo, hi - lo)
 
 
@@ -247,6 +249,7 @@ def decode(rows: DataFrame, path: str = RANKS, column: str = "tokens") -> DataFr
 
 def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """encode() and decode() in one pass over the documents, so that token lists needn't leave the task in between."""
+    light_batches(docs.sparkSession)
     docs = docs.drop("tokens", "decoded")
     at = docs.columns.index("text")
 

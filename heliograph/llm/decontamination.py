@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import light_batches, table
 from heliograph.llm.textnum import chunks, hashed_words
 
 #: Words that a verbatim match must have; items of fewer words must be there whole.
@@ -230,6 +230,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
     Rows are kept or dropped whole, with all their columns; null and empty texts are kept.  One pass, no shuffle.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     where = docs.columns.index("text")
     for rows in _slices(bench, "item_id", "text"):
         b = spark.sparkContext.broadcast(Benchmark([-1 if r["item_id"] is None else r["item_id"] for r in rows], [r["text"] for r in rows], min_words))

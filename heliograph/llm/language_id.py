@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import light_batches, table
 from heliograph.llm.textnum import chunks, code_points
 
 BUCKETS = 1 << 16
@@ -29,6 +29,9 @@ LEAST_POSTERIOR = 0.01
 #: Log-probability that a text's n-grams may fall behind the mean of their language before the text counts as no language; the second, over the root of their number, is added.
 SLACK, SLACK_SHORT = 3.0, 10.0
 
+#: Bytes of text whose n-grams are held at once; bounds a worker's memory, not the work done.
+AT_ONCE = 1 << 20
+
 SCORES = "doc_id long, lang string, posterior double, log_prob_per_ngram double, n_ngrams long"
 
 
@@ -122,7 +125,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         code = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             label = np.array([code[x] for x in batch.column(0).to_pylist()], np.int64)
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            for lo, hi, data, offs in chunks(batch.column(1), AT_ONCE):
                 buckets, docs = ngram_buckets(data, offs)
                 key, n = np.unique(label[lo:hi][docs] * BUCKETS + buckets, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
@@ -143,12 +146,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     lang is 'und' where a text has no letters (null and empty texts too) or is unlike any language of the model;
     of equally likely languages the first by name is taken.  Repeated rows give repeated rows; other columns are ignored.
     """
+    light_batches(docs.sparkSession)
     b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         names = np.array([*b.value.languages, "und"], object)
         for batch in batches:
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            for lo, hi, data, offs in chunks(batch.column(1), AT_ONCE):
                 if b.value.languages:
                     best, post, mean, n = b.value.classify(data, offs)
                     top = np.where(n > 0, post.max(1), 0.0)
@@ -168,6 +172,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_POSTERIO
     Rejected: texts without letters, texts unlike any language, and texts whose declared language has a posterior under
     `least`.  Rows without a declared language, or with one that the model doesn't know, are judged by their text alone.
     """
+    light_batches(docs.sparkSession)
     b = docs.sparkSession.sparkContext.broadcast(model)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -175,7 +180,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_POSTERIO
         code = {x: i for i, x in enumerate(b.value.languages)}
         for batch in batches:
             declared = np.array([code.get(x, -1) for x in batch.column(lang).to_pylist()], np.int64)
-            for lo, hi, data, offs in chunks(batch.column(text)):
+            for lo, hi, data, offs in chunks(batch.column(text), AT_ONCE):
                 keep = np.zeros(hi - lo, bool)
                 if code:
                     best, post, _, n = b.value.classify(data, offs)
