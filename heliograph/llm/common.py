@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,27 @@ def light_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+#: Bits of the filter that parted() broadcasts, at most (64 MB), and of each of its rows.
+FILTER_BITS, FILTER_ROW = 1 << 29, 1 << 15
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in `keys`, a stored table of one column; rows whose key surely isn't), null keys among the latter.
+
+    Joins with the keys then move only the first, not all texts.  The filter has 64 bits for each key up to FILTER_BITS, and is
+    broadcast in rows of FILTER_ROW bits; a fuller one lets more rows into the first part, whatever their number.
+    """
+    bits = min(max(1 << (max(keys.count(), 1) * 64 - 1).bit_length(), FILTER_ROW), FILTER_BITS)
+    at, row, held = free(df, "_filter_at"), free(df, "_filter_row"), free(df, "_filter_bits")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits).cast("long"))
+    rows = keys.select(place(keys[keys.columns[0]]).alias("h")).groupBy(F.expr(f"h div {FILTER_ROW}").alias(row)).agg(F.bitmap_construct_agg(F.expr(f"h % {FILTER_ROW}")).alias(held))
+    marked = df.withColumn(at, F.when(key.isNotNull(), place(key)))
+    marked = marked.join(F.broadcast(rows), F.expr(f"{at} div {FILTER_ROW}") == F.col(row), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({at} % {FILTER_ROW} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.expr(f"cast({at} % 8 as int)")) == 1, F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or with underscores before it, so that no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, free, table, written
+from heliograph.llm.common import cut, free, parted, table, written
 from heliograph.llm.textnum import chunks, hashed_words, mix64, windows
 
 SHINGLE = 3
@@ -265,12 +265,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows without a doc_id and texts without words are kept.  Columns are those of docs.
     """
     found = written(near_duplicates(docs), "near-duplicates")
+    some, rest = parted(docs, F.col("doc_id").cast("long"), found.select("doc_id"))
     gone, again = free(docs, "_near_id"), free(docs, "_near_repeated")
     marks = found.groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("kept_id") == F.col("doc_id")).alias(again))
-    marked = docs.join(marks, F.col("doc_id").cast("long") == F.col(gone), "left")
+    marked = some.join(marks, F.col("doc_id").cast("long") == F.col(gone), "left")
     alone = marked.where(F.col(gone).isNull()).select(*docs.columns)
     repeated = marked.where(F.col(again)).select(*docs.columns)
-    return alone.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return rest.unionByName(alone).unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table, written
+from heliograph.llm.common import free, light_batches, parted, table, written
 from heliograph.llm.textnum import chunks, hashed_words, windows, words
 
 #: Words of the shortest repeat.
@@ -248,10 +248,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     The first occurrence of a passage stays where it is.  Documents of which no word is left go; rows with null, empty or short texts stay as they are.
     """
-    cuts = repeated_passages(docs).where("not kept").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cuts"))
-    names = docs.columns
-    keyed = docs.withColumn("_cut_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    marked = keyed.join(cuts, keyed["_cut_key"] == cuts["key"], "left").select(*[keyed[c] for c in names], F.col("_cuts"))
+    light_batches(docs.sparkSession)
+    names, key, spans = docs.columns, free(docs, "_cut_key"), free(docs, "_cuts")
+    cuts = repeated_passages(docs).where("not kept").groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans))
+    cuts, own = written(cuts, "cuts"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    some, rest = parted(docs, own, cuts.select(key))
+    marked = some.join(cuts, own == F.col(key), "left").select(*names, spans)
     text, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
@@ -274,7 +276,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.mapInArrow(run, docs.schema)
+    return rest.unionByName(marked.mapInArrow(run, docs.schema))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
