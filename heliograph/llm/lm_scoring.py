@@ -1,14 +1,17 @@
 """Operator 7: language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
 Words of the whole corpus are counted by Spark; the most frequent ones get a class of their own and all others share hashed
-classes, so the model's size is fixed and every word has a probability.  A context of two words predicts the next
-one: q = Q[w1] C1 + Q[w2] C2, score(w) = q . R[w] + b[w].  Training covers every document in ROUNDS rounds: each task
+classes, so the neural part's size is fixed.  A context of two words predicts the class of the next
+one: q = Q[w1] C1 + Q[w2] C2, score(w) = q . R[w] + b[w]; a word's share of its class comes from the table of all
+word counts, which grows with the corpus and is joined, never gathered: p(word) = p(class | context) n(word) / (n(class) + 1).
+What is left of a shared class, 1 / (n(class) + 1), is the probability of its words that the corpus doesn't have.  Training covers every document in ROUNDS rounds: each task
 runs minibatch AdaGrad in numpy over all of its texts, telling words from NOISE words drawn from the counted unigram
 distribution, and tasks' weights are averaged by number of words, in two levels of aggregation.
 
 Scoring is normalised exactly.  A score is a sum of a term of w1 and a term of w2, so the normaliser of all contexts is one
 matrix product, exp(Q C1 R') exp(Q C2 R' + b)', computed once and broadcast (CLASSES squared entries, whatever
-the corpus); token log-probabilities are then gathered from three tables.
+the corpus); log-probabilities of classes are then gathered from three tables.  The distinct words of a chunk that share classes
+are asked for in the word counts, in groups by hash, and their shares return to the chunk.
 """
 
 from __future__ import annotations
@@ -32,15 +35,25 @@ ROUNDS = 2
 RATE = 0.05
 #: Rows of weights that are averaged together.
 BLOCK = 64
+#: Tokens of the corpus for each group that words and word counts meet in; bounds a worker's memory.
+GROUP_TOKENS = 1 << 22
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the words that have a class of their own, their classes, and the share of each class in the corpus."""
+    """Sorted hashes of the words that have a class of their own, their classes, and the share of each class in the corpus.
+
+    shared has the tokens of each shared class, counts the stored (word, n) of every word of the corpus; the latter stays with the driver.
+    """
 
     hashes: np.ndarray
     classes: np.ndarray
     share: np.ndarray
+    shared: np.ndarray
+    counts: DataFrame | None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = (hashes % np.uint64(SHARED)).astype(np.int64) + CLASSES - SHARED
@@ -75,16 +88,16 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     share = np.zeros(CLASSES)
     share[1 : 1 + len(n)] = n
     order = np.argsort(hashes)
-    found = Vocabulary(hashes[order], order + 1, share)
     # the words that share classes, counted by class: SHARED rows, whatever the corpus
     unsigned = F.pmod(F.pmod("word", F.lit(SHARED)) + F.lit(SHARED), F.lit(SHARED))
     total = counts.groupBy(unsigned.alias("c")).agg(F.sum("n").alias("n")).toArrow()
     share[CLASSES - SHARED + total["c"].to_numpy()] = total["n"].to_numpy()
     np.subtract.at(share, CLASSES - SHARED + (hashes % np.uint64(SHARED)).astype(np.int64), n)
+    shared = share[CLASSES - SHARED :].copy()
     share += 1.0
     share[0] = 0.0
     share /= share.sum()
-    return found
+    return Vocabulary(hashes[order], order + 1, share, shared, counts)
 
 
 @dataclass
@@ -112,20 +125,24 @@ class Model:
         return Model(*(np.ascontiguousarray(x) for x in (flat[:, :DIM], flat[:, DIM : 2 * DIM], flat[:, 2 * DIM])), flat[: 2 * DIM * DIM, 2 * DIM + 1].reshape(2, DIM, DIM).copy())
 
 
+assert SHARED & (SHARED - 1) == 0, "words are grouped by the bits of their hash that don't tell the class"
 assert 2 * DIM * DIM <= CLASSES, "the context matrices must fit a column of the weights"
 
 
 def contexts(vocab: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class of each word, of the word before, of the one before that, first word of each document) of a chunk."""
     hashes, _, _, first = hashed_words(data, offs)
-    w = vocab.of(hashes)
+    return *_in_context(vocab.of(hashes), first), first
+
+
+def _in_context(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w1, w2 = np.zeros_like(w), np.zeros_like(w)
     w1[1:], w2[2:] = w[:-1], w[:-2]
     at = first[:-1][first[:-1] < len(w)]
     w1[at] = 0
     w2[at] = 0
     w2[at[at + 1 < len(w)] + 1] = 0
-    return w, w1, w2, first
+    return w, w1, w2
 
 
 def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -242,28 +259,83 @@ class Scorer:
 def score(docs: DataFrame, vocab: Vocabulary, model: Model, tokens: bool = False) -> DataFrame:
     """One row (doc_id, n_tokens, log_prob, mean_log_prob) for each row of docs, with token_log_probs (array of float) if tokens.
 
-    log_prob is the sum of the words' log-probabilities, each normalised over all classes given the two words before it.
+    log_prob is the sum of the words' log-probabilities given the two words before them, each normalised over all words of the corpus
+    and, for each shared class, one word that stands for those it doesn't have.
     A null or empty text, or one of white space, has no tokens, a log_prob of 0 and a null mean. Repeated rows give repeated rows;
     other columns are ignored.
     """
     b = docs.sparkSession.sparkContext.broadcast((vocab, Scorer(model)))
+    groups = 1 + int(vocab.counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_TOKENS
+    shared = vocab.shared
 
     def run(batches):
+        """Log-probabilities of classes by cell (a document, or a token if tokens), and the words of shared classes of each cell."""
+        from pyspark import TaskContext
+
         vocab, scorer = b.value
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(1)):
-                w, w1, w2, first = contexts(vocab, data, offs)
+                hashes, _, _, first = hashed_words(data, offs)
+                w, w1, w2 = _in_context(vocab.of(hashes), first)
                 each = scorer.log_probs(w, w1, w2).astype(np.float64)
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                n = np.diff(first)
-                sums = total[first[1:]] - total[first[:-1]]
-                mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums.round(6)), pa.array(mean.round(6), mask=n == 0)]
-                if tokens:
-                    columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(each.astype(np.float32))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "token_log_probs"][: len(columns)])
-
-    return _slim(docs).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double" + ", token_log_probs array<float>" * tokens)
+                rare = w >= CLASSES - SHARED
+                cells = np.arange(len(w) + 1) if tokens else first
+                total, before = np.concatenate([[0.0], np.cumsum(each)]), np.concatenate([[0], np.cumsum(rare)])
+                base = each if tokens else total[first[1:]] - total[first[:-1]]
+                asked, at = np.unique(hashes[rare], return_inverse=True)
+                group = (asked // np.uint64(SHARED) % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                held, begin = np.unique(group[order], return_index=True)
+                asked = np.split(asked[order], begin[1:]) if len(held) else []
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                none = lambda kind, n=len(held): pa.nulls(n, kind)
+                lists = [one(batch.column(0).slice(lo, hi - lo)), *(one(pa.array(x)) for x in (np.diff(first), base, np.diff(before[cells]).astype(np.int32), place[at].astype(np.int32)))]
+                names = ["chunk", "part", "words", "doc_id", "n_tokens", "base", "shared", "place"]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), none(pa.int32(), 1), none(pa.binary(), 1), *lists], names)
+                if len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), chunk)), pa.array(held.astype(np.int32)), pa.array([x.tobytes() for x in asked], pa.binary()), *(none(x.type) for x in lists)], names)
+                chunk += 1
+
+    def shares(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        """The log of each asked word's share of its class, 8 bytes a word."""
+        known, n = counts["word"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+        order = np.argsort(known)
+        known, n = np.append(known[order], np.uint64(0)), np.append(n[order], 0)
+        out = []
+        for words in asked["words"].to_pylist():
+            h = np.frombuffer(words, np.uint64)
+            at = np.searchsorted(known[:-1], h)
+            found = np.where(known[at] == h, n[at], 0)
+            out.append((np.log(np.maximum(found, 1)) - np.log(shared[(h % np.uint64(SHARED)).astype(np.int64)] + 1)).tobytes())
+        return pa.table({"chunk": asked["chunk"], "part": asked["part"], "shares": pa.array(out, pa.binary())})
+
+    def joined(cells: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("part")
+        flat = lambda c: cells[c].combine_chunks().flatten()
+        n, base, count = (flat(c).to_numpy() for c in ("n_tokens", "base", "shared"))
+        share = np.frombuffer(b"".join(found["shares"].to_pylist()), np.float64)
+        each = base + np.bincount(np.repeat(np.arange(len(base)), count), share[flat("place").to_numpy()], len(base))
+        first = np.concatenate([[0], np.cumsum(n)])
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        sums = total[first[1:]] - total[first[:-1]] if tokens else each
+        mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
+        columns = [flat("doc_id"), pa.array(n), pa.array(sums.round(6)), pa.array(mean.round(6), mask=n == 0)]
+        if tokens:
+            columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(each.astype(np.float32))))
+        return pa.table(columns, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "token_log_probs"][: len(columns)])
+
+    kinds = "chunk long, part int, words binary, doc_id array<long>, n_tokens array<long>, base array<double>, shared array<int>, place array<int>"
+    kept = written(_slim(docs).mapInArrow(run, kinds), "classes")
+    # the same group as in run(): of the unsigned hash, without its bits that tell the class
+    part = F.pmod(F.shiftrightunsigned("word", SHARED.bit_length() - 1), F.lit(groups).cast("long")).cast("int")
+    counts = vocab.counts.select(part.alias("part"), "word", "n")
+    asked = kept.where("part is not null").select("part", "chunk", "words")
+    found = counts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(shares, "chunk long, part int, shares binary")
+    cells = kept.where("part is null").drop("part", "words")
+    return cells.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, "doc_id long, n_tokens long, log_prob double, mean_log_prob double" + ", token_log_probs array<float>" * tokens)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vocab = M.vocabulary(docs)
     assert M.score(docs, vocab, M.train(docs, vocab)).count() == 0
+
+
+def test_words_of_a_class_have_their_own_probabilities_that_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP_TOKENS", 1000)
+    names = [f"w{i}" for i in range(3000)]
+    text = " ".join(" ".join([w] * (1 + i % 7)) for i, w in enumerate(names))
+    corpus = spark.createDataFrame([(0, text), (1, text)], "doc_id long, text string")
+    vocab = M.vocabulary(corpus)
+    model = M.Model.start(vocab.share)
+    alone = spark.createDataFrame([*enumerate(names), (3000, "unseen")], "doc_id long, text string")
+    got = {r.doc_id: r for r in M.score(alone, vocab, model, tokens=True).collect()}
+    assert len(got) == 3001 and all(abs(r.log_prob - r.token_log_probs[0]) < 1e-4 for r in got.values())
+    zero = np.zeros(M.SHARED, np.int64)
+    of_class = np.exp(M.Scorer(model).log_probs(zero + np.arange(M.CLASSES - M.SHARED, M.CLASSES), zero, zero).astype(float))
+    unseen = of_class / (vocab.shared + 1)
+    assert abs(sum(np.exp(got[i].log_prob) for i in range(3000)) + unseen.sum() - 1) < 1e-4
+    (_, _, data, offs), = chunks(pa.array(["unseen"]))
+    c = M.contexts(vocab, data, offs)[0][0] - (M.CLASSES - M.SHARED)
+    assert abs(got[3000].log_prob - np.log(unseen[c])) < 1e-5
+    # a whole text is the sum of its words, however its words are grouped
+    (whole,) = M.score(corpus.where("doc_id = 0"), vocab, model, tokens=True).collect()
+    (plain,) = M.score(corpus.where("doc_id = 0"), vocab, model).collect()
+    assert whole.n_tokens == len(whole.token_log_probs) == len(text.split())
+    assert abs(plain.log_prob - np.sum(whole.token_log_probs, dtype=float)) < 0.1
