@@ -3,11 +3,10 @@
 A document's shingles are its runs of SHINGLE words, its signature TREES * DEPTH minima of hashed shingles, one byte each.
 Documents of equal signatures are joined first (a hash aggregation, so thousands of copies cost one row each).
 The others enter a forest: tree t orders them by bytes [t * DEPTH, (t + 1) * DEPTH) of the signature.
-Documents that share the first LEAST_DEPTH bytes of a tree meet in one region of its order; the depth adapts to the
-region: wherever a run of the sorted order with a common prefix holds more than REGION documents it is split by a
-longer common prefix, down to the full depth, so crowded regions compare only their longest-common-prefix neighbours
-while sparse ones look further.  All pairs of a region are compared by the share of equal signature bytes; a run that is still
-crowded at full depth agrees in all bytes of the tree, and each of its documents is compared with the run's heads.
+Documents that share the first LEAST_DEPTH bytes of a tree meet in one region of its order.  All pairs of a region are compared
+by the share of equal signature bytes.  A region of more than REGION documents is explored group by group in the tree's order:
+what is already known to be in the group of a document isn't compared with it again, everything else is, so its groups are those of
+all pairs; alike documents cost little, and only crowds of documents that aren't alike take time with the square of their number.
 Pairs that reach the threshold become edges, and connected components (alternating large-star and small-star steps,
 hash aggregations of Spark) are the groups.
 """
@@ -25,8 +24,10 @@ from heliograph.llm.textnum import chunks, hashed_words, mix64, windows
 SHINGLE = 3
 TREES, DEPTH = 16, 8
 LEAST_DEPTH = 3
-#: Documents of a region that are compared with one another; larger regions are split by longer prefixes.
+#: Documents of a region whose pairs are all written down; larger regions are explored group by group, to the same groups.
 REGION = 4096
+#: Pairs that are compared in one numpy pass of an exploration, and documents of a pass, at most.
+PASS_PAIRS, PASS_ROWS = 1 << 22, 256
 #: Regions up to this size are compared together in one numpy pass; a matter of speed alone.
 SMALL = 24
 #: Jaccard similarity of the shingle sets from which two documents count as near duplicates.
@@ -110,40 +111,62 @@ def _close_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _star_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row of sig with the first earlier head that it is close to; rows close to none are heads themselves."""
-    left, right, rest = [], [], np.arange(len(sig))
-    while len(rest):
-        head, rest = rest[0], rest[1:]
-        near = (sig[rest] == sig[head]).sum(1) >= _LEAST_EQUAL
-        left.append(np.full(near.sum(), head))
-        right.append(rest[near])
-        rest = rest[~near]
-    return np.concatenate(left), np.concatenate(right)
+def _equal(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Equal bytes of each row of rows and each column of columns."""
+    out = np.zeros((len(rows), columns.shape[1]), np.uint8)
+    for k in range(len(columns)):
+        out += rows[:, k, None] == columns[k]
+    return out
 
 
-def region_edges(ids: np.ndarray, sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, least id of its component) among the documents of one region of a tree, sorted by that tree's bytes."""
+def _group_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of sig that agree in _LEAST_EQUAL bytes, as many as join the groups that all such pairs make.
+
+    A group is finished before the next begins: each of its rows is compared with all rows that are in no group yet.
+    """
     left, right = [], []
-    todo = [(0, len(ids), LEAST_DEPTH)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if hi - lo < 2:
+    rest, columns, seeds = np.arange(len(sig)), np.ascontiguousarray(sig.T), 1
+    while len(rest) > 1:
+        size = min(seeds, PASS_ROWS, max(1, PASS_PAIRS // len(rest)))
+        near = _equal(sig[rest[:size]], columns) >= _LEAST_EQUAL
+        near[np.arange(len(near)), np.arange(len(near))] = False
+        linked = np.flatnonzero(near.any(1))
+        if not len(linked):  # rows that are close to none of the rest are groups of their own
+            rest, columns, seeds = rest[size:], np.ascontiguousarray(columns[:, size:]), size * 2
             continue
-        if hi - lo <= REGION or depth == DEPTH:
-            a, b = (_close_pairs if hi - lo <= REGION else _star_pairs)(sig[lo:hi])
-            left.append(a + lo)
-            right.append(b + lo)
-            continue
-        byte = sig[lo:hi, tree * DEPTH + depth]
-        ends = np.append(np.flatnonzero(byte[1:] != byte[:-1]) + 1, hi - lo)
-        todo += [(lo + a, lo + b, depth + 1) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-    if not left:
+        found, keep = near[linked[0]], np.ones(len(rest), bool)
+        keep[: linked[0] + 1] = False
+        todo, at = [rest[found]], rest[linked[0]]
+        left.append(np.full(found.sum(), at))
+        right.append(rest[found])
+        keep &= ~found
+        rest, columns, seeds = rest[keep], np.ascontiguousarray(columns[:, keep]), 1
+        while todo and len(rest):
+            size = min(PASS_ROWS, max(1, PASS_PAIRS // len(rest)))
+            rows = todo.pop()
+            if len(rows) > size:
+                todo.append(rows[size:])
+                rows = rows[:size]
+            near = _equal(sig[rows], columns) >= _LEAST_EQUAL
+            found = near.any(0)
+            if found.any():
+                left.append(rows[near[:, found].argmax(0)])
+                right.append(rest[found])
+                todo.append(rest[found])
+                rest, columns = rest[~found], np.ascontiguousarray(columns[:, ~found])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def region_edges(ids: np.ndarray, sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, least id of its component) among the documents of one region of a tree, sorted by that tree's bytes."""
+    a, b = (_close_pairs if len(ids) <= REGION else _group_pairs)(sig)
+    if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     by_id = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[by_id] = np.arange(len(ids))
-    low = _components(len(ids), place[np.concatenate(left)], place[np.concatenate(right)])
+    low = _components(len(ids), place[a], place[b])
     linked = np.flatnonzero(low != np.arange(len(ids)))
     return ids[by_id][linked], ids[by_id][low[linked]]
 

@@ -99,3 +99,24 @@ def test_crowded_regions_are_split_and_compared(spark, monkeypatch):
     sig[np.arange(100), rng.integers(N.DEPTH, len(base), 100)] ^= 1
     a, b = N.region_edges(np.arange(100), sig[np.lexsort(sig[:, : N.DEPTH].T[::-1])], 0)
     assert set(a) == set(range(1, 100)) and set(b) == {0}
+
+
+def test_no_pair_of_a_crowded_region_is_lost(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, width = 600, N.TREES * N.DEPTH
+    sig = rng.integers(0, 256, (n, width), dtype=np.uint8)
+    for i in range(1, n, 2):  # pairs of a Jaccard similarity of about 0.5 to 0.7
+        same = rng.random(width) < rng.uniform(0.5, 0.7)
+        sig[i, same] = sig[i - 1, same]
+    sig[:, : N.LEAST_DEPTH] = 7
+    order = np.lexsort(sig[:, : N.DEPTH].T[::-1])
+    ids = rng.permutation(n)[order]
+    want = N.region_edges(ids, sig[order], 0)
+    assert len(want[0]) > 200
+    for passes in (1, 64, 1 << 22):
+        monkeypatch.setattr(N, "REGION", 8)
+        monkeypatch.setattr(N, "PASS_PAIRS", passes * n)
+        got = N.region_edges(ids, sig[order], 0)
+        assert set(zip(*got, strict=True)) == set(zip(*want, strict=True))
