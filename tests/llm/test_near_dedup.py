@@ -120,3 +120,15 @@ def test_no_pair_of_a_crowded_region_is_lost(monkeypatch):
         monkeypatch.setattr(N, "PASS_PAIRS", passes * n)
         got = N.region_edges(ids, sig[order], 0)
         assert set(zip(*got, strict=True)) == set(zip(*want, strict=True))
+
+
+def test_a_link_through_a_row_that_is_close_to_an_earlier_head_counts(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "REGION", 2)
+    a = np.zeros(N.TREES * N.DEPTH, np.uint8)
+    x, y = a.copy(), a.copy()
+    x[80:] = 1  # close to both of the others, which aren't close
+    y[40:] = 1
+    got = N.region_edges(np.arange(4), np.stack([a, x, y, a + 9]), 0)
+    assert list(zip(*got, strict=True)) == [(1, 0), (2, 0)]
