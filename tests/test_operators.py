@@ -149,3 +149,12 @@ def test_schemas(spark, tmp_path):
     assert tables.initialise(spark, str(tmp_path / "store")) == first
     got = tables.conform(spark.createDataFrame([(1, "x")], "field int, other string"), tables.FIELDS)
     assert got.columns == [c.split()[0] for c in tables.FIELDS.split(", ")] and got.first().field == "1"
+
+
+def test_volatilities_of_all_paired_keys_count(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "MOST_DENSE", 3)
+    pairs = spark.createDataFrame([("x", "y", 0.5), ("x", "z", 0.1), ("y", "z", 0.2)], "a string, b string, corr double")
+    own = [("x", 0.1), ("y", 0.2), ("z", 0.4)]
+    more = spark.createDataFrame([*((f"k{i}", 9.0) for i in range(9)), *own], "key string, std_return double")
+    weights = lambda v: sorted((r.key, round(r.weight, 9)) for r in clustering.risk_parity(pairs, v).collect())
+    assert weights(more.coalesce(1)) == weights(spark.createDataFrame(own, "key string, std_return double"))
