@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import cut, free, parted, table, written
@@ -285,16 +285,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near duplicates, the one of the least doc_id; of its repeated rows one stays.
 
-    Rows without a doc_id and texts without words are kept.  Columns are those of docs.
+    Rows without a doc_id are told by their text, and compared with one another alone; texts without words are kept.  Columns are those of docs.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    some, rest = parted(docs, F.col("doc_id").cast("long"), found.select("doc_id"))
+    named = F.col("doc_id").cast("long")
+    if docs.where("doc_id is null").isEmpty():
+        return _one_of_each(docs, named)
+    nameless = F.col("doc_id").isNull() & F.col("text").isNotNull()
+    return _one_of_each(docs.where(~nameless), named).unionByName(_one_of_each(docs.where(nameless), F.xxhash64(F.col("text").cast("string"))))
+
+
+def _one_of_each(docs: DataFrame, key: Column) -> DataFrame:
+    """docs with one row of each group of near duplicates, documents told by key."""
+    found = written(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates")
+    some, rest = parted(docs, key, found.select("doc_id"))
     gone, again = free(docs, "_near_id"), free(docs, "_near_repeated")
     marks = found.groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("kept_id") == F.col("doc_id")).alias(again))
-    marked = some.join(marks, F.col("doc_id").cast("long") == F.col(gone), "left")
+    marked = some.join(marks, key == F.col(gone), "left")
     alone = marked.where(F.col(gone).isNull()).select(*docs.columns)
-    repeated = marked.where(F.col(again)).select(*docs.columns)
-    return rest.unionByName(alone).unionByName(repeated.dropDuplicates(["doc_id"]))
+    repeated = marked.where(F.col(again)).dropDuplicates([gone]).select(*docs.columns)
+    return rest.unionByName(alone).unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

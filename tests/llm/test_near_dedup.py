@@ -132,3 +132,13 @@ def test_a_link_through_a_row_that_is_close_to_an_earlier_head_counts(monkeypatc
     y[40:] = 1
     got = N.region_edges(np.arange(4), np.stack([a, x, y, a + 9]), 0)
     assert list(zip(*got, strict=True)) == [(1, 0), (2, 0)]
+
+
+def test_one_of_the_copies_without_an_id_stays(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one two three four"), *[(None, words)] * 3, (None, words + " more"), (None, "apart from the others"), (None, None), (None, None), (None, " ")]
+    left = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [r.text for r in left if r.doc_id is None]
+    assert len(left) == 6 and len(texts) == 5
+    assert len([t for t in texts if t and t.startswith(words)]) == 1
+    assert texts.count(None) == 2 and " " in texts and "apart from the others" in texts
