@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where that is unset, as in tests, a local folder in local mode, and else an error."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at and context._jsc.sc().getCheckpointDir().isDefined():
         at = context._jsc.sc().getCheckpointDir().get()
     if not at:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="heliograph-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(at)
