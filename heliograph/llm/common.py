@@ -15,14 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else None
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a local one in local mode, and else an error."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not at and context._jsc.sc().getCheckpointDir().isDefined():
+        at = context._jsc.sc().getCheckpointDir().get()
     if not at:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="heliograph-")
-        spark.sparkContext.setCheckpointDir(at)
+        context.setCheckpointDir(at)
     return at
 
 
@@ -35,17 +37,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), as a Parquet table: columnar, compressed, and prunable when read again."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    """Like cut(), as a Parquet table: columnar, compressed, and prunable when read again. It is removed when the application ends."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.parquet(path)
+
 
+def light_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the session's Arrow batches by bytes, `size` at most, so that batches of whole texts stay in the megabytes; one longer text is a batch of its own.
 
-def light_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows of an Arrow batch to `rows`: batches of whole texts should stay in the megabytes. Results don't depend on it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+    It stays set for the session, whose plans run later. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(2**31 - 1):  # the default: no bound; one that is set stays
+        spark.conf.set(name, size)
 
 
 #: Bits of the filter that parted() broadcasts, at most (64 MB), and of each of its rows.

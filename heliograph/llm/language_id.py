@@ -9,6 +9,7 @@ gives the log-likelihood of each language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,31 +32,40 @@ SLACK, SLACK_SHORT = 3.0, 10.0
 
 #: Bytes of text whose n-grams are held at once; bounds a worker's memory, not the work done.
 AT_ONCE = 1 << 20
+#: Places of a text whose n-grams are summed at once.
+BLOCK = 1 << 20
 
 SCORES = "doc_id long, lang string, posterior double, log_prob_per_ngram double, n_ngrams long"
 
 
-def ngram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, document of each n-gram) of a chunk, by order and position.
+def ngram_blocks(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket of each n-gram, document of each n-gram) of a chunk, by order and position, for BLOCK places at a time.
 
     Letters are folded to lower case (ASCII and Latin-1), runs of white space, digits and ASCII punctuation count as one
     space, and n-grams don't cross documents.  An n-gram of spaces alone is left out.
     """
-    cp, at = code_points(data, offs)
-    n = len(cp)
+    fold, at = code_points(data, offs)
+    n = len(fold)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fold = cp.copy()
-    upper = ((cp >= 65) & (cp <= 90)) | ((cp >= 0xC0) & (cp <= 0xDE) & (cp != 0xD7))
+        return
+    fold = fold.copy()
+    upper = ((fold >= 65) & (fold <= 90)) | ((fold >= 0xC0) & (fold <= 0xDE) & (fold != 0xD7))
     fold[upper] += 32
     letter = (fold >= 97) & (fold <= 122) | (fold >= 0xAA) & (fold != 0xD7) & (fold != 0xF7)
     fold[~letter] = 32
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[at[:-1][at[:-1] < n]] = True  # a text starts and words end with one space
-    fold, doc, letter = fold[keep], doc[keep], letter[keep]
-    buckets, docs = [], []
+    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(at))[keep]
+    fold, letter = fold[keep], letter[keep]
+    for lo in range(0, len(fold), BLOCK):
+        block = slice(lo, lo + BLOCK + max(ORDERS) - 1)
+        yield _ngrams(fold[block], letter[block], doc[block])
+
+
+def _ngrams(fold: np.ndarray, letter: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and documents of the n-grams that begin in the first BLOCK places."""
+    buckets, docs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     h = np.zeros(len(fold), np.uint32)
     some = np.zeros(len(fold), bool)
     for k in range(1, max(ORDERS) + 1):
@@ -65,16 +75,22 @@ def ngram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         h = h[:m] * np.uint32(0x01000193) + fold[k - 1 :] * np.uint32(0x9E3779B1)
         some = some[:m] | letter[k - 1 :]
         if k in ORDERS:
-            inside = some & (doc[:m] == doc[k - 1 :])
-            x = h[inside] + np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)
+            inside = (some & (doc[:m] == doc[k - 1 :]))[:BLOCK]
+            x = h[:BLOCK][inside] + np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)
             x ^= x >> np.uint32(15)
             x *= np.uint32(0x2C1B3C6D)
             x ^= x >> np.uint32(13)
             buckets.append((x & np.uint32(BUCKETS - 1)).astype(np.int32))
-            docs.append(doc[:m][inside])
+            docs.append(doc[:m][:BLOCK][inside])
     return np.concatenate(buckets), np.concatenate(docs)
 
 
+def ngram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ngram_blocks() of a chunk as one."""
+    none = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    return tuple(np.concatenate(x) for x in zip(*none, *ngram_blocks(data, offs), strict=True))
+
+
 @dataclass
 class Model:
     """Log-probabilities of buckets (rows) for languages (columns), log priors, and each language's usual log-probability per n-gram."""
@@ -88,9 +104,10 @@ class Model:
         """(documents by languages, n-grams of each document)."""
         n_docs = len(offs) - 1
         total, count = np.zeros((n_docs, len(self.languages))), np.zeros(n_docs, np.int64)
-        buckets, docs = ngram_buckets(data, offs)
-        edge = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        if len(edge):
+        for buckets, docs in ngram_blocks(data, offs):
+            if not len(docs):
+                continue
+            edge = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
             # (n-gram order, document) runs are contiguous; np.add.at joins the runs of a document
             sums = np.stack([np.add.reduceat(column[buckets], edge) for column in self.log_prob.T], 1)
             np.add.at(total, docs[edge], sums)
@@ -109,26 +126,27 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of the languages that docs.lang names; rows without a text or a language aren't used.
+    """A model of the languages that docs.lang names; rows without a text or a language aren't used, nor do they count in shares and priors.
 
-    Rows are chosen by the hash of doc_id and text, about per_language of each language, so the choice is the same on every run.
+    Rows, those without a doc_id too, are chosen by the hash of doc_id and text, about per_language of each language, so the choice is the same on every run.
     """
+    light_batches(docs.sparkSession)
     labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id").where("lang is not null and text is not null and trim(text) != ''")
-    sizes = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float64), np.zeros(0), np.zeros(0))
     languages = sorted(sizes)
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / sizes[x]))) for x in languages])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches):
         code = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             label = np.array([code[x] for x in batch.column(0).to_pylist()], np.int64)
             for lo, hi, data, offs in chunks(batch.column(1), AT_ONCE):
-                buckets, docs = ngram_buckets(data, offs)
-                key, n = np.unique(label[lo:hi][docs] * BUCKETS + buckets, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+                for buckets, docs in ngram_blocks(data, offs):
+                    key, n = np.unique(label[lo:hi][docs] * BUCKETS + buckets, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     counts = np.zeros(len(languages) * BUCKETS)
     summed = sample.select("lang", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()

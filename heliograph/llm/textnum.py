@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass works on; bounds a worker's memory, not the work done.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -24,17 +24,17 @@ _BYTE[65:91] = _BYTE[97:123]  # ASCII upper case hashes as lower case
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _IS_WORD = np.arange(256) > 0x20
-_pow: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_pow: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, np.uint64)
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for spans of a chunk: their size is fixed, whatever the texts."""
+    if not _pow:
+        for base in (_BASE, _INV):
+            p = np.full(CHUNK_BYTES + 1, base, np.uint64)
             p[0] = 1
-            _pow[name] = np.cumprod(p, dtype=np.uint64)
-    return _pow["up"], _pow["down"]
+            _pow.append(np.cumprod(p, dtype=np.uint64))
+    return _pow
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -95,12 +95,32 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one prefix sum of a polynomial modulo 2**64."""
-    up, down = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    """64-bit hash of each byte span (in order, none overlapping), from prefix sums of a polynomial modulo 2**64, CHUNK_BYTES at a time."""
+    up, down = _powers()
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        end = int(np.searchsorted(ends, base + CHUNK_BYTES, side="right"))
+        if end <= at:  # one span longer than a chunk
+            out[at] = _long_span(data[base : ends[at]])
+            at += 1
+            continue
+        part = data[base : ends[end - 1]]
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        s = starts[at:end] - base
+        out[at:end] = (total[ends[at:end] - base] - total[s]) * down[s]
+        at = end
+    return mix64(out)
+
+
+def _long_span(span: np.ndarray) -> np.uint64:
+    up, h = _powers()[0], 0
+    for i in range(0, len(span), CHUNK_BYTES):
+        part = span[i : i + CHUNK_BYTES]
+        h += int((_BYTE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), i, 1 << 64)
+    return np.uint64(h % (1 << 64))
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +145,9 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets in characters) of a chunk of UTF-8 texts."""
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    lead, at = (data & 0xC0) != 0x80, np.zeros(len(offs), np.int64)
+    some = np.flatnonzero(np.diff(offs))
+    if len(some):
+        at[some + 1] = np.add.reduceat(lead, offs[some], dtype=np.int64)
     text = data.tobytes().decode("utf-8", "replace")
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32), lead[offs]
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum(at)

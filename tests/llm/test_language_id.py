@@ -32,6 +32,35 @@ def test_ngrams_against_plain_python():
             assert words.setdefault(g, b) == b, "an n-gram has one bucket"
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    texts = pa.array(["the cat, sat " * 50, "", "à bientôt", "x"])
+    (_, _, data, offs), = chunks(texts)
+    whole = sorted(zip(*(x.tolist() for x in L.ngram_buckets(data, offs)), strict=True))
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(L, "BLOCK", size)
+        assert sorted(zip(*(x.tolist() for x in L.ngram_buckets(data, offs)), strict=True)) == whole
+
+
+def test_word_hashes_in_chunks(monkeypatch):
+    from heliograph.llm import textnum as N
+
+    texts = pa.array(["the Cat sat", None, "x" * 300 + " y " + "zz" * 70, " a  b "])
+    (_, _, data, offs), = chunks(texts)
+    whole = N.hashed_words(data, offs)[0]
+    monkeypatch.setattr(N, "_pow", [])
+    monkeypatch.setattr(N, "CHUNK_BYTES", 16)
+    assert (N.hashed_words(data, offs)[0] == whole).all() and len(set(whole.tolist())) == 8
+
+
+def test_rows_without_an_id_are_sampled_like_others(spark):
+    docs = spark.createDataFrame([(None, f"some words number {i}", "en") for i in range(2000)] + [(1, None, "en"), (2, " ", "en")], "doc_id long, text string, lang string")
+    all_, some = L.train(docs, per_language=10**6), L.train(docs, per_language=100)
+    # as many distinct rows, as much mass above the smoothing
+    mass = lambda m: 1 / np.exp(m.log_prob).min() * L.ALPHA - L.ALPHA * L.BUCKETS
+    assert 0.02 < mass(some) / mass(all_) < 0.1
+    assert some.prior.tolist() == [0.0]
+
+
 def test_posterior_against_plain_python(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "the dog and the bone", "en"), (4, "la vache et le chien", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
