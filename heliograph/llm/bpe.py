@@ -1,17 +1,18 @@
 """Operator 9: byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
 A task cuts its texts into the tokenizer's pieces and hands them to an in-process DuckDB.  A recursive query starts from one
-row per byte of every distinct piece (piece, position, token), joins neighbours with the merge table, and contracts in each
-piece the leftmost pair of minimum rank, until no pair of any piece is in the table.  Pieces of more than LONG bytes take the same
-steps as one statement each, in which further occurrences of the pair are contracted where they would be next anyway.
-Decoding joins token rows with the tokens' bytes and aggregates those in order of position.  A worker remembers the tokens of the
-pieces that it has met, so each is contracted once.
-Documents stay where they are: there is no shuffle.
+row per byte of every distinct piece (piece, position, token and next token), joins them with the merge table, and contracts in each
+piece the leftmost pair of minimum rank, until no pair of any piece is in the table.  Pieces of more than LONG bytes go through a
+recursive query that contracts, in one step, all occurrences of that pair that the first one would contract one after another.
+Decoding joins token rows with the tokens' bytes and aggregates those in order of position.  A task remembers the tokens of the
+pieces that it has met, in bounded memory; all that it holds goes with the task.
+Documents stay where they are: there is no shuffle.  The rank file is read on the driver and broadcast (a vocabulary, whatever the data).
 """
 
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from heliograph.llm.textnum import chunks
 #: Rank file of the tokenizer; a parameter of every function here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers; beyond that it starts afresh. A matter of memory alone.
-REMEMBERED = 400_000
+#: Bytes of pieces that a task remembers, each counted with PIECE_BYTES more; beyond that it starts afresh. A matter of memory alone.
+REMEMBERED_BYTES, PIECE_BYTES = 56 << 20, 170
 #: Bytes of text that are encoded at once; a matter of memory alone.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
+#: What a task's DuckDB may hold before it spills to Spark's own scratch folder.
+DUCKDB_MEMORY = "160MB"
 
 _TOKENS, _DECODED = T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
 
@@ -56,43 +59,49 @@ def load_ranks(path: str) -> tuple[pa.Table, pa.Table]:
     return _tables[path]
 
 
-#: Tokens of the pieces in `fresh` (w: piece, g, ng, byte) of ordinary length.  State: a row for each token, g its place and ng the next token's (-1: none); each
-#: step contracts the leftmost pair of minimum rank of each piece.  Pieces without such a pair leave as done.
+#: Tokens of the pieces in `fresh` (w: piece, g, ng, byte, nbyte) of ordinary length.  State: a row for each token, g its place, t the token, ng and nt the next one's
+#: (-1 and null: none).  Each step contracts the leftmost pair of minimum rank of each piece: its first row takes the merged token and the second row's next
+#: one, the second row goes, and the row before learns of its new neighbour.  Pieces without such a pair leave as done.
 _CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT w, g, ng, byte_token.t, false AS done FROM fresh JOIN byte_token USING (byte) WHERE NOT long
+  SELECT f.w, f.g, f.ng, a.t, b.t AS nt, false AS done FROM fresh f JOIN byte_token a USING (byte) LEFT JOIN byte_token b ON b.byte = f.nbyte WHERE NOT long
   UNION ALL
-  SELECT s.w, s.g, CASE WHEN s.g = c.g THEN c.nng ELSE s.ng END, CASE WHEN s.g = c.g THEN c.m ELSE s.t END::INT, c.w IS NULL
+  SELECT s.w, s.g, CASE WHEN s.g = c.g THEN c.nng ELSE s.ng END, CASE WHEN s.g = c.g THEN c.m ELSE s.t END,
+         CASE WHEN s.g = c.g THEN c.nnt WHEN s.ng = c.g THEN c.m ELSE s.nt END, c.w IS NULL
   FROM step s LEFT JOIN (
-    SELECT w, best // {wide} AS m, best % {wide} AS g, ng, nng FROM (
-      SELECT a.w, min(merges.t * {wide} + a.g) AS best, arg_min(a.ng, merges.t * {wide} + a.g) AS ng, arg_min(b.ng, merges.t * {wide} + a.g) AS nng
-      FROM step a JOIN step b ON a.ng = b.g JOIN merges ON merges.a = a.t AND merges.b = b.t
-      WHERE NOT a.done AND NOT b.done GROUP BY a.w)
+    SELECT b.w, b.m, b.g, n.g AS gone, n.ng AS nng, n.nt AS nnt
+    FROM step n JOIN (
+      SELECT w, (best // {wide})::INT AS m, (best % {wide})::INT AS g, ng FROM (
+        SELECT a.w, min(merges.t * {wide} + a.g) AS best, arg_min(a.ng, merges.t * {wide} + a.g) AS ng
+        FROM step a JOIN merges ON merges.a = a.t AND merges.b = a.nt WHERE NOT a.done GROUP BY a.w)
+    ) b ON n.g = b.ng WHERE NOT n.done
   ) c ON s.w = c.w
-  WHERE NOT s.done AND s.g IS DISTINCT FROM c.ng
+  WHERE NOT s.done AND s.g IS DISTINCT FROM c.gone
 )
-SELECT w, list(t ORDER BY g) AS tokens FROM step WHERE done GROUP BY w
+SELECT w, g, t FROM step WHERE done
 """
-#: One step for the long pieces, whose state `long_step` (w, p, t) is written anew each time, so that memory follows their length and not the steps.
-#: All occurrences of a piece's pair are contracted at once, from the left, where none of the pairs that this makes (with the tokens beside it, as they
-#: were and as they will be) has a lower rank: the recursion would contract them next anyway.  Else the leftmost one alone is.
-_LONG_STEP = """
-CREATE OR REPLACE TEMP TABLE long_next AS
-SELECT w, p, CASE WHEN taken THEN m ELSE t END::INT AS t, taken
-FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
-  SELECT w, p, t, m, coalesce(hit AND CASE WHEN risky THEN p = first_p ELSE row_number() OVER (PARTITION BY w, island, hit ORDER BY p) % 2 = 1 END, false) AS taken FROM (
-    SELECT x.*, bool_or(hit AND NOT x.safe AND least(l.t, r.t, twice.t) < m) OVER (PARTITION BY w) AS risky, min(CASE WHEN hit THEN p END) OVER (PARTITION BY w) AS first_p FROM (
-      SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY w ORDER BY p) AS island FROM (
-        SELECT *, coalesce(m = min(m) OVER (PARTITION BY w), false) AS hit FROM (
-          SELECT n.w, n.p, n.t, n.before, n.after, merges.t AS m, merges.safe
-          FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(t, 2) OVER o AS after, lag(t) OVER o AS before FROM long_step WINDOW o AS (PARTITION BY w ORDER BY p)) n
-          LEFT JOIN merges ON merges.a = n.t AND merges.b = n.nt))) x
-    LEFT JOIN merges l ON NOT x.safe AND x.hit AND l.a = x.before AND l.b = x.m
-    LEFT JOIN merges r ON NOT x.safe AND x.hit AND r.a = x.m AND r.b = x.after
-    LEFT JOIN merges twice ON NOT x.safe AND x.hit AND twice.a = x.m AND twice.b = x.m)))
-WHERE NOT gone
+#: The same for long pieces.  All occurrences of a piece's leftmost pair of minimum rank are contracted at once, from the left, where none of the pairs that this makes
+#: (with the tokens beside it, as they were and as they will be) has a lower rank: the leftmost one is then followed by the others anyway.  Else it alone is.
+_CONTRACT_LONG = """
+WITH RECURSIVE step AS (
+  SELECT w, g, byte_token.t, false AS done FROM fresh JOIN byte_token USING (byte) WHERE long
+  UNION ALL
+  SELECT w, g, CASE WHEN taken THEN m ELSE t END::INT, NOT any_taken
+  FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY g) AS gone, bool_or(taken) OVER (PARTITION BY w) AS any_taken FROM (
+    SELECT w, g, t, m, coalesce(hit AND CASE WHEN risky THEN g = first_g ELSE row_number() OVER (PARTITION BY w, island, hit ORDER BY g) % 2 = 1 END, false) AS taken FROM (
+      SELECT x.*, bool_or(hit AND NOT x.safe AND least(l.t, r.t, twice.t) < m) OVER (PARTITION BY w) AS risky, min(CASE WHEN hit THEN g END) OVER (PARTITION BY w) AS first_g FROM (
+        SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY w ORDER BY g) AS island FROM (
+          SELECT *, coalesce(m = min(m) OVER (PARTITION BY w), false) AS hit FROM (
+            SELECT n.w, n.g, n.t, n.before, n.after, merges.t AS m, merges.safe
+            FROM (SELECT w, g, t, lead(t) OVER o AS nt, lead(t, 2) OVER o AS after, lag(t) OVER o AS before FROM step WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY g)) n
+            LEFT JOIN merges ON merges.a = n.t AND merges.b = n.nt))) x
+      LEFT JOIN merges l ON NOT x.safe AND x.hit AND l.a = x.before AND l.b = x.m
+      LEFT JOIN merges r ON NOT x.safe AND x.hit AND r.a = x.m AND r.b = x.after
+      LEFT JOIN merges twice ON NOT x.safe AND x.hit AND twice.a = x.m AND twice.b = x.m)))
+  WHERE NOT gone
+)
+SELECT w, g, t FROM step WHERE done
 """
-_LONG_START = "CREATE OR REPLACE TEMP TABLE long_step AS SELECT w, g AS p, byte_token.t FROM fresh JOIN byte_token USING (byte) WHERE long"
 #: Bytes from which a piece counts as long; a matter of speed alone.
 LONG = 100
 _WIDE = 1 << 36
@@ -114,24 +123,38 @@ class _Pieces(dict):
 class Codec:
     """Encoding and decoding in one DuckDB connection, with the pieces that it has met."""
 
-    def __init__(self, path: str = RANKS):
+    def __init__(self, ranks: tuple[pa.Table, pa.Table]):
         import duckdb
         import regex
 
-        tokens, merges = load_ranks(path)
+        tokens, merges = ranks
         self.cut = regex.compile(PATTERN).findall
         self.db = duckdb.connect(config={"threads": 1})
-        self.db.execute("SET memory_limit = '700MB'")
+        self.db.execute(f"SET memory_limit = '{DUCKDB_MEMORY}'")
+        scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        if scratch:
+            self.db.execute(f"SET temp_directory = '{os.path.join(scratch, f'heliograph-bpe-{os.getpid()}')}'")
         self.db.register("tokens_in", tokens)
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE tokens AS SELECT t, hex(bytes) AS h FROM tokens_in")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.db.execute("CREATE TABLE byte_token AS SELECT t, ('0x' || h)::UTINYINT AS byte FROM tokens WHERE length(h) = 2")
+        self.db.unregister("tokens_in")
+        self.db.unregister("merges_in")
         self.contract = _CONTRACT.replace("{wide}", str(_WIDE))
         self.forget()
 
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Gives back what the codec holds: worker processes outlive their tasks."""
+        self.db.close()
+        self.forget()
+        pa.default_memory_pool().release_unused()
+
     def forget(self) -> None:
-        self.pieces = _Pieces()
+        self.pieces, self.held = _Pieces(), 0
         #: Tokens of all pieces in order of their numbers, and where each piece's begin.
         self.tokens, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -142,37 +165,23 @@ class Codec:
             return
         raw = [x.encode() for x in fresh]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.held += int(sizes.sum()) + PIECE_BYTES * len(raw)
         begin = np.cumsum(sizes) - sizes
-        g = np.arange(sizes.sum())
+        g, byte = np.arange(sizes.sum(), dtype=np.int32), np.frombuffer(b"".join(raw), np.uint8)
         last = np.zeros(len(g), bool)
         last[begin + sizes - 1] = True
-        rows = {"w": np.repeat(np.arange(len(raw)), sizes), "g": g, "ng": np.where(last, -1, g + 1), "byte": np.frombuffer(b"".join(raw), np.uint8), "long": np.repeat(sizes > LONG, sizes)}
+        rows = {"w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "g": g, "ng": np.where(last, -1, g + 1).astype(np.int32), "byte": byte}
+        rows |= {"nbyte": np.where(last, -1, np.append(byte[1:], 0)).astype(np.int16), "long": np.repeat(sizes > LONG, sizes)}
         self.db.register("fresh", pa.table(rows))
-        done = []
-        if (sizes <= LONG).any():
-            done.append(f"SELECT * FROM ({self.contract})")
-        if (sizes > LONG).any():
-            self.contract_long()
-            done.append("SELECT w, list(t ORDER BY p) AS tokens FROM long_done GROUP BY w")
-        got = self.db.sql(f"SELECT tokens FROM ({' UNION ALL '.join(done)}) ORDER BY w").to_arrow_table()["tokens"]
+        parts = [self.contract] * bool((sizes <= LONG).any()) + [_CONTRACT_LONG] * bool((sizes > LONG).any())
+        got = self.db.sql(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts) + " ORDER BY g").to_arrow_table()
         self.db.unregister("fresh")
-        lists = pa.concat_arrays(got.chunks)
-        self.tokens = np.concatenate([self.tokens, lists.flatten().to_numpy()])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.diff(lists.offsets.to_numpy()))])
-
-    def contract_long(self) -> None:
-        """Fills long_done (w, p, t) with the tokens of the long fresh pieces."""
-        run = lambda sql: self.db.execute(sql).fetchall()
-        run(_LONG_START)
-        run("CREATE OR REPLACE TEMP TABLE long_done AS SELECT * FROM long_step LIMIT 0")
-        while run("SELECT count(*) FROM long_step")[0][0]:
-            run(_LONG_STEP)
-            run("INSERT INTO long_done SELECT w, p, t FROM long_next WHERE w NOT IN (SELECT w FROM long_next WHERE taken)")
-            run("CREATE OR REPLACE TEMP TABLE long_step AS SELECT w, p, t FROM long_next WHERE w IN (SELECT w FROM long_next WHERE taken)")
+        self.tokens = np.concatenate([self.tokens, got["t"].to_numpy()])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.bincount(got["w"].to_numpy(), minlength=len(raw)))])
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """Token lists of texts; null for null."""
-        if len(self.pieces) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.forget()
         number, found = self.pieces.__getitem__, [np.zeros(0, np.int64)]
         for text in texts:
@@ -193,21 +202,17 @@ class Codec:
         size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         flat = lists.flatten()
         rows = pa.table({"doc": pa.array(np.repeat(np.arange(len(lists), dtype=np.int32), size)), "pos": pa.array(np.arange(len(flat), dtype=np.int32)), "t": flat})
-        self.db.register("token_rows", rows)
-        got = self.db.sql("SELECT doc, unhex(array_to_string(list(h ORDER BY pos), '')) AS bytes FROM token_rows JOIN tokens USING (t) GROUP BY doc").to_arrow_table()
+        self.db.register("token_rows", rows)  # one thread aggregates rows in the order that they come in
+        got = self.db.sql("SELECT doc, unhex(string_agg(h, '')) AS bytes FROM (SELECT doc, h FROM token_rows JOIN tokens USING (t) ORDER BY pos) GROUP BY doc").to_arrow_table()
         self.db.unregister("token_rows")
         texts = dict(zip(got["doc"].to_pylist(), got["bytes"].to_pylist(), strict=True))
         return pa.array([None if not ok else texts.get(i, b"").decode("utf-8", "replace") for i, ok in enumerate(lists.is_valid().to_pylist())], pa.string())
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    """The codec of a rank file, one for each worker process, so that later tasks know what earlier ones met."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def _sent(docs: DataFrame, path: str):
+    """The rank file's tables for the executors, and Arrow batches of bounded bytes for the session."""
+    light_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
 
 def _runs(batch: pa.RecordBatch, column: int):
@@ -220,45 +225,44 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
 
     A null text has null tokens, an empty one an empty list; rows, their order within a partition, and all other columns stay.
     """
-    docs = docs.drop("tokens")
+    docs, sent = docs.drop("tokens"), _sent(docs, path)
     at = docs.columns.index("text")
 
     def run(batches):
-        one = codec(path)
-        for batch in batches:
-            for part in _runs(batch, at):
-                yield pa.RecordBatch.from_arrays([*part.columns, one.encode(part.column(at).to_pylist())], [*part.schema.names, "tokens"])
+        with Codec(sent.value) as one:
+            for batch in batches:
+                for part in _runs(batch, at):
+                    yield pa.RecordBatch.from_arrays([*part.columns, one.encode(part.column(at).to_pylist())], [*part.schema.names, "tokens"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS]))
 
 
 def decode(rows: DataFrame, path: str = RANKS, column: str = "tokens") -> DataFrame:
     """rows with a column decoded (string), replacing one of that name: the text of the token ids in `column`; null for null."""
-    rows = rows.drop("decoded")
+    rows, sent = rows.drop("decoded"), _sent(rows, path)
     at = rows.columns.index(column)
 
     def run(batches):
-        one = codec(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, one.decode(part.column(at))], [*part.schema.names, "decoded"])
+        with Codec(sent.value) as one:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    yield pa.RecordBatch.from_arrays([*part.columns, one.decode(part.column(at))], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema, _DECODED]))
 
 
 def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """encode() and decode() in one pass over the documents, so that token lists needn't leave the task in between."""
-    light_batches(docs.sparkSession)
-    docs = docs.drop("tokens", "decoded")
+    docs, sent = docs.drop("tokens", "decoded"), _sent(docs, path)
     at = docs.columns.index("text")
 
     def run(batches):
-        one = codec(path)
-        for batch in batches:
-            for part in _runs(batch, at):
-                tokens = one.encode(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, tokens, one.decode(tokens)], [*part.schema.names, "tokens", "decoded"])
+        with Codec(sent.value) as one:
+            for batch in batches:
+                for part in _runs(batch, at):
+                    tokens = one.encode(part.column(at).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns, tokens, one.decode(tokens)], [*part.schema.names, "tokens", "decoded"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS, _DECODED]))
 

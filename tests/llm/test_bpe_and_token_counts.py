@@ -20,7 +20,7 @@ def test_rank_files_encode_as_the_library_does(spark, sf):
 @pytest.mark.parametrize("long", [B.LONG, 4])
 def test_odd_texts(monkeypatch, long):
     monkeypatch.setattr(B, "LONG", long)
-    codec, enc = B.Codec(), T.encoder(B.RANKS)
+    codec, enc = B.Codec(B.load_ranks(B.RANKS)), T.encoder(B.RANKS)
     texts = [x for x in ODD if long > 4 or x is None or len(x) < 400]
     lists = codec.encode(texts)
     assert lists.to_pylist() == [None if x is None else enc.encode_ordinary(x) for x in texts]
@@ -52,7 +52,7 @@ def test_pairs_of_lower_rank_that_a_merge_makes(tmp_path):
 
     rng = random.Random(0)
     texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (5, 40, 99, 150, 400)]
-    assert B.Codec(str(path)).encode(texts).to_pylist() == [plain(t) for t in texts]
+    assert B.Codec(B.load_ranks(str(path))).encode(texts).to_pylist() == [plain(t) for t in texts]
 
 
 def test_columns(spark):
