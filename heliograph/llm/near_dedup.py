@@ -1,13 +1,18 @@
 """Operator 8: near-duplicate documents by MinHash and an LSH forest.
 
 A document's shingles are its runs of SHINGLE words, its signature TREES * DEPTH minima of hashed shingles, one byte each.
-Documents of equal signatures are joined first (a hash aggregation, so thousands of copies cost one row each).
-The others enter a forest: tree t orders them by bytes [t * DEPTH, (t + 1) * DEPTH) of the signature.
-Documents that share the first LEAST_DEPTH bytes of a tree meet in one region of its order.  All pairs of a region are compared
-by the share of equal signature bytes.  A region of more than REGION documents is explored group by group in the tree's order:
-what is already known to be in the group of a document isn't compared with it again, everything else is, so its groups are those of
-all pairs; alike documents cost little, and only crowds of documents that aren't alike take time with the square of their number.
-Pairs that reach the threshold become edges, and connected components (alternating large-star and small-star steps,
+Documents of equal signatures are one node (a hash aggregation, so thousands of copies cost one row).
+Nodes enter a forest: tree t sorts them by bytes [t * DEPTH, (t + 1) * DEPTH) of the signature.  Nodes that share LEAST_DEPTH bytes make a
+region of a tree's order, and the neighbours of a node in it, longest common prefix first, are its candidates:
+
+ 1. The NEAR nodes to each side are compared at once, by the share of equal signature bytes.  Where a region is sparse, this goes up to
+    its root, at depth LEAST_DEPTH; where it is crowded, its neighbours share a longer prefix, so the depth adapts to the region.
+ 2. What is left of a region larger than that is explored group by group: each node of a group is compared with all nodes of the
+    region that aren't in the group yet, so the groups are those of all pairs, whatever the region's size.  Alike documents cost little;
+    a crowd of documents that aren't alike takes time with the square of its size.
+ 3. Regions of more than CROWD nodes are dealt into blocks; each pair of blocks is a task's region of its own, so none is held whole.
+
+Pairs that reach the threshold become edges, a spanning set for each region, and connected components (alternating large-star and small-star steps,
 hash aggregations of Spark) are the groups.
 """
 
@@ -18,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, free, parted, table, written
+from heliograph.llm.common import cut, free, light_batches, parted, table, written
 from heliograph.llm.textnum import chunks, hashed_words, mix64, windows
 
 SHINGLE = 3
 TREES, DEPTH = 16, 8
+#: Bytes that two nodes must share in a tree's order to be candidates: a parameter of recall, the same at every size.
 LEAST_DEPTH = 3
-#: Documents of a region whose pairs are all written down; larger regions are explored group by group, to the same groups.
-REGION = 4096
-#: Pairs that are compared in one numpy pass of an exploration, and documents of a pass, at most.
+#: Nodes that are compared in one numpy pass of an exploration, and documents of a pass, at most.
 PASS_PAIRS, PASS_ROWS = 1 << 22, 256
-#: Regions up to this size are compared together in one numpy pass; a matter of speed alone.
-SMALL = 24
+#: Neighbours to each side that are compared at once; a matter of speed alone.
+NEAR = 24
+#: Nodes of a region that one task holds; larger regions are dealt into blocks. At most CROWDED regions are told apart from others by a broadcast (8 bytes each),
+#: so the least number of nodes grows where there could be more.  A matter of distribution alone.
+CROWD, CROWDED = 20_000, 100_000
 #: Jaccard similarity of the shingle sets from which two documents count as near duplicates.
 THRESHOLD = 0.5
 
@@ -97,20 +104,6 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _close_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of sig that agree in _LEAST_EQUAL bytes, at least."""
-    n, left, right = len(sig), [], []
-    step = max(1, (1 << 21) // (n * sig.shape[1]))
-    for i in range(0, n, step):
-        block = sig[i : i + step]
-        equal = (block[:, None, :] == sig[None, i:, :]).sum(2)
-        x, y = np.nonzero(equal >= _LEAST_EQUAL)
-        ok = x < y
-        left.append(x[ok] + i)
-        right.append(y[ok] + i)
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _equal(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Equal bytes of each row of rows and each column of columns."""
     out = np.zeros((len(rows), columns.shape[1]), np.uint8)
@@ -119,31 +112,39 @@ def _equal(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _group_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of sig that agree in _LEAST_EQUAL bytes, as many as join the groups that all such pairs make.
+def _neighbour_pairs(sig: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, up to NEAR apart in a tree's order and both before the end of the first one's region, that agree in _LEAST_EQUAL bytes."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = np.arange(len(sig))
+    for d in range(1, NEAR + 1):
+        at = at[at + d < end[at]]
+        for i in range(0, len(at), 1 << 16):
+            x = at[i : i + (1 << 16)]
+            x = x[(sig[x] == sig[x + d]).sum(1) >= _LEAST_EQUAL]
+            left.append(x)
+            right.append(x + d)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _group_pairs(sig: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of sig that agree in _LEAST_EQUAL bytes, as many as it takes, with those that made `group`, to join the groups of all such pairs.
 
-    A group is finished before the next begins: each of its rows is compared with all rows that are in no group yet.
+    A group is finished before the next begins: each of its rows is compared with all rows that are in no finished group and not in its own.
     """
-    left, right = [], []
-    rest, columns, seeds = np.arange(len(sig)), np.ascontiguousarray(sig.T), 1
-    while len(rest) > 1:
-        size = min(seeds, PASS_ROWS, max(1, PASS_PAIRS // len(rest)))
-        near = _equal(sig[rest[:size]], columns) >= _LEAST_EQUAL
-        near[np.arange(len(near)), np.arange(len(near))] = False
-        linked = np.flatnonzero(near.any(1))
-        if not len(linked):  # rows that are close to none of the rest are groups of their own
-            rest, columns, seeds = rest[size:], np.ascontiguousarray(columns[:, size:]), size * 2
-            continue
-        found, keep = near[linked[0]], np.ones(len(rest), bool)
-        keep[: linked[0] + 1] = False
-        todo, at = [rest[found]], rest[linked[0]]
-        left.append(np.full(found.sum(), at))
-        right.append(rest[found])
-        keep &= ~found
-        rest, columns, seeds = rest[keep], np.ascontiguousarray(columns[:, keep]), 1
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size_of = np.bincount(group, minlength=len(sig))
+    rest = np.lexsort((np.arange(len(sig)), group, size_of[group] < 2))  # groups of several rows first
+    columns = np.ascontiguousarray(sig[rest].T)
+
+    def keep(mask: np.ndarray) -> None:
+        nonlocal rest, columns
+        rest, columns = rest[mask], np.ascontiguousarray(columns[:, mask])
+
+    def explore(rows: np.ndarray) -> None:
+        """Takes everything that is linked with rows, which are in rest no more, out of it."""
+        todo = [rows]
         while todo and len(rest):
-            size = min(PASS_ROWS, max(1, PASS_PAIRS // len(rest)))
-            rows = todo.pop()
+            size, rows = min(PASS_ROWS, max(1, PASS_PAIRS // len(rest))), todo.pop()
             if len(rows) > size:
                 todo.append(rows[size:])
                 rows = rows[:size]
@@ -152,82 +153,114 @@ def _group_pairs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if found.any():
                 left.append(rows[near[:, found].argmax(0)])
                 right.append(rest[found])
-                todo.append(rest[found])
-                rest, columns = rest[~found], np.ascontiguousarray(columns[:, ~found])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+                whole = np.isin(group[rest], group[rest[found]])  # with the groups that they belong to
+                todo.append(rest[whole])
+                keep(~whole)
+
+    while len(rest) and size_of[group[rest[0]]] > 1:
+        own = group[rest] == group[rest[0]]
+        rows = rest[own]
+        keep(~own)
+        explore(rows)
+    seeds = 1
+    while len(rest) > 1:
+        size = min(seeds, PASS_ROWS, max(1, PASS_PAIRS // len(rest)))
+        near = _equal(sig[rest[:size]], columns) >= _LEAST_EQUAL
+        near[np.arange(len(near)), np.arange(len(near))] = False
+        linked = np.flatnonzero(near.any(1))
+        if not len(linked):  # rows that are close to none of the rest are groups of their own
+            keep(np.arange(len(rest)) >= size)
+            seeds = size * 2
+            continue
+        row, seeds = rest[linked[0]], 1
+        keep(np.arange(len(rest)) > linked[0])
+        explore(np.array([row]))
+    return np.concatenate(left), np.concatenate(right)
 
 
-def region_edges(ids: np.ndarray, sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, least id of its component) among the documents of one region of a tree, sorted by that tree's bytes."""
-    a, b = (_close_pairs if len(ids) <= REGION else _group_pairs)(sig)
-    if not len(a):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    by_id = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[by_id] = np.arange(len(ids))
-    low = _components(len(ids), place[a], place[b])
-    linked = np.flatnonzero(low != np.arange(len(ids)))
-    return ids[by_id][linked], ids[by_id][low[linked]]
+def region_edges(nodes: np.ndarray, sig: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) among rows that come sorted by region and a tree's order; end: where the region of each row ends."""
+    a, b = _neighbour_pairs(sig, end)
+    group = _components(len(nodes), a, b)
+    begin = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.zeros(0, np.int64)
+    for lo, hi in zip(begin, end[begin], strict=True):
+        if hi - lo > NEAR + 1 and (group[lo:hi] != group[lo]).any():
+            x, y = _group_pairs(sig[lo:hi], group[lo:hi] - lo)
+            a, b = np.concatenate([a, x + lo]), np.concatenate([b, y + lo])
+    by_node = np.argsort(nodes, kind="stable")
+    place = np.empty(len(nodes), np.int64)
+    place[by_node] = np.arange(len(nodes))
+    low = _components(len(nodes), place[a], place[b])
+    linked = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[by_node][linked], nodes[by_node][low[linked]]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig) of the rows that have an id and words."""
+    """(doc_id, key, sig) of the rows that have words; rows of equal doc_id and text have one key."""
+    light_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in chunks(batch.column(1)):
+            for lo, hi, data, offs in chunks(batch.column(2)):
                 docs, sig = signatures(data, offs)
                 if len(docs):
                     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sig.shape[1]), len(docs), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(docs)), flat], ["doc_id", "sig"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).take(pa.array(docs)) for i in (0, 1)), flat], ["doc_id", "key", "sig"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return slim.mapInArrow(run, "doc_id long, sig binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return slim.mapInArrow(run, "doc_id long, key long, sig binary")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def _forest_edges(batches):
     """Edges of regions; rows come sorted by region, and a region may span batches."""
-    keep: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        keep = now if keep is None else pa.concat_tables([keep, now])
-        region = keep["region"].to_numpy()
-        last = int(np.searchsorted(region, region[-1]))
-        if last and len(region) >= 20_000:
-            yield from _regions(keep.slice(0, last))
-            keep = keep.slice(last)
-    if keep is not None and len(keep):
-        yield from _regions(keep)
-
-
-def _regions(rows: pa.Table):
-    region, ids, tree = rows["region"].to_numpy(), rows["doc_id"].to_numpy(), rows["tree"].to_numpy()
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    ends = np.append(np.flatnonzero(region[1:] != region[:-1]) + 1, len(region))
-    begins = np.r_[0, ends[:-1]]
-    sizes = ends - begins
-    left, right = [], []
-    # small regions all at once: row i against row i + d, while both are in one region
-    small = np.repeat(np.where(sizes <= SMALL, ends, 0), sizes)
-    at = np.arange(len(ids))
-    for d in range(1, SMALL):
-        at = at[at + d < small[at]]
-        if not len(at):
-            break
-        for i in range(0, len(at), 1 << 16):
-            x = at[i : i + (1 << 16)]
-            x = x[(sig[x] == sig[x + d]).sum(1) >= _LEAST_EQUAL]
-            left.append(np.maximum(ids[x], ids[x + d]))
-            right.append(np.minimum(ids[x], ids[x + d]))
-    for a, b in zip(begins[sizes > SMALL], ends[sizes > SMALL], strict=True):
-        x, y = region_edges(ids[a:b], sig[a:b], int(tree[a]))
-        left.append(x)
-        right.append(y)
-    if left:
-        edges = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+
+    def solve(rows: pa.Table):
+        part, nodes = rows["part"].to_numpy(), rows["node"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(nodes), -1)
+        cuts = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        a, b = region_edges(nodes, sig, np.repeat(cuts, np.diff(cuts, prepend=0)))
+        edges = np.unique(np.stack([a, b], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
+    keep, held = [], 0
+    for batch in batches:
+        keep.append(batch)
+        held += batch.num_rows
+        if held >= CROWD:
+            rows = pa.Table.from_batches(keep)
+            part = rows["part"].to_numpy()
+            last = int(np.searchsorted(part, part[-1]))
+            if last:
+                yield from solve(rows.slice(0, last))
+                rows = rows.slice(last)
+            keep, held = rows.combine_chunks().to_batches(), len(rows)
+    if held:
+        yield from solve(pa.Table.from_batches(keep))
+
+
+def forest_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of a stored table (node, sig), by the forest."""
+    region = F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * DEPTH + 1, LEAST_DEPTH)) for t in range(TREES)]))
+    rows = nodes.select("node", "sig", region.alias("tree", "region"))
+    least = max(CROWD, nodes.count() * TREES // CROWDED)
+    crowded = rows.groupBy("region").count().where(F.col("count") > least).select("region", F.ceil(F.col("count") / least).cast("int").alias("blocks"))
+    some = crowded.collect()  # CROWDED rows, at most
+    if some:
+        rows = rows.join(F.broadcast(nodes.sparkSession.createDataFrame(some, "region long, blocks int")), "region", "left")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(own))))
+        rows = rows.select("node", "sig", "tree", "region", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+        part = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    else:
+        part = F.col("region")
+    placed = rows.select(part.alias("part"), F.expr(f"substring(sig, tree * {DEPTH} + 1, {DEPTH})").alias("order"), "node", "sig")
+    placed = placed.repartition("part").sortWithinPartitions("part", "order", "node").select("part", "node", "sig")
+    return placed.mapInArrow(_forest_edges, "a long, b long")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id that an edge (a, b) names, the root the least id of its connected component.
@@ -251,56 +284,41 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row (key, doc_id, n, kept_key, kept_id, group_size) for each distinct document in a group of several, or in several rows: n of them.
+
+    kept_key and kept_id tell the group's document of the least doc_id (null ones last, of one id the least key).
+    """
+    rows = written(signed(docs).withColumn("node", F.xxhash64("sig")), "signatures")
+    nodes = written(rows.select("node", "sig").distinct(), "nodes")
+    roots = components(forest_edges(nodes))
+    own = rows.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n"))
+    own = own.join(roots, own.node == roots.id, "left").select("doc_id", "key", "n", F.coalesce("root", "node").alias("class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    classes = own.groupBy("class").agg(first.alias("kept"), F.count("*").alias("group_size"), F.max("n").alias("most")).where("group_size > 1 or most > 1")
+    return own.join(classes, "class").select("key", "doc_id", "n", F.col("kept.key").alias("kept_key"), F.col("kept.doc_id").alias("kept_id"), "group_size").where("group_size > 1 or n > 1")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row (doc_id, kept_id, group_size) for each document that goes: it is in the group of kept_id, the least doc_id of the group.
 
     Groups are the connected components of pairs whose shingle sets have an estimated Jaccard similarity of THRESHOLD or more.
-    A document that repeats in rows of the same doc_id has one row with kept_id = doc_id.  Rows without a doc_id and texts that are null or
-    have no words are in no group.  group_size counts the distinct ids of a group.  Other columns are ignored.
+    Documents are told by doc_id and text, so texts that share a doc_id are documents of their own, and rows without a doc_id are too; they come
+    last where one of a group is kept.  A kept document that repeats in equal rows has one row with kept_id = doc_id.  Texts that are null or
+    have no words are in no group.  group_size counts the distinct documents of a group.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = signed(docs)
-    # one row for each signature: the ids that have it; copies end here
-    by_sig = written(rows.groupBy("sig").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("doc_id")), "signatures")
-    regions = by_sig.select(
-        "doc_id",
-        "sig",
-        F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * DEPTH + 1, LEAST_DEPTH)) for t in range(TREES)])).alias("tree", "region"),
-    )
-    order = F.expr(f"substring(sig, tree * {DEPTH} + 1, {DEPTH})")
-    placed = regions.repartition("region").withColumn("order", order).sortWithinPartitions("region", "order", "doc_id").select("region", "tree", "doc_id", "sig")
-    edges = placed.mapInArrow(_forest_edges, "a long, b long")
-    roots = components(edges)
-    members = by_sig.select("doc_id", F.explode("ids").alias("member"))
-    flat = members.join(roots, members.doc_id == roots.id, "left").select(F.col("member").alias("doc_id"), F.coalesce("root", members.doc_id).alias("kept_id"))
-    sized = flat.groupBy("kept_id", "doc_id").agg(F.count("*").alias("n")).groupBy("kept_id").agg(F.collect_list(F.struct("doc_id", "n")).alias("ids"))
-    sized = sized.where("size(ids) > 1 or ids[0].n > 1")
-    return (
-        sized.select("kept_id", F.size("ids").cast("long").alias("group_size"), F.explode("ids").alias("x"))
-        .where("x.doc_id != kept_id or x.n > 1")
-        .select(F.col("x.doc_id").alias("doc_id"), "kept_id", "group_size")
-    )
+    return grouped(docs).where("key != kept_key or n > 1").select("doc_id", "kept_id", "group_size")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of the least doc_id; of its repeated rows one stays.
+    """docs with one document of each group of near duplicates, the one of the least doc_id (null ones last); of its equal rows one stays.
 
-    Rows without a doc_id are told by their text, and compared with one another alone; texts without words are kept.  Columns are those of docs.
+    Texts without words are kept.  Columns are those of docs.
     """
-    named = F.col("doc_id").cast("long")
-    if docs.where("doc_id is null").isEmpty():
-        return _one_of_each(docs, named)
-    nameless = F.col("doc_id").isNull() & F.col("text").isNotNull()
-    return _one_of_each(docs.where(~nameless), named).unionByName(_one_of_each(docs.where(nameless), F.xxhash64(F.col("text").cast("string"))))
-
-
-def _one_of_each(docs: DataFrame, key: Column) -> DataFrame:
-    """docs with one row of each group of near duplicates, documents told by key."""
-    found = written(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates")
-    some, rest = parted(docs, key, found.select("doc_id"))
-    gone, again = free(docs, "_near_id"), free(docs, "_near_repeated")
-    marks = found.groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("kept_id") == F.col("doc_id")).alias(again))
-    marked = some.join(marks, key == F.col(gone), "left")
+    found = written(grouped(docs).where("key != kept_key or n > 1").select("key", (F.col("key") == F.col("kept_key")).alias("stays")), "near-duplicates")
+    some, rest = parted(docs, _key(), found.select("key"))
+    gone, again = free(docs, "_near_key"), free(docs, "_near_repeated")
+    marked = some.join(found.select(F.col("key").alias(gone), F.col("stays").alias(again)), _key() == F.col(gone), "left")
     alone = marked.where(F.col(gone).isNull()).select(*docs.columns)
     repeated = marked.where(F.col(again)).dropDuplicates([gone]).select(*docs.columns)
     return rest.unionByName(alone).unionByName(repeated)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pytest
 from heliograph.llm import near_dedup as N
 from heliograph.llm.common import table
 
@@ -70,10 +71,10 @@ def test_nulls_repeats_ties_long_texts_and_clashing_names(spark):
     rows = [(1, words, "a"), (2, words.upper().replace(" ", "\n"), "b"), (2, words.upper().replace(" ", "\n"), "b"), (3, None, None), (None, words, "c"), (4, "", "d"), (5, "   ", "e"), (6, "short", "f"), (7, "short", "g"), (8, long, "h"), (9, long + " tail", None), (10, "alone here", "i")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sig string").selectExpr("*", "sig AS kept_id", "sig AS region", "sig AS ids", "sig AS root")
     got = {(r.doc_id, r.kept_id, r.group_size) for r in N.near_duplicates(docs).collect()}
-    assert got == {(2, 1, 2), (7, 6, 2), (9, 8, 2)}
+    assert got == {(2, 1, 3), (None, 1, 3), (7, 6, 2), (9, 8, 2)}
     left = N.deduplicate(docs)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted([(False, i) for i in (1, 3, 4, 5, 6, 8, 10)] + [(True, 0)])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == sorted([(False, i) for i in (1, 3, 4, 5, 6, 8, 10)])
 
 
 def test_repeated_rows_alone(spark):
@@ -88,50 +89,80 @@ def test_empty_table(spark):
     assert N.deduplicate(docs).count() == 0
 
 
-def test_crowded_regions_are_split_and_compared(spark, monkeypatch):
-    monkeypatch.setattr(N, "REGION", 8)
-    monkeypatch.setattr(N, "SMALL", 4)
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (5, a), (6, b), (7, c)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in N.near_duplicates(docs).collect()) == [(5, 1, 2), (6, 1, 2)]
+    assert sorted((r.doc_id, r.text) for r in N.deduplicate(docs).collect()) == [(1, a), (1, b), (7, c)]
+
+
+def all_pairs(nodes, sig, end):
+    """Edges of regions by comparing all their rows."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 256, N.TREES * N.DEPTH, dtype=np.uint8)
-    sig = np.stack([base] * 100)
-    sig[np.arange(100), rng.integers(N.DEPTH, len(base), 100)] ^= 1
-    a, b = N.region_edges(np.arange(100), sig[np.lexsort(sig[:, : N.DEPTH].T[::-1])], 0)
-    assert set(a) == set(range(1, 100)) and set(b) == {0}
+    equal = (sig[:, None] == sig[None]).sum(2) >= N._LEAST_EQUAL
+    x, y = np.nonzero(equal & (end[:, None] == end[None]))
+    low = np.arange(len(nodes))
+    for _ in nodes:
+        for i, j in zip(x, y, strict=True):
+            low[i] = low[j] = min(low[i], low[j], key=lambda k: nodes[k])
+        if (low == low[low]).all() and all(low[i] == low[j] for i, j in zip(x, y, strict=True)):
+            break
+    return {(nodes[i], nodes[low[i]]) for i in range(len(nodes)) if low[i] != i}
 
 
-def test_no_pair_of_a_crowded_region_is_lost(monkeypatch):
+def crowd(n, seed=1):
+    """n signatures of one region in a tree's order; each second one is like the one before, some are like many."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    n, width = 600, N.TREES * N.DEPTH
+    rng = np.random.default_rng(seed)
+    width = N.TREES * N.DEPTH
     sig = rng.integers(0, 256, (n, width), dtype=np.uint8)
     for i in range(1, n, 2):  # pairs of a Jaccard similarity of about 0.5 to 0.7
         same = rng.random(width) < rng.uniform(0.5, 0.7)
         sig[i, same] = sig[i - 1, same]
+    sig[::7, 40:] = sig[0, 40:]
     sig[:, : N.LEAST_DEPTH] = 7
     order = np.lexsort(sig[:, : N.DEPTH].T[::-1])
-    ids = rng.permutation(n)[order]
-    want = N.region_edges(ids, sig[order], 0)
-    assert len(want[0]) > 200
+    return rng.permutation(n)[order], sig[order]
+
+
+@pytest.mark.parametrize("near", [1, 5, 24])
+def test_no_pair_of_a_crowded_region_is_lost(monkeypatch, near):
+    import numpy as np
+
+    nodes, sig = crowd(300)
+    end = np.repeat([120, 150, 300], [120, 30, 150])
+    want = all_pairs(nodes, sig, end)
+    assert len(want) > 80
+    monkeypatch.setattr(N, "NEAR", near)
     for passes in (1, 64, 1 << 22):
-        monkeypatch.setattr(N, "REGION", 8)
-        monkeypatch.setattr(N, "PASS_PAIRS", passes * n)
-        got = N.region_edges(ids, sig[order], 0)
-        assert set(zip(*got, strict=True)) == set(zip(*want, strict=True))
+        monkeypatch.setattr(N, "PASS_PAIRS", passes * 300)
+        assert set(zip(*N.region_edges(nodes, sig, end), strict=True)) == want
 
 
 def test_a_link_through_a_row_that_is_close_to_an_earlier_head_counts(monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(N, "REGION", 2)
     a = np.zeros(N.TREES * N.DEPTH, np.uint8)
     x, y = a.copy(), a.copy()
     x[80:] = 1  # close to both of the others, which aren't close
     y[40:] = 1
-    got = N.region_edges(np.arange(4), np.stack([a, x, y, a + 9]), 0)
-    assert list(zip(*got, strict=True)) == [(1, 0), (2, 0)]
+    for near in (1, 3):
+        monkeypatch.setattr(N, "NEAR", near)
+        for order in ([0, 1, 2, 3], [0, 3, 2, 1], [2, 0, 3, 1]):
+            got = N.region_edges(np.arange(4)[order], np.stack([a, x, y, a + 9])[order], np.full(4, 4))
+            assert list(zip(*got, strict=True)) == [(1, 0), (2, 0)]
+
+
+def test_crowded_regions_in_blocks(spark, monkeypatch):
+    _, sig = crowd(200)
+    nodes = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(sig)], "node long, sig binary").cache()
+    whole = {tuple(r) for r in N.components(N.forest_edges(nodes)).collect()}
+    assert len(whole) > 50
+    monkeypatch.setattr(N, "CROWD", 30)
+    assert nodes.count() * N.TREES // N.CROWDED < 30
+    assert {tuple(r) for r in N.components(N.forest_edges(nodes)).collect()} == whole
 
 
 def test_one_of_the_copies_without_an_id_stays(spark):
@@ -139,6 +170,6 @@ def test_one_of_the_copies_without_an_id_stays(spark):
     rows = [(1, "one two three four"), *[(None, words)] * 3, (None, words + " more"), (None, "apart from the others"), (None, None), (None, None), (None, " ")]
     left = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     texts = [r.text for r in left if r.doc_id is None]
-    assert len(left) == 6 and len(texts) == 5
+    assert len(left) == 6 and len(texts) == 5 and [r.doc_id for r in left if r.doc_id] == [1]
     assert len([t for t in texts if t and t.startswith(words)]) == 1
     assert texts.count(None) == 2 and " " in texts and "apart from the others" in texts
