@@ -9,8 +9,12 @@ start at anchors are sorted (about one in eighteen), each with the words that it
  1. Prefixes: the PREFIX words of every anchor are counted over the corpus.  Those that occur once start no repeat; the
     others go to the executors as a bitmap of at most BITMAP_BITS bits, whatever their number (a bit set by chance costs
     a shuffled row, never a result).
- 2. Partition: suffixes whose prefix repeats are shuffled and sorted by prefix.  A task takes prefixes in groups that fit
-    memory (PACK suffixes), splitting no prefix.
+ 2. Partition: suffixes whose prefix repeats are shuffled and sorted by prefix.  Prefixes are of variable length, so that each group of
+    suffixes fits memory (PACK suffixes; groups are packed together up to that): the windows that begin lo to hi words
+    before an anchor have MIN_WORDS - hi + lo words in common, from lo words before it on; where too many suffixes share
+    those, the windows are parted in two, lo to the middle and the rest, which share about half as many words more each.  Prefixes
+    grow so from PREFIX words up to whole windows.  Windows that are too many even so are all alike: they need no tree, only a count
+    and the oldest of them, and aren't shuffled by prefix at all.
  3. Trees: a group's suffixes are sorted word by word; common prefixes of neighbours give the internal nodes,
     a node at depth d being a run of suffixes that share d words.  A second tree, over the words leftwards, does the same for
     what precedes.  A window that starts o words before its anchor is repeated exactly where suffixes meet in one node of depth
@@ -26,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import free, light_batches, parted, table, written
-from heliograph.llm.textnum import chunks, hashed_words, windows, words
+from heliograph.llm.textnum import chunks, hashed_words, mix64, windows, words
 
 #: Words of the shortest repeat.
 MIN_WORDS = 50
-#: Words of the prefix that suffixes are partitioned by.
+#: Words of the shortest prefix that suffixes are partitioned by.
 PREFIX = 16
-#: Suffixes that are sorted at once; more only where one prefix has more.
-PACK = 60_000
+#: Suffixes that are sorted at once. Prefixes of more are made longer; where more than LONGER prefixes would be (a bound of what is broadcast), only those
+#: of twice as many suffixes, and so on.  A matter of memory alone.
+PACK, LONGER = 60_000, 1 << 20
 BITMAP_BITS = 1 << 29
 
 _REACH = MIN_WORDS - PREFIX
@@ -71,8 +76,76 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return slim.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
-def _bitmap(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(log2 of its bits, bitmap) of the prefixes that occur twice or more, by their leading bits."""
+class Prefixes:
+    """What executors know of the prefixes of a corpus: those that may repeat, and those of too many suffixes."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray, crowded: np.ndarray):
+        self.bits, self.bitmap, self.crowded = bits, bitmap, crowded
+
+    def repeated(self, g: np.ndarray) -> np.ndarray:
+        at = (g >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.flatnonzero(self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+    def descend(self, h: np.ndarray, g: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
+        """(suffix, prefix hash, least and greatest offset of its windows, whether it is a whole window of a crowded prefix), prefixes made longer while they are crowded.
+
+        every: gives all longer prefixes of the crowded ones instead.
+        """
+        who, lo, hi, out = np.arange(len(g)), np.zeros(len(g), np.int64), np.full(len(g), _REACH), []
+        while len(who):
+            many = self._crowded(g) if not every or not out else np.ones(len(g), bool)
+            full = many & (lo == hi)
+            done = ~many | full
+            if not every:
+                out.append((who[done], g[done], lo[done], hi[done], full[done]))
+            elif out:
+                out.append((who, g, lo, hi, full))
+            else:
+                out.append(tuple(x[:0] for x in (who, g, lo, hi, full)))
+            who, lo, hi = who[~done], lo[~done], hi[~done]
+            middle = (lo + hi) // 2
+            who, lo, hi = np.concatenate([who, who]), np.concatenate([lo, middle + 1]), np.concatenate([middle, hi])
+            some = (lo <= high[who]) & (low[who] <= hi)  # has windows there
+            who, lo, hi = who[some], lo[some], hi[some]
+            g = _span_hash(h, place[who] - lo, lo, hi)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (who, g, lo, hi, np.zeros(0, bool))
+
+    def _crowded(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.crowded):
+            return np.zeros(len(g), bool)
+        return self.crowded[np.minimum(np.searchsorted(self.crowded, g), len(self.crowded) - 1)] == g
+
+
+def _span_hash(h: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words that windows lo to hi words before an anchor have in common; start is where the one at lo begins."""
+    out = (lo * 64 + hi + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    length = MIN_WORDS - hi + lo
+    for j in range(int(length.max()) if len(length) else 0):
+        more = length > j
+        out[more] = mix64(out[more]) + h[start[more] + j]
+    return mix64(out)
+
+
+def _anchored(prefixes: Prefixes, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word hashes, first words of documents, and of the suffixes whose prefix may repeat: prefix hash, place, least and greatest offset)."""
+    h, _, _, first = hashed_words(data, offs)
+    g, place, low, high = anchors(h, first)
+    some = prefixes.repeated(g)
+    return h, first, g[some], place[some], low[some], high[some]
+
+
+def _most_crowded(counted: DataFrame) -> DataFrame:
+    """Rows of a stored table (g, n, …) with n over PACK, LONGER of them at most."""
+    most = PACK
+    while (found := counted.where(F.col("n") > most)).count() > LONGER:
+        most *= 2
+    return found
+
+
+def _prefixes(docs: DataFrame) -> tuple[Prefixes, np.ndarray]:
+    """The prefixes of a corpus, and the hashes of the whole windows among the crowded ones."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
     def run(batches):
         for batch in batches:
@@ -81,42 +154,52 @@ def _bitmap(docs: DataFrame) -> tuple[int, np.ndarray]:
                 g, n = np.unique(anchors(h, first)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
-    slim = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     counted = slim.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    repeated = written(counted.where("n > 1").select("g"), "repeated-prefixes")
-    bits = int(np.clip(int(max(repeated.count(), 1) * 64 - 1).bit_length(), 12, BITMAP_BITS.bit_length() - 1))
-
-    def fill(rows: pa.Table) -> pa.Table:
-        g = rows["g"].to_numpy().view(np.uint64)
-        part = np.zeros(1 << (bits - 8), np.uint8)
-        part[(g >> np.uint64(64 - bits)).astype(np.int64) & ((1 << (bits - 8)) - 1)] = 1
-        return pa.table({"slice": rows["slice"][:1], "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
+    repeated = written(counted.where("n > 1"), "repeated-prefixes")
+    bits = int(np.clip(int(max(repeated.count(), 1) * 64 - 1).bit_length(), _ROW_BITS, BITMAP_BITS.bit_length() - 1))
+    row = repeated.select(F.shiftrightunsigned("g", 64 - bits).alias("at")).groupBy(F.shiftright("at", _ROW_BITS).alias("row"))
+    bitmap = np.zeros((1 << (bits - _ROW_BITS), 1 << (_ROW_BITS - 3)), np.uint8)
+    for r in row.agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias("bits")).collect():
+        bitmap[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    as_hashes = lambda table: np.sort(table.select("g").toArrow()["g"].to_numpy().view(np.uint64))
+    prefixes = Prefixes(bits, bitmap.ravel(), as_hashes(_most_crowded(repeated)))
+    if not len(prefixes.crowded):
+        return prefixes, prefixes.crowded
+    sent = spark.sparkContext.broadcast(prefixes)
+
+    def longer(batches):
+        for batch in batches:
+            for _, _, data, offs in chunks(batch.column(0)):
+                h, _, g, place, low, high = _anchored(sent.value, data, offs)
+                _, g, _, _, full = sent.value.descend(h, g, place, low, high, every=True)
+                g, at, n = np.unique(g, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(full[at]), pa.array(n)], ["g", "whole", "n"])
 
-    out = np.zeros(1 << (bits - 3), np.uint8).reshape(256, -1)
-    top = F.shiftrightunsigned("g", 56).cast("int").alias("slice")
-    for row in repeated.select(top, "g").groupBy("slice").applyInArrow(fill, "slice int, bits binary").toLocalIterator():
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits, out.ravel()
+    found = slim.mapInArrow(longer, "g long, whole boolean, n long").groupBy("g", "whole").agg(F.sum("n").alias("n")).where(F.col("n") > PACK)
+    found = _most_crowded(written(found, "crowded-prefixes"))
+    whole = as_hashes(found.where("whole"))
+    return Prefixes(bits, prefixes.bitmap, np.union1d(prefixes.crowded, as_hashes(found))), whole
 
 
+_ROW_BITS = 15  # of the bitmaps that Spark makes
 _SUFFIXES = "g long, key long, doc_id long, place int, low byte, high byte, around binary"
+_WINDOWS = "g long, key long, doc_id long, place int"
+_RUNS = "key long, doc_id long, start_word int, end_word int, kept boolean, copies long"
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
+def _suffixes(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
     """Suffixes at anchors whose prefix may repeat, with the words around."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(prefixes)
 
     def run(batches):
-        bits, bitmap = sent.value
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(2)):
-                h, _, _, first = hashed_words(data, offs)
-                g, place, low, high = anchors(h, first)
-                bit = (g >> np.uint64(64 - bits)).astype(np.int64)
-                some = np.flatnonzero(bitmap[bit >> 3] & (128 >> (bit & 7)))
-                if not len(some):
+                h, first, g, place, low, high = _anchored(sent.value, data, offs)
+                who, g, least, most, whole = sent.value.descend(h, g, place, low, high)
+                who, g, least, most = who[~whole], g[~whole], least[~whole], most[~whole]
+                if not len(who):
                     continue
-                g, place, low, high = g[some], place[some], low[some], high[some]
+                place, low, high = place[who], np.maximum(low[who], least), np.minimum(high[who], most)
                 doc = np.searchsorted(first, place, side="right") - 1
                 at = place[:, None] + _AROUND
                 inside = (at >= first[doc, None]) & (at < first[doc + 1, None])
@@ -132,6 +215,32 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, _SUFFIXES)
 
 
+def _crowded_windows(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
+    """Repeats of one window each, of those windows that occur too often for a tree: they are all alike, so their number and the oldest tell all."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(prefixes)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in chunks(batch.column(2)):
+                h, first, g, place, low, high = _anchored(sent.value, data, offs)
+                who, g, offset, _, whole = sent.value.descend(h, g, place, low, high)
+                who, g, offset = who[whole], g[whole], offset[whole]
+                if len(who):
+                    doc = np.searchsorted(first, place[who], side="right") - 1
+                    at = (place[who] - offset - first[doc]).astype(np.int32)
+                    rows = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 1)), pa.array(at)], ["g", "key", "doc_id", "place"])
+
+    rows = _keyed(docs).mapInArrow(run, _WINDOWS)
+    oldest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "place")).alias("oldest")
+    known = rows.distinct().groupBy("g").agg(F.count("*").alias("copies"), oldest).where("copies > 1")
+    known = written(known.select("g", "copies", F.col("oldest.key").alias("first_key"), F.col("oldest.place").alias("first_place")), "crowded-windows")
+    out = rows.join(F.broadcast(known), "g")  # LONGER rows at most
+    kept = (F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))
+    return out.select("key", "doc_id", F.col("place").alias("start_word"), (F.col("place") + MIN_WORDS).alias("end_word"), kept.alias("kept"), "copies")
+
+
 class SuffixTree:
     """Internal nodes of the compressed tree of rows of words, below the roots that `group` tells apart."""
 
@@ -160,8 +269,8 @@ def repeats(g: np.ndarray, key: np.ndarray, doc_id: np.ndarray, place: np.ndarra
     kept tells the first occurrence of a window, by doc_id, key and place, from the others.
     """
     group = np.cumsum(np.r_[True, g[1:] != g[:-1]])
-    by_age = np.lexsort((place, key, doc_id))
-    same = np.r_[False, (place[by_age][1:] == place[by_age][:-1]) & (key[by_age][1:] == key[by_age][:-1]) & (doc_id[by_age][1:] == doc_id[by_age][:-1])]
+    by_age = np.lexsort((group, place, key, doc_id))
+    same = np.r_[False, (group[by_age][1:] == group[by_age][:-1]) & (place[by_age][1:] == place[by_age][:-1]) & (key[by_age][1:] == key[by_age][:-1]) & (doc_id[by_age][1:] == doc_id[by_age][:-1])]
     age = np.empty(len(g), np.int64)
     age[by_age] = np.cumsum(~same)
     once = np.sort(by_age[~same])  # repeated rows count once
@@ -200,7 +309,6 @@ def repeats(g: np.ndarray, key: np.ndarray, doc_id: np.ndarray, place: np.ndarra
 
 def _trees(batches):
     """Repeats of suffixes that come sorted by prefix, in groups of whole prefixes."""
-    keep: pa.Table | None = None
 
     def solve(rows: pa.Table):
         around = np.frombuffer(b"".join(rows["around"].to_pylist()), ">u4").reshape(rows.num_rows, -1)
@@ -212,18 +320,20 @@ def _trees(batches):
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([rows["key"].take(at).combine_chunks(), rows["doc_id"].take(at).combine_chunks(), *(pa.array(x.astype(np.int32)) for x in (start, end)), pa.array(kept), pa.array(n)], ["key", "doc_id", "start_word", "end_word", "kept", "copies"])
 
+    keep, held = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keep = pa.Table.from_batches([batch]) if keep is None else pa.concat_tables([keep, pa.Table.from_batches([batch])])
-        if len(keep) >= PACK:
-            g = keep["g"].to_numpy()
+        keep.append(batch)
+        held += batch.num_rows
+        if held >= PACK:
+            rows = pa.Table.from_batches(keep)
+            g = rows["g"].to_numpy()
             last = int(np.searchsorted(g, g[-1]))
             if last:
-                yield from solve(keep.slice(0, last))
-                keep = keep.slice(last)
-    if keep is not None and len(keep):
-        yield from solve(keep)
+                yield from solve(rows.slice(0, last))
+                rows = rows.slice(last)
+            keep, held = rows.combine_chunks().to_batches(), len(rows)
+    if held:
+        yield from solve(pa.Table.from_batches(keep))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -234,8 +344,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the greatest number of occurrences of a window of the passage.  Rows of equal doc_id and text count as one document,
     known by `key`, and neither as a repeat that goes.  Null, empty and shorter texts have no passages; other columns are ignored.
     """
-    suffixes = _suffixes(docs).repartition("g").sortWithinPartitions("g")
-    runs = suffixes.mapInArrow(_trees, "key long, doc_id long, start_word int, end_word int, kept boolean, copies long")
+    light_batches(docs.sparkSession)
+    prefixes, whole = _prefixes(docs)
+    runs = _suffixes(docs, prefixes).repartition("g").sortWithinPartitions("g").mapInArrow(_trees, _RUNS)
+    if len(whole):
+        runs = runs.unionByName(_crowded_windows(docs, prefixes))
     by_place = Window.partitionBy("key", "kept").orderBy("start_word", "end_word")
     before = F.max("end_word").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     joined = runs.withColumn("fresh", (F.coalesce(before, F.lit(-1)) < F.col("start_word")).cast("int"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
+import pytest
 from heliograph.llm import substring_dedup as S
 from heliograph.llm.common import table
 
@@ -49,10 +51,34 @@ def test_small_packs_and_full_bitmap_give_the_same(spark, sf, monkeypatch):
     docs = table(spark, sf, "documents")
     want = found(docs)
     monkeypatch.setattr(S, "PACK", 50)
-    monkeypatch.setattr(S, "BITMAP_BITS", 1 << 12)
+    monkeypatch.setattr(S, "BITMAP_BITS", 1 << S._ROW_BITS)
     assert found(docs) == want
 
 
+@pytest.mark.parametrize("pack", [1, 3, 10, 40])
+def test_longer_prefixes_give_the_same(spark, monkeypatch, pack):
+    rng = random.Random(pack)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    head, tail, hot = word(70), word(70), word(120)
+    rows = []
+    for i in range(60):  # passages that part, to the left and to the right of what they share
+        rows.append((i, " ".join(word(5) + head[rng.randrange(40) :] + hot[: rng.randrange(20, 121)] + tail[: rng.randrange(70)] + word(5))))
+    rows += [(100 + i % 7, " ".join(hot)) for i in range(30)] + [(None, " ".join(hot)), (0, rows[0][1]), (200, " ".join(word(3) * 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "PACK", pack)
+    prefixes, whole = S._prefixes(docs)
+    assert len(prefixes.crowded) > len(whole) >= (pack < 40) and found(docs) == brute(rows)
+
+
+def test_crowded_prefixes_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(200))) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(S, "PACK", 2)
+    want = found(docs)
+    for longer in (0, 5):
+        monkeypatch.setattr(S, "LONGER", longer)
+        assert len(S._prefixes(docs)[0].crowded) <= 2 * longer and found(docs) == want
+
+
 def test_nothing_repeats_after_deduplication(spark, sf):
     docs = table(spark, sf, "documents")
     left = S.deduplicate(docs)
