@@ -3,23 +3,26 @@
 A page becomes a tree; every paragraph of some length passes points - one, one for each comma, up to three for length - to its
 parent, half of them to its grandparent, and a falling share to ancestors above.  A container's points, with a
 bonus or malus for its tag and its class and id, are discounted by its link density.  The best container is kept, with
-those of its siblings that score well or read like prose.  Scripts, styles, comments, forms and
+those of its siblings that score well or read like prose.  Scripts, styles, comments, controls of forms and
 navigation never count.
 
 The parser is one compiled regular expression over the page and a stack; end tags that HTML lets authors leave
-out (p, li, td, ...) are implied, unknown or unmatched ones ignored.
+out (p, li, td, ...) are implied, unknown or unmatched ones ignored.  Time is linear in the page, however deep or broken its markup.
+LEAST_PARAGRAPH, LEVELS and SIBLING are parameters of the scoring; the names in _GOOD and _BAD are those that public
+readability scorers look for.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import light_batches, table
 
 #: Characters that a paragraph must have to pass points.
 LEAST_PARAGRAPH = 25
@@ -29,17 +32,16 @@ LEVELS = 5
 SIBLING = 0.2
 
 #: Quantifiers that don't give back keep the scan linear on broken markup.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|button)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*+>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Elements whose inside is no text of the page: up to their end tag or, where there is none, the end of the page for the first two, else nothing but the tag.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template textarea iframe svg math select button".split()}
+_UNENDED = frozenset(("script", "style"))
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 _BAD = re.compile(r"\bads?\b|advert|banner|combx|comment|contact|foot|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|tags|widget|\bnav|menu|breadcrumb|cookie|popup", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("nav footer aside form head".split())
+_SKIP = frozenset("nav footer aside head".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _PARAGRAPH = frozenset("p pre td blockquote li".split())
 _TAG_SCORE = {"div": 5, "article": 8, "main": 8, "section": 4, "pre": 3, "td": 3, "blockquote": 3}
@@ -59,42 +61,63 @@ class Node:
         self.skipped = tag in _SKIP or bool(names and tag not in ("html", "body", "article", "main") and _BAD.search(names) and not _GOOD.search(names))
 
 
+class _Open:
+    """The open elements, innermost last, and where those of each tag are among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.at[self.stack.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
     """The tree of a page, without what never holds main text."""
     root = Node("#root", "", None)
-    open_, at = root, 0
-    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):  # behind the last > there is only text
+    open_, at, end, unended = _Open(root), 0, page.rfind(">") + 1, set()  # behind the last > there is only text
+    while m := _TOKEN.search(page, at, end):
         if m.start() > at:
-            open_.children.append(page[at : m.start()])
+            open_.stack[-1].children.append(page[at : m.start()])
         at = m.end()
         tag = m.group("tag")
         if not tag:
             continue
         tag = tag.lower()
         if m.group("end"):
-            node = open_
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                open_ = node.parent
+            if depth := open_.innermost((tag,)):
+                open_.close(depth)
+            continue
+        attrs = m.group("attrs")
+        if tag in _RAW:
+            if attrs.endswith("/") and tag not in _UNENDED or tag in unended:
+                continue
+            ending = _RAW[tag].search(page, at)
+            if ending:
+                at = ending.end()
+            elif tag in _UNENDED:
+                return root
+            else:
+                unended.add(tag)
             continue
         if tag in _CLOSES:
             closed, scope = _CLOSES[tag]
-            node = open_
-            while node is not root and node.tag not in scope:
-                if node.tag in closed:
-                    open_ = node.parent
-                    if tag in ("p", "li", "div"):
-                        break
-                node = node.parent
-        attrs = m.group("attrs")
+            while (depth := open_.innermost(closed)) > open_.innermost(scope):
+                open_.close(depth)
         names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(attrs)) if "=" in attrs else ""
-        node = Node(tag, names, open_)
-        open_.children.append(node)
+        node = Node(tag, names, open_.stack[-1])
+        node.parent.children.append(node)
         if tag not in _VOID and not attrs.endswith("/"):
-            open_ = node
+            open_.push(node)
     if at < len(page):
-        open_.children.append(page[at:])
+        open_.stack[-1].children.append(page[at:])
     return root
 
 
@@ -197,6 +220,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     its visible text, with score 0; of equally good containers the first in the page is taken.  Pages without a title have null.
     Repeated rows give repeated rows; other columns are ignored.
     """
+    light_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
