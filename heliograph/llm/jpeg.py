@@ -1,8 +1,9 @@
 """JPEG in numpy: a decoder of progressive and sequential Huffman streams, and a progressive encoder for fixtures.
 
 The decoder accumulates every scan - spectral selection and successive approximation - into arrays of quantised
-coefficients, one per component; only then are all blocks of a component dequantised and inverse-transformed in one matrix
-product, and chroma is brought to full resolution by repeating samples.
+coefficients, one per component; only then are blocks dequantised and inverse-transformed, some rows of MCUs in one matrix
+product, and chroma is brought to full resolution by repeating samples.  Beside the coefficients (4 bytes each, and only those that a scan reaches) and the
+tensor itself, memory follows the width of an image.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ DCT[0] /= np.sqrt(2)
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
-#: Blocks that a byte may stand for at most; a frame of more, such as a broken header names, would only fill memory.
-BLOCKS_PER_BYTE = 256
+#: Pixels of the largest tensor that fits a binary value of Spark (2 GB).
+MOST_PIXELS = (2**31 - 1) // 3
 
 
 class BadJpeg(ValueError):
@@ -50,6 +51,10 @@ class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.held, self.n = data, 0, 0, 0
 
+    def ended(self) -> bool:
+        """Whether more bits than there are were taken."""
+        return 8 * self.at - self.n > 8 * len(self.data)
+
     def _fill(self) -> None:
         more = self.data[self.at : self.at + 6]
         self.at += 6
@@ -157,8 +162,8 @@ def _ac_refine(bits: _Bits, coef: list[int], at: int, lo: int, hi: int, shift: i
 
 
 class Decoder:
-    def __init__(self, data: bytes):
-        self.data, self.quant, self.tables, self.comps = data, {}, {}, []
+    def __init__(self, data: bytes, most_pixels: int = MOST_PIXELS):
+        self.data, self.most_pixels, self.quant, self.tables, self.comps = data, most_pixels, {}, {}, []
         self.interval, self.progressive, self.adobe = 0, False, None
         if data[:2] != b"\xff\xd8":
             raise BadJpeg("no start of image")
@@ -224,12 +229,12 @@ class Decoder:
             raise BadJpeg("a frame that isn't supported")
         self.h, self.v = max(c.h for c in comps), max(c.v for c in comps)
         self.mcus_x, self.mcus_y = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
-        if self.mcus_x * self.mcus_y > BLOCKS_PER_BYTE * len(self.data):
-            raise BadJpeg("a frame far larger than its data")
+        if self.height * self.width > self.most_pixels:
+            raise BadJpeg("a frame of too many pixels")
         for c in comps:
             c.width, c.height = -(-self.width * c.h // self.h), -(-self.height * c.v // self.v)
             c.stride, c.rows = self.mcus_x * c.h, self.mcus_y * c.v
-            c.coef = [0] * (c.stride * c.rows * 64)
+            c.coef = memoryview(np.zeros(c.stride * c.rows * 64, np.int32))  # takes memory only where a scan writes
         self.comps = comps
 
     def _blocks(self, comps: list[_Component]):
@@ -258,62 +263,77 @@ class Decoder:
         lo, hi, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         if self.progressive and (hi > 63 or lo > hi or (lo and n > 1)):
             raise BadJpeg("a scan that isn't supported")
+        if not self.progressive and any(c.dc is None or c.ac is None for c in comps) or self.progressive and (comps[0].ac is None if lo else not high and any(c.dc is None for c in comps)):
+            raise BadJpeg("a scan without a Huffman table")
         segments = iter(_RESTART.split(raw))
         bits, run = _Bits(b""), 0
         for i, mcu in enumerate(self._blocks(comps)):
             if i == 0 or self.interval and i % self.interval == 0:
-                bits, run = _Bits(next(segments, b"").replace(b"\xff\x00", b"\xff")), 0
+                segment = next(segments, None)
+                if segment is None:
+                    return
+                bits, run = _Bits(segment.replace(b"\xff\x00", b"\xff")), 0
                 for c in comps:
                     c.pred = 0
-            for c, at in mcu:
-                if not self.progressive:
-                    if c.dc is None or c.ac is None:
-                        raise BadJpeg("a scan without Huffman tables")
-                    _sequential(bits, c, at, c.dc, c.ac)
-                elif lo:
-                    if c.ac is None:
-                        raise BadJpeg("a scan without a Huffman table")
-                    run = (_ac_refine if high else _ac_first)(bits, c.coef, at, lo, hi, low, c.ac, run)
-                elif high:
-                    if bits.take(1):
-                        c.coef[at] |= 1 << low
-                else:
-                    if c.dc is None:
-                        raise BadJpeg("a scan without a Huffman table")
-                    if t := bits.symbol(c.dc):
-                        c.pred += bits.value(t)
-                    c.coef[at] = c.pred * (1 << low)
+            elif not run and bits.ended():
+                if not self.interval:
+                    return
+                continue  # the next segment may be whole
+            try:
+                for c, at in mcu:
+                    if not self.progressive:
+                        _sequential(bits, c, at, c.dc, c.ac)
+                    elif lo:
+                        run = (_ac_refine if high else _ac_first)(bits, c.coef, at, lo, hi, low, c.ac, run)
+                    elif high:
+                        if bits.take(1):
+                            c.coef[at] |= 1 << low
+                    else:
+                        if t := bits.symbol(c.dc):
+                            c.pred += bits.value(t)
+                        c.coef[at] = c.pred * (1 << low)
+            except BadJpeg:
+                if not bits.ended():
+                    raise
 
     def coefficients(self) -> list[np.ndarray]:
         """Quantised coefficients of each component: rows of blocks, blocks, 64 in zigzag order."""
-        return [np.array(c.coef, np.int64).reshape(c.rows, c.stride, 64) for c in self.comps]
+        return [np.asarray(c.coef).reshape(c.rows, c.stride, 64) for c in self.comps]
 
     def rgb(self) -> np.ndarray:
-        """height x width x 3 bytes."""
-        planes = []
-        for c, coef in zip(self.comps, self.coefficients(), strict=True):
-            if c.quant not in self.quant:
-                raise BadJpeg("no quantisation table")
-            natural = np.zeros(coef.shape)
-            natural[:, :, ZIGZAG] = coef * self.quant[c.quant]
-            blocks = DCT.T @ natural.reshape(c.rows, c.stride, 8, 8) @ DCT
-            plane = np.clip(np.rint(blocks.transpose(0, 2, 1, 3).reshape(c.rows * 8, c.stride * 8) + 128), 0, 255)[: c.height, : c.width]
-            y, x = np.arange(self.height) * c.v // self.v, np.arange(self.width) * c.h // self.h
-            planes.append(plane[y[:, None], x])
+        """height x width x 3 bytes, some rows of MCUs at a time."""
+        if any(c.quant not in self.quant for c in self.comps):
+            raise BadJpeg("no quantisation table")
+        out, coefs = np.empty((self.height, self.width, 3), np.uint8), self.coefficients()
+        n = max(1, (1 << 16) // (8 * self.v * self.width))
+        for y0 in range(0, self.height, 8 * self.v * n):
+            rows = np.arange(y0, min(y0 + 8 * self.v * n, self.height))
+            planes = []
+            for c, coef in zip(self.comps, coefs, strict=True):
+                first = y0 // (8 * self.v) * c.v
+                strip = coef[first : first + c.v * n]
+                natural = np.zeros(strip.shape)
+                natural[:, :, ZIGZAG] = strip * self.quant[c.quant]
+                blocks = DCT.T @ natural.reshape(*strip.shape[:2], 8, 8) @ DCT
+                plane = np.clip(np.rint(blocks.transpose(0, 2, 1, 3).reshape(-1, c.stride * 8) + 128), 0, 255)
+                planes.append(plane[(rows * c.v // self.v - 8 * first)[:, None], np.arange(self.width) * c.h // self.h])
+            out[rows] = self._colours(planes)
+        return out
+
+    def _colours(self, planes: list[np.ndarray]) -> np.ndarray:
         if len(planes) == 1:
-            return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
+            return np.repeat(planes[0][:, :, None], 3, 2)
         if self.adobe == 0:
-            return np.stack(planes, 2).astype(np.uint8)
+            return np.stack(planes, 2)
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-        out = np.stack([y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb], 2)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb], 2)), 0, 255)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """RGB tensor (height, width, 3) of a JPEG; BadJpeg where it can't be decoded."""
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> np.ndarray:
+    """RGB tensor (height, width, 3) of a JPEG; BadJpeg where it can't be decoded or has more than most_pixels."""
     try:
-        return Decoder(data).rgb()
-    except (IndexError, TypeError) as e:
+        return Decoder(data, most_pixels).rgb()
+    except (IndexError, TypeError, ValueError, MemoryError) as e:
         raise BadJpeg("a broken stream") from e
 
 

@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.llm import jpeg
-from heliograph.llm.common import table
+from heliograph.llm.common import light_batches, table
+
+#: Bytes of tensors that leave a task at once; one larger tensor leaves alone.
+AT_ONCE = 16 << 20
 
 _ADDED = [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("rgb", T.BinaryType())]
 
 
-def decode_column(df: DataFrame, column: str = "jpeg") -> DataFrame:
+def decode_column(df: DataFrame, column: str = "jpeg", most_pixels: int = jpeg.MOST_PIXELS) -> DataFrame:
     """df with columns height, width, channels (ints) and rgb (binary), replacing any of these names; `column` is dropped.
 
-    A null, empty, broken or unsupported image gives nulls, as does one whose header names a frame far larger than its data;
-    one cut short decodes as far as it goes.  Rows stay in number and order.
+    A null, empty, broken or unsupported image gives nulls, as does one of more than most_pixels, by default those of the largest tensor that a
+    binary value can hold; one cut short decodes as far as it goes, the rest is grey.  Rows, repeated ones too, stay in number and order.
     """
+    light_batches(df.sparkSession)
     base = df.drop("height", "width", "channels", "rgb")
     at = base.columns.index(column)
     kept = [f for f in base.schema if f.name != column]
@@ -31,19 +35,22 @@ def decode_column(df: DataFrame, column: str = "jpeg") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                shapes, tensors = [], []
-                for x in part.column(at):
-                    try:
-                        rgb = jpeg.decode(x.as_py() or b"")
-                        shapes.append(rgb.shape)
-                        tensors.append(rgb.tobytes())
-                    except jpeg.BadJpeg:
-                        shapes.append((None, None, None))
-                        tensors.append(None)
+            lo, shapes, tensors, held = 0, [], [], 0
+            for hi, x in enumerate(batch.column(at), 1):
+                try:
+                    rgb = jpeg.decode(x.as_py() or b"", most_pixels)
+                    shapes.append(rgb.shape)
+                    tensors.append(rgb.tobytes())
+                    held += rgb.nbytes
+                except jpeg.BadJpeg:
+                    shapes.append((None, None, None))
+                    tensors.append(None)
+                if held < AT_ONCE and hi - lo < 256 and hi < batch.num_rows:
+                    continue
+                part = batch.slice(lo, hi - lo)
                 added = [pa.array([s[i] for s in shapes], pa.int32()) for i in range(3)] + [pa.array(tensors, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at] + added, schema.names)
+                lo, shapes, tensors, held = hi, [], [], 0
 
     return base.mapInArrow(run, schema)
 
