@@ -270,3 +270,40 @@ def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs).select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), "decoded")
+
+
+_SPACE = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: A character for private use that parts the last white space of a run from those before it: RE2 can't look ahead.
+_PART = "\ue000"
+#: (doc row r, doc_id, text, tokens) of documents, with the rank file read as a table.
+TOKENS_SQL = f"""
+WITH RECURSIVE ranks AS (SELECT hex(from_base64(line[1])) AS h, line[2]::INT AS t FROM (SELECT string_split(line, ' ') AS line FROM read_csv('{RANKS}', columns = {{'line': 'VARCHAR'}}, delim = '\x01', quote = '', escape = '', header = false))),
+splits AS (SELECT t, substr(h, 1, 2 * i) AS a, substr(h, 2 * i + 1) AS b FROM (SELECT t, h, unnest(range(1, length(h) // 2)) AS i FROM ranks WHERE length(h) > 2)),
+merges AS (SELECT l.t AS a, r.t AS b, s.t FROM splits s JOIN ranks l ON l.h = s.a JOIN ranks r ON r.h = s.b),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+cut AS (SELECT r, regexp_extract_all(regexp_replace(text, '([{_SPACE}]+)([{_SPACE}])([^{_SPACE}])', '\\1{_PART}\\2\\3', 'g'),
+  '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_SPACE}\\p{{L}}\\p{{N}}{_PART}]+|[{_SPACE}]+') AS ps FROM docs),
+pieces AS (SELECT r, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece FROM cut),
+known AS (SELECT row_number() OVER () AS w, piece, hex(encode(piece)) AS h FROM (SELECT DISTINCT piece FROM pieces)),
+start AS (SELECT w, p, ranks.t FROM (SELECT w, p, substr(h, 2 * p + 1, 2) AS h FROM (SELECT w, h, unnest(range(length(h) // 2)) AS p FROM known)) JOIN ranks USING (h)),
+step AS (
+  SELECT w, p, t, false AS done FROM start
+  UNION ALL
+  SELECT w, p, CASE WHEN p = best % 1048576 THEN best // 1048576 ELSE t END::INT, best IS NULL
+  FROM (SELECT *, lag(p) OVER (PARTITION BY w ORDER BY p) = best % 1048576 AS gone FROM (
+    SELECT x.w, x.p, x.t, min(merges.t::BIGINT * 1048576 + x.p) OVER (PARTITION BY x.w) AS best
+    FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM step WHERE NOT done) x LEFT JOIN merges ON merges.a = x.t AND merges.b = x.nt))
+  WHERE gone IS NOT TRUE
+),
+of_piece AS (SELECT piece, list(t ORDER BY p) AS ts FROM step JOIN known USING (w) WHERE done GROUP BY piece),
+of_doc AS (SELECT r, flatten(list(ts ORDER BY i)) AS tokens FROM pieces JOIN of_piece USING (piece) GROUP BY r),
+encoded AS (SELECT docs.r, doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(tokens, []) END AS tokens FROM docs LEFT JOIN of_doc USING (r))
+"""
+ORACLE_SQL = (
+    TOKENS_SQL
+    + """
+SELECT doc_id, tokens, len(tokens)::INT AS n_tokens, CASE WHEN text IS NOT NULL THEN coalesce(decode(unhex(bytes)), '') END AS decoded
+FROM encoded LEFT JOIN (
+  SELECT r, string_agg(h, '' ORDER BY i) AS bytes FROM (SELECT r, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS t FROM encoded) JOIN ranks USING (t) GROUP BY r) USING (r)
+"""
+)

@@ -26,9 +26,11 @@ from heliograph.llm.textnum import chunks, hashed_words
 
 #: Words that a verbatim match must have; items of fewer words must be there whole.
 MIN_WORDS = 8
-#: Benchmark items of fewer words than this are too short to tell and match nothing.
+#: Benchmark items of fewer words than this could be in any text: they match documents that consist of them.
 LEAST_ITEM_WORDS = 5
 SLICE_BYTES = 32 << 20
+#: Bytes of training text of a suffix array.
+SHARD_BYTES = 4 << 20
 
 MATCHES = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
 
@@ -153,11 +155,12 @@ class Benchmark:
         for i, text in zip(ids, texts, strict=True):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             h = hashed_words(raw, np.array([0, len(raw)]))[0]
-            if len(h) >= LEAST_ITEM_WORDS:
+            if len(h):
                 kept.append(i)
                 hs.append(h)
                 least.append(min(min_words, len(h)))
-        sizes, least = np.array([len(h) for h in hs[1:]], np.int64), np.array(least, np.int64)
+        self.sizes = sizes = np.array([len(h) for h in hs[1:]], np.int64)
+        least = np.array(least, np.int64)
         self.ids, self.hashes = np.array(kept, np.int64), np.concatenate(hs)
         self.item_start = np.cumsum(sizes) - sizes
         each = sizes - least + 1  # suffixes that are long enough
@@ -173,6 +176,8 @@ class Benchmark:
         sa = SuffixArray(hashes, first)
         who, where, common = sa.find(sa.ranks_of(self.hashes), self.at, self.need, self.stop)
         doc, item = sa.document[where], self.item[who]
+        ok = (self.sizes[item] >= LEAST_ITEM_WORDS) | (self.sizes[item] == np.diff(first)[doc])
+        who, where, common, doc, item = (x[ok] for x in (who, where, common, doc, item))
         doc_word, item_word = where - sa.start[doc], self.at[who] - self.item_start[item]
         best = np.lexsort((item_word, doc_word, -common, item, doc))
         doc, item, common, doc_word, item_word = (x[best] for x in (doc, item, common, doc_word, item_word))
@@ -194,15 +199,16 @@ def _slices(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
 
 def find_matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row (doc_id, item_id, match_words, doc_word, item_word) for each document and benchmark item
-    that share min_words consecutive words, or the whole of an item of fewer words.
+    that share min_words consecutive words, or the whole of an item of fewer words (which is the whole document too, where the item has fewer than LEAST_ITEM_WORDS).
 
     match_words is the length of their longest common run (whatever its case and white space), doc_word and item_word
     where it starts, in words; of equally long runs the first in the document, then the first in the item.
-    Null and empty texts match nothing; items under LEAST_ITEM_WORDS words match nothing; a null doc_id or
+    Null and empty texts and items match nothing; a null doc_id or
     item_id is reported as null (item_id -1 where null).  A document row that occurs twice is reported twice; benchmark
     rows that occur twice count once.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     out = None
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for rows in _slices(bench, "item_id", "text"):
@@ -211,7 +217,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
         def run(batches, b=b):
             for batch in batches:
                 ids = batch.column(0)
-                for lo, hi, data, offs in chunks(batch.column(1)):
+                for lo, hi, data, offs in chunks(batch.column(1), SHARD_BYTES):
                     doc, item, common, dw, iw = b.value.matches(data, offs)
                     if len(doc):
                         yield pa.RecordBatch.from_arrays(
@@ -237,7 +243,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
 
         def run(batches, b=b):
             for batch in batches:
-                for lo, hi, data, offs in chunks(batch.column(where)):
+                for lo, hi, data, offs in chunks(batch.column(where), SHARD_BYTES):
                     keep = np.ones(hi - lo, bool)
                     keep[b.value.matches(data, offs)[0]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
@@ -248,3 +254,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words as the operator takes them: runs of bytes above 0x20, ASCII letters in lower case.
+WORDS_SQL = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x20]+')"
+_GRAM = " || ' ' || ".join(f"lead(w, {j}) OVER o" for j in range(MIN_WORDS))
+ORACLE_SQL = f"""
+WITH d AS (SELECT r, doc_id, p, {_GRAM} AS g
+  FROM (SELECT r, doc_id, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS w FROM (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format("text")} AS ws FROM documents)) WINDOW o AS (PARTITION BY r ORDER BY p)),
+b AS (SELECT i, item_id, p, {_GRAM} AS g
+  FROM (SELECT i, item_id, generate_subscripts(ws, 1) - 1 AS p, unnest(ws) AS w FROM (SELECT row_number() OVER () AS i, item_id, {WORDS_SQL.format("text")} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark))) WINDOW o AS (PARTITION BY i ORDER BY p)),
+m AS (SELECT r, doc_id, i, item_id, d.p AS dp, b.p AS ip, d.p - row_number() OVER (PARTITION BY r, i, d.p - b.p ORDER BY d.p) AS island FROM d JOIN b USING (g)),
+runs AS (SELECT r, doc_id, i, item_id, count(*) + {MIN_WORDS - 1} AS n, min(dp) AS dw, min(ip) AS iw FROM m GROUP BY r, doc_id, i, item_id, dp - ip, island)
+SELECT doc_id, coalesce(item_id, -1) AS item_id, n::INT AS match_words, dw::INT AS doc_word, iw::INT AS item_word FROM runs
+QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY n DESC, dw, iw) = 1
+"""

@@ -22,5 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op2_sharding": sharding.ORACLE_SQL,
+    "op3_decontamination": decontamination.ORACLE_SQL,
+    "op5_token_counts": token_counts.ORACLE_SQL,
+    "op9_bpe": bpe.ORACLE_SQL,
 }

@@ -19,8 +19,8 @@ from heliograph.llm.common import table
 N_SHARDS = 64
 #: Slots per shard, at least: shard sizes differ by at most one slot in so many.
 SLOTS_PER_SHARD = 100
-#: Tables of more slots than this are joined without a broadcast hint.
-BROADCAST_SLOTS = 2_000_000
+#: Slots that a table may have: a bound of what is broadcast (some 100 MB), enough for 40 000 shards.
+MOST_SLOTS = 4_000_000
 
 
 def prime_from(n: int) -> int:
@@ -49,6 +49,8 @@ def lookup_table(shards: list[str], size: int | None = None) -> list[int]:
     if m < len(shards) or prime_from(m) != m:
         raise ValueError("the table size must be a prime that is no less than the number of shards")
     offset = [_digest(f"{s}/offset") % m for s in shards]
+    if m > MOST_SLOTS:
+        raise ValueError(f"a table of {m} slots is more than {MOST_SLOTS}; give fewer shards, or a size with fewer slots for each")
     skip = [_digest(f"{s}/skip") % (m - 1) + 1 if m > 2 else 1 for s in shards]
     owner, nxt, claimed = [-1] * m, [0] * len(shards), 0
     while True:
@@ -72,13 +74,13 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
     """df with columns slot (long) and shard (string).
 
     Columns of these names that df has already are replaced.  Equal keys, and so repeated rows, get
-    equal shards; null keys count as the empty text.  An empty table stays empty.
+    equal shards; null keys count as the empty text; keys may be of any length (their MD5 counts).  An empty table stays empty.
     """
     names = shards or [f"shard-{i:03d}" for i in range(N_SHARDS)]
     owner = lookup_table(names, size)
     slots = df.sparkSession.createDataFrame([(s, names[i]) for s, i in enumerate(owner)], "slot long, shard string")
     placed = df.withColumn("slot", slot_of(df[key], len(owner))).drop("shard")
-    return placed.join(F.broadcast(slots) if len(owner) <= BROADCAST_SLOTS else slots, "slot").select(*[c for c in placed.columns], "shard")
+    return placed.join(F.broadcast(slots), "slot").select(*[c for c in placed.columns], "shard")
 
 
 def write_sharded(df: DataFrame, path: str, **how) -> None:
@@ -87,7 +89,7 @@ def write_sharded(df: DataFrame, path: str, **how) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
+    return assign_shards(table(spark, sf_dir, "documents"))
 
 
 _M = prime_from(SLOTS_PER_SHARD * N_SHARDS)
@@ -110,7 +112,7 @@ WITH RECURSIVE prefs AS (
 ), slots AS (
   SELECT unnest(range({_M})) AS slot, unnest(owner) AS i FROM fill WHERE t = {_M}
 ), placed AS (
-  SELECT doc_id, {_HASH.format("coalesce(doc_id::VARCHAR, '')")} % {_M} AS slot FROM documents
+  SELECT *, {_HASH.format("coalesce(doc_id::VARCHAR, '')")} % {_M} AS slot FROM documents
 )
-SELECT doc_id, slot, 'shard-' || lpad(i::VARCHAR, 3, '0') AS shard FROM placed JOIN slots USING (slot)
+SELECT placed.*, 'shard-' || lpad(i::VARCHAR, 3, '0') AS shard FROM placed JOIN slots USING (slot)
 """

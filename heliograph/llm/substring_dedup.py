@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import free, light_batches, parted, table, written
+from heliograph.llm.decontamination import WORDS_SQL
 from heliograph.llm.textnum import chunks, hashed_words, mix64, windows, words
 
 #: Words of the shortest repeat.
@@ -232,7 +233,7 @@ def _crowded_windows(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                     rows = pa.array(doc)
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 1)), pa.array(at)], ["g", "key", "doc_id", "place"])
 
-    rows = _keyed(docs).mapInArrow(run, _WINDOWS)
+    rows = written(_keyed(docs).mapInArrow(run, _WINDOWS), "windows-of-crowded-prefixes")
     oldest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "place")).alias("oldest")
     known = rows.distinct().groupBy("g").agg(F.count("*").alias("copies"), oldest).where("copies > 1")
     known = written(known.select("g", "copies", F.col("oldest.key").alias("first_key"), F.col("oldest.place").alias("first_place")), "crowded-windows")
@@ -410,3 +411,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "kept", "copies")
+
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, {WORDS_SQL.format("text")} AS ws FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+starts AS (SELECT r, doc_id, ws, unnest(range(len(ws) - {MIN_WORDS - 1})) AS p FROM docs WHERE len(ws) >= {MIN_WORDS}),
+hashed AS (SELECT r, doc_id, p, md5(array_to_string(ws[p + 1 : p + {MIN_WORDS}], ' ')) AS h FROM starts),
+shared AS (SELECT r, doc_id, p, count(*) OVER w AS copies, row_number() OVER (w ORDER BY r, p) = 1 AS kept FROM hashed WINDOW w AS (PARTITION BY h) QUALIFY copies > 1),
+fresh AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY r, kept ORDER BY p) > {MIN_WORDS}, true)::INT AS fresh FROM shared),
+passages AS (SELECT *, sum(fresh) OVER (PARTITION BY r, kept ORDER BY p) AS passage FROM fresh)
+SELECT any_value(doc_id) AS doc_id, min(p)::INT AS start_word, (max(p) + {MIN_WORDS})::INT AS end_word, (max(p) + {MIN_WORDS} - min(p))::INT AS n_words, kept, max(copies) AS copies
+FROM passages GROUP BY r, kept, passage
+"""

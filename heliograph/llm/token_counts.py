@@ -11,37 +11,45 @@ from __future__ import annotations
 
 import base64
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.bpe import PATTERN, RANKS, TOKENS_SQL
+from heliograph.llm.common import light_batches, table
 
-#: Rank file of the tokenizer; a parameter of every function here.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts that are encoded in one call.
+AT_ONCE = 256
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """The tiktoken encoding of a rank file, loaded once a process."""
+def load_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def encoder(path: str, ranks: dict[bytes, int] | None = None):
+    """The tiktoken encoding of a rank file or of what it holds, made once a process."""
     if path not in _encoders:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
-        _encoders[path] = tiktoken.Encoding("heliograph", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("heliograph", pat_str=PATTERN, mergeable_ranks=ranks or load_ranks(path), special_tokens={})
     return _encoders[path]
 
 
 def encoded_lengths(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """(doc_id, n_tokens) of each row of docs; null and empty texts have no tokens. Other columns are ignored."""
+    """(doc_id, n_tokens) of each row of docs; null and empty texts have no tokens. Repeated rows count each; other columns are ignored.
+
+    The rank file, named by path, is read on the driver and broadcast (a vocabulary, whatever the data).
+    """
+    light_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, sent.value).encode_ordinary_batch
         for batch in batches:
-            n = np.fromiter((len(encode(x)) if x else 0 for x in (s.as_py() for s in batch.column(1))), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], ["doc_id", "n_tokens"])
+            n = [len(x) for lo in range(0, batch.num_rows, AT_ONCE) for x in encode([t or "" for t in batch.column(1).slice(lo, AT_ONCE).to_pylist()], num_threads=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
@@ -58,7 +66,7 @@ def limits(hist: DataFrame) -> DataFrame:
     docs_over / tokens_over: longer documents, and all their tokens (suffix sums);
     truncated_tokens: tokens left when documents are cut at L; quantile: share of documents of at most L tokens.
     Between lengths that occur nothing changes but truncated_tokens, which grows by docs_over a token (see at_limit).
-    An empty histogram gives no rows.
+    An empty histogram gives no rows; documents of equal length (ties) share one.
     """
     after = Window.orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -97,3 +105,15 @@ def quantile(hist: DataFrame, q: float) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits(histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+
+
+ORACLE_SQL = (
+    TOKENS_SQL
+    + """,
+hist AS (SELECT n_tokens, count(*) AS n_docs FROM (SELECT coalesce(len(tokens), 0) AS n_tokens FROM encoded) GROUP BY n_tokens),
+sums AS (SELECT n_tokens, n_docs, sum(n_docs) OVER () AS n, sum(n_docs * n_tokens) OVER () AS t,
+  coalesce(sum(n_docs) OVER o, 0) AS docs_over, coalesce(sum(n_docs * n_tokens) OVER o, 0) AS tokens_over FROM hist WINDOW o AS (ORDER BY n_tokens DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT n_tokens, n_docs, (n - docs_over)::BIGINT AS docs_within, (t - tokens_over)::BIGINT AS tokens_within, docs_over::BIGINT AS docs_over, tokens_over::BIGINT AS tokens_over,
+  (t - tokens_over + docs_over * n_tokens)::BIGINT AS truncated_tokens, round((n - docs_over)::DOUBLE / n, 6) AS quantile FROM sums
+"""
+)
