@@ -58,41 +58,53 @@ def identifiers(text: Column, assigned: Column, available: list[str]) -> Column:
     return F.filter(found, lambda x: ~F.array_contains(skip, x))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: a generator of one row keeps Catalyst from copying them into what reads them, lambdas above all."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def tokens(df: DataFrame, expression: str, available: list[str]) -> DataFrame:
-    """df with columns clean, operators (recognised, distinct), unknown_operators (with repeats), names (identifiers, with repeats) and has_if (a conditional that isn't a call)."""
+    """df with columns clean, operators (recognised, distinct), unknown_operators (with repeats), names (identifiers, with repeats) and operator_counts.
+
+    operator_counts: how often each operator is called, or else how often its symbol occurs; those that occur in neither way are left out.
+    """
     available = sorted({a.lower() for a in available})
     ops = _strings(available)
-    out = df.withColumn("clean", normalise(F.col(expression)))
-    out = out.withColumn("_text", rewritten(F.col("clean"))).withColumn("_calls", called(F.col("_text")))
+    out = once(df, clean=normalise(F.col(expression)))
+    out = once(out, _text=rewritten(F.col("clean")), _words=called(F.col("clean")))
     conditional = F.when(has_conditional(F.col("clean")), F.array(F.lit("if_else"))).otherwise(_strings([]))
-    symbols = F.concat(symbol_operators(F.col("_text"), available), conditional)
-    out = out.withColumn("_symbols", symbols)
+    assigned = F.when(F.instr("clean", "=") > 0, variables(F.col("clean"))).otherwise(_strings([]))
+    out = once(out, _calls=called(F.col("_text")), _symbols=F.concat(symbol_operators(F.col("_text"), available), conditional), _assigned=assigned)
+    symbols = F.array_intersect("_symbols", ops)
+    out = once(out, _used=symbols, operators=F.array_sort(F.array_union(F.array_intersect("_calls", ops), symbols)))
     return out.select(
         *df.columns,
         "clean",
-        F.array_sort(F.array_union(F.array_intersect("_calls", ops), F.array_intersect("_symbols", ops))).alias("operators"),
+        "operators",
         F.concat(F.array_except("_symbols", ops), F.filter("_calls", lambda x: ~F.array_contains(ops, x))).alias("unknown_operators"),
-        identifiers(F.col("_text"), variables(F.col("clean")), available).alias("names"),
-        F.array_intersect("_symbols", ops).alias("_used_symbols"),
+        identifiers(F.col("_text"), F.col("_assigned"), available).alias("names"),
+        _operator_counts(F.col("clean"), F.col("operators"), F.col("_words"), F.col("_used")).alias("operator_counts"),
     )
 
 
-def operator_counts(clean: Column, operators: Column, symbols: Column) -> Column:
-    """operator -> how often it is called, or else how often its symbol occurs; those that occur in neither way are left out."""
-    symbol = F.create_map(*[F.lit(x) for pair in _SYMBOL_OF.items() for x in pair])
-    quoted = lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))
+def _operator_counts(clean: Column, operators: Column, calls: Column, symbols: Column) -> Column:
+    written = lambda s: F.expr(f"cast((length(clean) - length(replace(clean, '{s}', ''))) / {len(s)} as int)")
+    count = F.lit(0)
+    pick = lambda o: [(o == n) & F.array_contains(symbols, n) for n in _SYMBOL_OF]
 
-    def count(o: Column) -> Column:
-        calls = F.regexp_count(F.lower(clean), F.concat(F.lit(r"\b"), o, F.lit(r"\s*\(")))
-        literal = F.when(F.array_contains(symbols, o), F.coalesce(F.regexp_count(clean, quoted(symbol[o])), F.lit(0))).otherwise(F.lit(0))
-        return F.struct(o.alias("key"), F.when(calls > 0, calls).otherwise(literal).alias("value"))
+    def one(o: Column) -> Column:
+        called_ = F.size(F.filter(calls, lambda x: x == o))
+        by_symbol = count
+        for test, s in zip(pick(o), _SYMBOL_OF.values(), strict=True):
+            by_symbol = F.when(test, written(s)).otherwise(by_symbol)
+        return F.struct(o.alias("key"), F.when(called_ > 0, called_).otherwise(by_symbol).alias("value"))
 
-    return F.map_from_entries(F.filter(F.transform(operators, count), lambda e: e["value"] > 0))
+    return F.map_from_entries(F.filter(F.transform(operators, one), lambda e: e["value"] > 0))
 
 
-def field_counts(clean: Column, fields: Column) -> Column:
-    """field -> how often it occurs as a word."""
-    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f.alias("key"), F.regexp_count(F.lower(clean), F.concat(F.lit(r"\b"), f, F.lit(r"\b"))).alias("value"))))
+def field_counts(words: Column, fields: Column) -> Column:
+    """field -> how often it occurs among the words of an expression."""
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(f.alias("key"), F.size(F.filter(words, lambda x: x == f)).alias("value"))))
 
 
 def parse(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id", expression: str = "code", region: str = "region") -> DataFrame:
@@ -100,30 +112,39 @@ def parse(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id
 
     An expression is excluded if any call or identifier of it isn't available: operators from `available`, fields from
     (region, field) rows of `fields`, which is joined rather than collected.  A null region takes a field of any region.
-    Null and empty expressions use nothing and aren't excluded.  key must be unique.
+    Null and empty expressions use nothing and aren't excluded.  Rows of equal region and expression are parsed once.
     """
-    t = tokens(df.select(key, region, expression), expression, available)
+    same = F.md5(F.concat_ws("\u0001", F.hex(region), F.col(region).isNull().cast("string"), F.hex(expression)))
+    rows = df.select(key, region, same.alias("_same"), expression)
+    t = tokens(rows.select("_same", region, expression).distinct(), expression, available)
     known = fields.select(F.col("region").alias("_r"), F.lower(F.col("field").cast("string")).alias("_f")).distinct()
     known = known.unionByName(known.select(F.lit(None).cast("string").alias("_r"), "_f").distinct())
-    each = t.select(key, region, F.posexplode("names").alias("_at", "_name"))
+    each = t.select("_same", region, F.posexplode("names").alias("_at", "_name"))
     looked = each.join(known, (F.col("_f") == F.col("_name")) & F.col("_r").eqNullSafe(F.col(region)), "left")
-    found = looked.groupBy(key).agg(
+    found = looked.groupBy("_same").agg(
         F.array_sort(F.collect_set(F.when(F.col("_f").isNotNull(), F.col("_name")))).alias("fields"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_f").isNull(), F.struct("_at", "_name")))), lambda x: x["_name"]).alias("_unknown"),
     )
-    out = t.join(found, key, "left")
     empty = F.array().cast("array<string>")
+    out = t.join(found, "_same", "left").withColumn("fields", F.coalesce("fields", empty))
+    out = once(out, _words=F.regexp_extract_all(F.lower("clean"), F.lit(r"\w+"), F.lit(0)))
     unknown = F.concat(F.transform("unknown_operators", lambda x: F.concat(F.lit("operator:"), x)), F.transform(F.coalesce("_unknown", empty), lambda x: F.concat(F.lit("datafield:"), x)))
-    return out.select(
-        key,
-        region,
+    out = once(out, _unrecognised=unknown).select(
+        "_same",
         "operators",
-        operator_counts(F.col("clean"), F.col("operators"), F.col("_used_symbols")).alias("operator_counts"),
-        F.coalesce("fields", empty).alias("fields"),
-        field_counts(F.col("clean"), F.coalesce("fields", empty)).alias("field_counts"),
-        (F.size(unknown) > 0).alias("excluded"),
-        F.when(F.size(unknown) > 0, F.concat(F.lit("Unrecognized components: "), F.array_join(unknown, ", "))).alias("reason"),
+        "operator_counts",
+        "fields",
+        field_counts(F.col("_words"), F.col("fields")).alias("field_counts"),
+        (F.size("_unrecognised") > 0).alias("excluded"),
+        F.when(F.size("_unrecognised") > 0, F.concat(F.lit("Unrecognized components: "), F.array_join("_unrecognised", ", "))).alias("reason"),
     )
+    return rows.select(key, region, "_same").join(out, "_same").drop("_same")
+
+
+def parse_missing(df: DataFrame, cache: DataFrame, available: list[str], fields: DataFrame, key: str = "id", expression: str = "code", region: str = "region") -> DataFrame:
+    """The cache of parse() results with the rows that it doesn't have yet; only those are parsed."""
+    queue = df.join(cache.select(key), key, "left_anti")
+    return cache.unionByName(parse(queue, available, fields, key, expression, region).select(*cache.columns))
 
 
 def dataset_category(dataset: Column) -> Column:
@@ -160,3 +181,14 @@ def feature_family(c: Column) -> Column:
 
 def feature_label(c: Column) -> Column:
     return display_name(F.regexp_replace(c, "^(risk_regime_|risk_|spiked_|multiscale_|metadata_)", ""))
+
+
+def for_display(c: Column, most: int = 300) -> Column:
+    """An expression in lines of HTML, cut where it is long; a note where there is none."""
+    lines = F.replace(F.replace(c, F.lit(";"), F.lit(";<br>")), F.lit(", "), F.lit(",<br>"))
+    return F.when(c.isNull() | (c == ""), "No expression available").when(F.length(lines) > most, F.concat(F.substring(lines, 1, most), F.lit("..."))).otherwise(lines)
+
+
+def feature_kind(c: Column) -> Column:
+    """Kind of a feature by what its name holds: metadata by its prefix, risk, or else statistical."""
+    return F.when(c.startswith("metadata_"), "metadata").when(F.lower(c).contains("risk") | c.contains("var") | c.contains("drawdown"), "risk").otherwise("statistical")

@@ -61,6 +61,47 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def truncate_and_load(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Replaces all that is stored at path, partitions that df has no rows of included."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A line of JSON for each row, nulls included; numbers that JSON doesn't have (nan, infinities) are null."""
+    for f in df.schema:
+        if f.dataType.typeName() in ("double", "float"):
+            df = df.withColumn(f.name, F.when(F.abs(F.col(f.name)) < float("inf"), F.col(f.name)))
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def export_csv(df: DataFrame, path: str, by: str, key: str) -> None:
+    """A CSV folder of all rows, the greatest `by` first and ties by key; parts are in order too."""
+    df.orderBy(F.desc_nulls_last(by), key).write.mode("overwrite").csv(path, header=True)
+
+
+def enriched(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
+    """df with `column` of values for its key, replacing one of that name; null where there is none."""
+    return df.drop(column).join(values.select(key, column), key, "left")
+
+
+def cached(spark, path: str, days: int, build, now: Column | None = None) -> DataFrame:
+    """The table at path if it was written less than so many days ago; else what build() gives, written there first."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jpath):
+        at = F.timestamp_millis(F.lit(fs.getFileStatus(jpath).getModificationTime()).cast("long"))
+        if spark.range(1).select(is_fresh(at, days, now)).first()[0]:
+            return spark.read.parquet(path)
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def export_names(df: DataFrame, path: str, column: str = "name") -> None:
+    """All names of a catalogue as one comma-separated text; a catalogue is small by definition (see tables.MOST_OPERATORS)."""
+    df.agg(F.array_join(F.array_sort(F.collect_set(column)), ", ").alias("value")).write.mode("overwrite").text(path)
+
+
 def is_fresh(written: Column, days: int, now: Column | None = None) -> Column:
     """Whether a timestamp is less than so many whole days old."""
     seconds = F.unix_timestamp(now if now is not None else F.current_timestamp()) - F.unix_timestamp(written)

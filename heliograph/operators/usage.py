@@ -106,3 +106,41 @@ def group_small(df: DataFrame, by: str, least: int = 5, other: str = "Others") -
     """Counts of a column's values, with those under `least` taken together."""
     n = df.groupBy(by).agg(F.count("*").alias("n"))
     return n.groupBy(F.when(F.col("n") < least, other).otherwise(F.col(by).cast("string")).alias(by)).agg(F.sum("n").alias("n"))
+
+
+def parsed_tokens(parsed: DataFrame, key: str = "id") -> DataFrame:
+    """(id, region, kind, token, n) of what the expressions that aren't excluded use; n is 0 for an operator that is only implied."""
+    ops = F.transform("operators", lambda o: F.struct(F.lit("operator").alias("kind"), o.alias("token"), F.coalesce(F.try_element_at("operator_counts", o), F.lit(0)).alias("n")))
+    fields = F.transform("fields", lambda f: F.struct(F.lit("field").alias("kind"), f.alias("token"), F.coalesce(F.try_element_at("field_counts", f), F.lit(0)).alias("n")))
+    return parsed.where("NOT excluded").select(F.col(key).alias("id"), "region", F.inline(F.concat(ops, fields)))
+
+
+def batch_analysis(parsed: DataFrame, key: str = "id") -> DataFrame:
+    """(kind, token, unique_count, nominal_count): what a batch of parse() results uses, and how many rows are excluded for which reason."""
+    used = token_usage(parsed_tokens(parsed, key), "token", ["kind"]).select("kind", "token", "unique_count", "nominal_count")
+    n = F.count("*").alias("unique_count")
+    gone = parsed.where("excluded").groupBy(F.col("reason").alias("token")).agg(n).select(F.lit("excluded").alias("kind"), "token", "unique_count", F.col("unique_count").alias("nominal_count"))
+    return used.unionByName(gone)
+
+
+def batch_categories(parsed: DataFrame, categories: DataFrame, key: str = "id") -> DataFrame:
+    """(category, unique_count, nominal_count) of the fields used, by (field, category) rows."""
+    used = parsed_tokens(parsed, key).where("kind = 'field'").join(categories.select(F.lower(F.col("field").cast("string")).alias("token"), "category"), "token")
+    return token_usage(used, "category")
+
+
+def batch_statistics(parsed: DataFrame) -> DataFrame:
+    """(total, analysed, excluded, percent_excluded) of a batch."""
+    total, gone = F.count("*"), F.count_if("excluded")
+    return parsed.agg(total.alias("total"), (total - gone).alias("analysed"), gone.alias("excluded"), F.round(F.coalesce(F.try_divide(gone * 100.0, total), F.lit(0.0)), 2).alias("percent_excluded"))
+
+
+def date_range(df: DataFrame, column: str) -> DataFrame:
+    """(first, last) date of a column."""
+    return df.agg(F.to_date(F.min(column)).alias("first"), F.to_date(F.max(column)).alias("last"))
+
+
+def recommendation_sums(recommended: DataFrame, used: DataFrame) -> DataFrame:
+    """(fields_analysed, opportunities, potential) of recommendations(): fields in use, those that could be used elsewhere, and in how many places."""
+    sums = recommended.agg(F.count("*").alias("opportunities"), F.coalesce(F.sum("n_recommended"), F.lit(0)).alias("potential"))
+    return used.agg(F.countDistinct("field").alias("fields_analysed")).crossJoin(F.broadcast(sums))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import expressions as X
 from heliograph.operators import store
 from heliograph.operators import usage as U
-from heliograph.plans.registry import query, r6
+from heliograph.plans.registry import day, query, r6
 from heliograph.sources import tables as T
 
 _U = f"WITH {T.USAGE_SQL} "
@@ -39,21 +39,59 @@ def x_cases(spark, d):
     return p.select("id", _text(F.col("operator_counts")).alias("operator_counts"), F.array_join("operators", ",").alias("operators"), _text(F.col("field_counts")).alias("field_counts"), "excluded", "reason")
 
 
-@query(
-    "x_parser_table",
-    """WITH e AS (SELECT l_linenumber % 3 AS g, 'f' || (l_partkey % 50) AS a, 'f' || (l_suppkey % 50) AS b FROM lineitem)
-SELECT field, sum(n)::BIGINT AS nominal_count, count(*) AS unique_count FROM (
-  SELECT a AS field, CASE WHEN a = b THEN 3 ELSE 2 END AS n FROM e UNION ALL SELECT b, 1 FROM e WHERE a != b) GROUP BY 1
-UNION ALL SELECT unnest(['rank', 'ts_mean', 'subtract', 'multiply']), count(*), count(*) FROM e GROUP BY 1""",
-)
-def x_table(spark, d):
-    lines = T.table(spark, d, "lineitem").withColumn("id", F.monotonically_increasing_id())
+_EXPRESSIONS = """e AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_returnflag AS region, 'f' || (l_partkey % 50) AS a, 'f' || (l_suppkey % 50) AS b, l_linenumber = 7 AS odd FROM lineitem),
+parsed AS (SELECT *, list_filter([CASE WHEN odd THEN 'operator:mystery' END, CASE WHEN region = 'R' AND a = 'f7' THEN 'datafield:f7' END, CASE WHEN region = 'R' AND b = 'f7' THEN 'datafield:f7' END, CASE WHEN region = 'R' AND a = 'f7' THEN 'datafield:f7' END], lambda x: x IS NOT NULL) AS unknown FROM e),
+ok AS (SELECT * FROM parsed WHERE len(unknown) = 0)"""
+_USED = f"""{_EXPRESSIONS}, used AS (SELECT id, 'field' AS kind, a AS token, CASE WHEN a = b THEN 3 ELSE 2 END AS n FROM ok UNION ALL SELECT id, 'field', b, 1 FROM ok WHERE a != b
+  UNION ALL SELECT id, 'operator', unnest(['rank', 'ts_mean', 'subtract', 'multiply']), 1 FROM ok)"""
+
+
+def _expressions(spark, d):
+    """An expression for each line, some with an operator that isn't available; one field is missing in one region."""
     a, b = F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")), F.concat(F.lit("f"), (F.col("l_suppkey") % 50).cast("string"))
-    rows = lines.select("id", F.concat(F.lit("rank(ts_mean("), a, F.lit(", 5)) - "), b, F.lit(" * "), a).alias("code"))
-    t = X.tokens(rows, "code", AVAILABLE)
-    fields = F.array_distinct("names")
-    both = F.map_concat(X.operator_counts(F.col("clean"), F.col("operators"), F.col("_used_symbols")), X.field_counts(F.col("clean"), fields))
-    return t.select(F.explode(both).alias("field", "n")).groupBy("field").agg(F.sum("n").alias("nominal_count"), F.count("*").alias("unique_count"))
+    outer = F.when(F.col("l_linenumber") == 7, "mystery(ts_mean(").otherwise("rank(ts_mean(")
+    return T.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("region"), F.concat(outer, a, F.lit(", 5)) - "), b, F.lit(" * "), a).alias("code"))
+
+
+def _expression_fields(spark):
+    fields = spark.range(50).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("field"), F.explode(F.array(*map(F.lit, "ANR"))).alias("region"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("category"))
+    return fields.where("NOT (field = 'F7' AND region = 'R')")
+
+
+def _parsed(spark, d):
+    return X.parse(_expressions(spark, d), AVAILABLE, _expression_fields(spark))
+
+
+@query("x_parser_table", f"WITH {_USED} SELECT kind, token, count(DISTINCT id) AS unique_count, sum(n)::BIGINT AS nominal_count FROM used GROUP BY 1, 2 UNION ALL SELECT 'excluded', 'Unrecognized components: ' || array_to_string(unknown, ', '), count(*), count(*) FROM parsed WHERE len(unknown) > 0 GROUP BY 2")
+def x_table(spark, d):
+    return U.batch_analysis(_parsed(spark, d))
+
+
+@query("x19_batch_categories", f"WITH {_USED} SELECT 'c' || (substr(token, 2)::INT % 7) AS category, count(DISTINCT id) AS unique_count, sum(n)::BIGINT AS nominal_count FROM used WHERE kind = 'field' GROUP BY 1")
+def x19_categories(spark, d):
+    return U.batch_categories(_parsed(spark, d), _expression_fields(spark).select("field", "category").distinct())
+
+
+@query("x19_batch_statistics", f"WITH {_EXPRESSIONS} SELECT count(*) AS total, count(*) FILTER (len(unknown) = 0) AS analysed, count(*) FILTER (len(unknown) > 0) AS excluded, round(count(*) FILTER (len(unknown) > 0) * 100.0 / count(*), 2)::DOUBLE AS percent_excluded FROM parsed")
+def x19_statistics(spark, d):
+    return U.batch_statistics(_parsed(spark, d))
+
+
+@query("x18_accessible", f"WITH {_EXPRESSIONS} SELECT id, region, len(unknown) = 0 AS accessible, CASE WHEN len(unknown) > 0 THEN 'Unrecognized components: ' || array_to_string(unknown, ', ') END AS reason FROM parsed")
+def x18(spark, d):
+    return _parsed(spark, d).select("id", "region", (~F.col("excluded")).alias("accessible"), "reason")
+
+
+@query("r4_incremental_parse", f"WITH {_EXPRESSIONS} SELECT id, count(*) AS n, bool_and(len(unknown) = 0) AS ok FROM parsed GROUP BY 1")
+def r4(spark, d):
+    """The cache has what came before 1995; the rest is parsed into it, and the parse of what came last is stored anew (K9)."""
+    rows = _expressions(spark, d)
+    early = T.table(spark, d, "lineitem").where("l_shipdate < '1995-01-01'").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).distinct()
+    cache = X.parse(rows.join(early, "id", "left_semi"), AVAILABLE, _expression_fields(spark))
+    now = X.parse_missing(rows, cache, AVAILABLE, _expression_fields(spark))
+    again = X.parse(rows.join(early, "id", "left_anti"), AVAILABLE, _expression_fields(spark))
+    stored = store.delete_matching(now, again, ["id"]).unionByName(again)
+    return stored.groupBy("id").agg(F.count("*").alias("n"), F.every(~F.col("excluded")).alias("ok"))
 
 
 @query("x14_dataset_category", """SELECT d, c FROM (VALUES ('fundamental6', 'Fundamental'), ('Analyst4', 'Analyst'), ('pv1', 'Price Volume'), ('macro9', 'Macroeconomic'), ('alternative2', 'Alternative'), ('technical', 'Technical'), ('x_sentiment', 'Sentiment'), ('newsfeed', 'News'), ('my_esg', 'ESG'), ('cryptic', 'Other'), ('my_crypto', 'Cryptocurrency'), ('', 'Other'), (NULL, 'Other'), ('model77', 'Other')) t(d, c)""")
@@ -75,6 +113,20 @@ def x16(spark, d):
     return p.select(F.col("p_partkey").alias("id"), X.truncate(F.col("p_name"), 9).alias("short"), X.sanitise(F.concat(F.lit("<"), "p_name", F.lit(">"))).alias("clean"))
 
 
+@query("x16_names", "SELECT p_partkey AS id, list_aggregate(list_transform(string_split(lower(replace(p_type || '_' || p_brand, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS shown, replace(replace(p_name || '; ' || p_brand || ', x', ';', ';<br>'), ', ', ',<br>') AS lines FROM part")
+def x16_names(spark, d):
+    p = T.table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), X.display_name(F.concat_ws("_", "p_type", "p_brand")).alias("shown"), X.for_display(F.concat("p_name", F.lit("; "), "p_brand", F.lit(", x"))).alias("lines"))
+
+
+@query("x17_feature_labels", """SELECT * FROM (VALUES ('risk_regime_zero_loss', 'regime', 'Zero Loss', 'risk'), ('risk_var_95', 'risk', 'Var 95', 'risk'), ('spiked_loading_1', 'spiked', 'Loading 1', 'statistical'), ('multiscale_5', 'multiscale', '5', 'statistical'),
+ ('metadata_turnover', 'metadata', 'Turnover', 'metadata'), ('max_drawdown', 'other', 'Max Drawdown', 'risk'), ('mean_return', 'other', 'Mean Return', 'statistical')) t(name, family, label, kind)""")
+def x17(spark, d):
+    names = ["risk_regime_zero_loss", "risk_var_95", "spiked_loading_1", "multiscale_5", "metadata_turnover", "max_drawdown", "mean_return"]
+    c = F.col("name")
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", X.feature_family(c).alias("family"), X.feature_label(c).alias("label"), X.feature_kind(c).alias("kind"))
+
+
 @query("a1_token_usage", _U + "SELECT field, count(DISTINCT id) AS unique_count, sum(n)::BIGINT AS nominal_count FROM usage GROUP BY 1")
 def a1(spark, d):
     return U.token_usage(T.usage(spark, d), "field")
@@ -96,6 +148,11 @@ def a5(spark, d):
     return U.value_counts(T.signals(spark, d), ["region", "universe", "delay"])
 
 
+@query("a5_dates", "SELECT min(o_orderdate)::DATE::VARCHAR AS first, max(o_orderdate)::DATE::VARCHAR AS last FROM orders")
+def a5_dates(spark, d):
+    return U.date_range(T.table(spark, d, "orders"), "o_orderdate").select(day("first"), day("last"))
+
+
 @query("a6_field_regions", _U + "SELECT count(DISTINCT (field, region)) AS n FROM usage")
 def a6(spark, d):
     return T.usage(spark, d).agg(F.countDistinct("field", "region").alias("n"))
@@ -127,6 +184,24 @@ def a9(spark, d):
     return got.select("field", F.array_join("recommended_regions", ",").alias("recommended"), "signals")
 
 
+@query("a9_details", _UF + """, own AS (SELECT field, min(description) AS description, list(DISTINCT region) AS own FROM fields GROUP BY 1), alike AS (SELECT description, region, count(DISTINCT field) AS n FROM fields GROUP BY 1, 2),
+ used AS (SELECT field, list(DISTINCT region) AS regions FROM usage GROUP BY 1),
+ free AS (SELECT DISTINCT field, region FROM (SELECT used.field, unnest(own) AS region FROM used JOIN own USING (field) UNION SELECT used.field, region FROM used JOIN own USING (field) JOIN alike USING (description)) EXCEPT SELECT field, region FROM usage)
+ SELECT field, array_to_string(list_sort(any_value(regions)), ',') AS used_regions, string_agg(region || ':' || coalesce(n, 1), ',' ORDER BY region) AS matching FROM free JOIN used USING (field) JOIN own USING (field) LEFT JOIN alike USING (description, region) GROUP BY 1""")
+def a9_details(spark, d):
+    got = U.recommendations(T.fields(spark, d), T.usage(spark, d))
+    return got.select("field", F.array_join("used_regions", ",").alias("used_regions"), F.array_join(F.transform("matching", lambda x: F.concat_ws(":", x["region"], x["n"].cast("string"))), ",").alias("matching"))
+
+
+@query("a29_recommendation_sums", _UF + """, available AS (SELECT u.field, f.region FROM (SELECT DISTINCT field FROM usage) u JOIN fields f USING (field)
+  UNION SELECT u.field, g.region FROM (SELECT DISTINCT field FROM usage) u JOIN fields f USING (field) JOIN fields g USING (description)),
+ missing AS (SELECT field, region FROM available EXCEPT SELECT field, region FROM usage)
+ SELECT (SELECT count(DISTINCT field) FROM usage) AS fields_analysed, count(DISTINCT field) AS opportunities, count(*) AS potential FROM missing""")
+def a29(spark, d):
+    used = T.usage(spark, d)
+    return U.recommendation_sums(U.recommendations(T.fields(spark, d), used), used)
+
+
 @query("a9b_recommendations_for_region", _UF + """, available AS (SELECT u.field FROM (SELECT DISTINCT field FROM usage) u JOIN fields f USING (field) WHERE f.region = 'ASIA' AND f.data_type = 'VECTOR'
   UNION SELECT u.field FROM (SELECT DISTINCT field FROM usage) u JOIN fields f USING (field) JOIN fields g USING (description) WHERE g.region = 'ASIA' AND g.data_type = 'VECTOR' AND f.data_type = 'VECTOR')
  SELECT field FROM available WHERE field NOT IN (SELECT field FROM usage WHERE region = 'ASIA')""")
@@ -188,15 +263,15 @@ def a28(spark, d):
     return U.group_small(T.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), "nation", 65)
 
 
-@query("a31_treemap", "WITH c AS (SELECT p_brand AS dataset, count(*) FILTER (p_size > 45) AS n FROM part GROUP BY 1), s AS (SELECT *, greatest(sqrt(n) * 10, 20.0) AS size FROM c), t AS (SELECT *, size / sum(size) OVER () AS part FROM s) SELECT dataset, n, round(size, 6) AS size, CASE WHEN part >= 0.015 THEN 'full' WHEN part >= 0.008 THEN 'short' WHEN part >= 0.004 THEN 'name' ELSE 'none' END AS tier, CASE WHEN n = 0 THEN 'unused' WHEN n <= 5 THEN 'low' WHEN n <= 20 THEN 'medium' ELSE 'high' END AS band FROM t")
+@query("a31_treemap", "WITH c AS (SELECT p_brand AS dataset, count(*) AS n FROM part GROUP BY 1), s AS (SELECT *, greatest(sqrt(n) * 10, 20.0) AS size FROM c), t AS (SELECT *, size / sum(size) OVER () AS part FROM s) SELECT dataset, n, round(size, 6) AS size, CASE WHEN part >= 0.015 THEN 'full' WHEN part >= 0.008 THEN 'short' WHEN part >= 0.004 THEN 'name' ELSE 'none' END AS tier, CASE WHEN n = 0 THEN 'unused' WHEN n <= 5 THEN 'low' WHEN n <= 20 THEN 'medium' ELSE 'high' END AS band FROM t")
 def a31(spark, d):
-    c = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("dataset")).agg(F.count(F.when(F.col("p_size") > 45, 1)).alias("n"))
+    c = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("dataset")).agg(F.count("*").alias("n"))
     return U.treemap(c, "n").withColumn("size", r6("size"))
 
 
-@query("a33_fields_of_region", f"WITH {T.FIELDS_SQL} SELECT DISTINCT field, region, dataset, category, data_type, description FROM fields WHERE region = 'EUROPE' AND field % 7 IN (1, 2)")
+@query("a33_fields_of_region", f"WITH {T.FIELDS_SQL} SELECT DISTINCT field, region, dataset, category, data_type, description FROM fields WHERE region = 'EUROPE'")
 def a33(spark, d):
-    return T.fields(spark, d).where("region = 'EUROPE' AND field % 7 IN (1, 2)").distinct()
+    return T.fields(spark, d).where("region = 'EUROPE'").distinct()
 
 
 @query("j15_matching_fields", f"WITH {T.FIELDS_SQL} SELECT DISTINCT field, description FROM fields WHERE region = 'ASIA' AND (description = (SELECT min(description) FROM fields WHERE field = 17) OR contains(field::VARCHAR, '17')) ORDER BY field LIMIT 10")
