@@ -23,18 +23,37 @@ ALL = {"signals": SIGNALS, "series": SERIES, "correlations": CORRELATIONS, "best
 MOST_OPERATORS = 1000
 
 
+def partitioned(name: str) -> bool:
+    """Whether a table of ALL has a folder for each region."""
+    return ALL[name].endswith("region STRING") or ", region STRING," in ALL[name].replace("\n", " ")
+
+
 def initialise(spark: SparkSession, path: str) -> dict[str, str]:
-    """Creates every table that isn't there yet, empty and partitioned by region where it has one; running it again changes nothing."""
+    """Creates every table that isn't there yet, empty, with its schema beside it; running it again changes nothing.
+
+    Tables with a region are written with partitionBy("region") from then on, and read by stored(); an empty one has no partition yet.
+    """
     jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), {}
     for name, schema in ALL.items():
         at = f"{path}/{name}"
         target = jvm.org.apache.hadoop.fs.Path(at)
         if not target.getFileSystem(conf).exists(target):
-            spark.createDataFrame([], schema).write.parquet(at)
+            append(spark.createDataFrame([], schema), at, name)
         out[name] = at
     return out
 
 
+def append(df: DataFrame, at: str, name: str) -> None:
+    """Adds rows to a table, in the folders of their regions where it has them."""
+    writer = conform(df, ALL[name]).write.mode("append")
+    (writer.partitionBy("region") if partitioned(name) else writer).parquet(at)
+
+
+def stored(spark: SparkSession, at: str, name: str) -> DataFrame:
+    """A table of ALL; regions are partitions, so a region is pruned to its folder."""
+    return conform(spark.read.schema(ALL[name]).parquet(at), ALL[name])
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """df with the columns of a schema: missing ones null, extra ones dropped, others cast (an additive migration)."""
     want = df.sparkSession.createDataFrame([], schema).schema
@@ -45,7 +64,7 @@ def read_operators(spark: SparkSession, path: str) -> DataFrame:
     """(name, scope, category) of an operator catalogue: JSON - a list, or an object with a list `operators` - or comma-separated text."""
     if path.endswith(".txt"):
         names = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", ",")).alias("name"))
-        out = names.select(F.trim("name").alias("name"), F.lit(None).cast("array<string>").alias("scope"), F.lit(None).cast("string").alias("category")).where("name != ''")
+        out = names.select(F.btrim("name", F.lit(" \t\r\n")).alias("name"), F.lit(None).cast("array<string>").alias("scope"), F.lit(None).cast("string").alias("category")).where("name != ''")
     else:
         raw = spark.read.json(path, multiLine=True)
         if "operators" in raw.columns:
@@ -87,7 +106,7 @@ def flatten_records(raw: DataFrame) -> DataFrame:
 def flatten_recordset(raw: DataFrame, key: str = "key") -> DataFrame:
     """(key, date, value) of recordsets `records` (arrays of strings): the first entry is the date, the second the value, whatever else follows."""
     rows = raw.select(key, F.explode("records").alias("r"))
-    return rows.select(key, F.to_date(F.try_element_at("r", F.lit(1))).alias("date"), F.expr("try_cast(try_element_at(r, 2) AS DOUBLE)").alias("value")).where("date IS NOT NULL AND value IS NOT NULL")
+    return rows.select(key, F.expr("try_cast(try_element_at(r, 1) AS DATE)").alias("date"), F.expr("try_cast(try_element_at(r, 2) AS DOUBLE)").alias("value")).where("date IS NOT NULL AND value IS NOT NULL")
 
 
 def best_value_column(df: DataFrame, key: str, date: str, first: str, second: str) -> DataFrame:
