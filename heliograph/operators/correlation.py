@@ -4,7 +4,7 @@ Returns are taken between consecutive *common* dates, so they can't be prepared
 
 * pairs_by_join - a self join on date, a window over each pair, an aggregate: n^2 d / 2 joined rows go through a shuffle;
 * pairs_by_block - keys are dealt into blocks, each pair of blocks meets in one task with both sides' series as arrays, and a
-  numpy kernel correlates one key with a whole block at a time: only n d rows for each block row are shuffled.
+  numpy kernel correlates one key with some others at a time: a series is shuffled once for each block, not once for each pair and date.
 
 correlate() takes the second; the first is the plan to read, and the one that the tests hold the second against.
 """
@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.series import CAPITAL
+from heliograph.runtime import cut
 
 #: Dates that two series must share, and returns that must be defined.
 LEAST = 20
-#: Keys in a block: a block's dense arrays stay in the tens of megabytes for calendars of some thousand dates.
-BLOCK_KEYS = 128
+#: Keys in a block, at most and, where there are more tasks than pairs of blocks, at least: a block's series stay in the tens of megabytes.
+BLOCK_KEYS, LEAST_KEYS = 1024, 16
+#: Keys whose dense arrays a task holds at once.
+DENSE_KEYS = 128
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -70,65 +73,85 @@ def kernel(x: np.ndarray, there: np.ndarray, ys: np.ndarray, theirs: np.ndarray,
     return n, corr
 
 
-def _dense(keys: np.ndarray, dates: np.ndarray, values: np.ndarray, calendar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    names, row = np.unique(keys, return_inverse=True)
-    x, there = np.zeros((len(names), len(calendar))), np.zeros((len(names), len(calendar)), bool)
-    at = np.searchsorted(calendar, dates)
-    x[row, at], there[row, at] = values, True
-    return names, x, there
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], calendar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, there = np.zeros((len(rows), len(calendar))), np.zeros((len(rows), len(calendar)), bool)
+    for i, (dates, values) in enumerate(rows):
+        at = np.searchsorted(calendar, dates)
+        x[i, at], there[i, at] = values, True
+    return x, there
 
 
-def pairs_by_block(left: DataFrame, right: DataFrame | None = None, least: int = LEAST, capital: float = CAPITAL, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """The same as pairs_by_join. Null values are left out; keys are integers or strings."""
+def meet(left: DataFrame, right: DataFrame | None, kernel, columns: str, block_keys: int | None = None) -> DataFrame:
+    """(a, b, *columns): what `kernel` says of pairs of keys a < b of one table of series, or a of the first and b of the second.
+
+    kernel(x, there, ys, theirs), of one series and some others on a dense calendar with masks of what is there, gives which of the others count, and an array for each of `columns` ("name type, ...").
+    Null values are left out; keys are integers or strings.
+    """
     spark = left.sparkSession
     kind = left.schema["key"].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(",")]
+    tasks = 2 * spark.sparkContext.defaultParallelism
 
     def packed(df: DataFrame) -> tuple[DataFrame, int]:
         one = df.where("value IS NOT NULL AND NOT isnan(value)").groupBy("key").agg(F.collect_list(F.unix_date("date")).alias("dates"), F.collect_list("value").alias("values"))
-        n = df.select("key").distinct().count()
-        blocks = max(1, -(-n // block_keys))
-        return one.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")), blocks
+        one = cut(one)  # read once to count, and once for each side
+        n = one.count()
+        blocks = -(-n // block_keys) if block_keys else max(-(-n // BLOCK_KEYS), min(-(-n // LEAST_KEYS), int(np.ceil(np.sqrt(2 * tasks)))))
+        return one.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))).cast("int")), max(1, blocks)
 
     one, n_one = packed(left)
     two, n_two = (one, n_one) if right is None else packed(right)
     # each block of the left meets each block of the right: the pair is the key of the shuffle
-    meet = lambda df, side, n, mine: df.select(F.lit(side).alias("side"), "key", "dates", "values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), "block").select("side", "key", "dates", "values", (F.col("block") if mine else F.col("other")).alias("i"), (F.col("other") if mine else F.col("block")).alias("j"))
-    rows = meet(one, 0, n_two, True).unionByName(meet(two, 1, n_one, False))
+    side = lambda df, side, n, mine: df.select(F.lit(side).alias("side"), "key", "dates", "values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), "block").select("side", "key", "dates", "values", (F.col("block") if mine else F.col("other")).alias("i"), (F.col("other") if mine else F.col("block")).alias("j"))
+    rows = side(one, 0, n_two, True).unionByName(side(two, 1, n_one, False))
     if right is None:
         rows = rows.where("i <= j AND NOT (i = j AND side = 1)")
-
     alone = right is None  # the function below goes to the executors, DataFrames don't
+    form = pa.string() if kind == "string" else pa.int64()
 
-    def correlate_blocks(t: pa.Table) -> pa.Table:
-        side, same = t["side"].to_numpy(), alone and t["i"][0] == t["j"][0]
+    def blocks(t: pa.Table) -> pa.Table:
+        sides, same = t["side"].to_numpy(), alone and t["i"][0] == t["j"][0]
+        keys = np.array(t["key"].to_pylist(), object if kind == "string" else None)
         dates, values = t["dates"].combine_chunks(), t["values"].combine_chunks()
         if isinstance(dates, pa.ChunkedArray):
             dates, values = pa.concat_arrays(dates.chunks), pa.concat_arrays(values.chunks)
-        sizes = np.diff(dates.offsets.to_numpy())
-        d, v = dates.flatten().to_numpy(), values.flatten().to_numpy()
-        k = np.repeat(np.array(t["key"].to_pylist(), object if kind == "string" else None), sizes)
-        s, calendar = np.repeat(side, sizes), np.unique(d)
-        out = {"a": [], "b": [], "n": [], "corr": []}
-        a_names, x, x_there = _dense(k[s == 0], d[s == 0], v[s == 0], calendar)
-        b_names, y, y_there = (a_names, x, x_there) if same else _dense(k[s == 1], d[s == 1], v[s == 1], calendar)
-        for i in range(len(a_names)):
-            lo = i + 1 if same else 0
-            if lo >= len(b_names):
-                continue
-            n, corr = kernel(x[i], x_there[i], y[lo:], y_there[lo:], least, capital)
-            for j in np.flatnonzero(n >= LEAST):
-                p, q = a_names[i], b_names[lo + j]
-                if alone and q < p:
-                    p, q = q, p
-                out["a"].append(p)
-                out["b"].append(q)
-                out["n"].append(int(n[j]))
-                out["corr"].append(None if np.isnan(corr[j]) else float(corr[j]))
-        form = pa.string() if kind == "string" else pa.int64()
-        return pa.table({"a": pa.array(out["a"], form), "b": pa.array(out["b"], form), "n": pa.array(out["n"], pa.int64()), "corr": pa.array(out["corr"], pa.float64())})
-
-    form = "string" if kind == "string" else "long"
-    return rows.groupBy("i", "j").applyInArrow(correlate_blocks, f"a {form}, b {form}, n long, corr double")
+        edge, d, v = dates.offsets.to_numpy() - dates.offsets[0].as_py(), dates.flatten().to_numpy(), values.flatten().to_numpy()
+        calendar = np.unique(d)
+        series = lambda rows: [(d[edge[i] : edge[i + 1]], v[edge[i] : edge[i + 1]]) for i in rows]
+        in_order = lambda rows: rows[np.argsort(keys[rows], kind="stable")]
+        ours = in_order(np.flatnonzero(sides == 0))
+        theirs = ours if same else in_order(np.flatnonzero(sides == 1))
+        found: list[tuple] = []
+        for hi in range(0, len(theirs), DENSE_KEYS):
+            others = theirs[hi : hi + DENSE_KEYS]
+            ys, y_there = _dense(series(others), calendar)
+            for lo in range(0, min(len(ours), hi + DENSE_KEYS) if same else len(ours), DENSE_KEYS):
+                own = ours[lo : lo + DENSE_KEYS]
+                xs, x_there = (ys, y_there) if same and lo == hi else _dense(series(own), calendar)
+                for i in range(len(own)):
+                    first = i + 1 if same and lo == hi else 0
+                    if first < len(others):
+                        ok, *got = kernel(xs[i], x_there[i], ys[first:], y_there[first:])
+                        which = np.flatnonzero(ok)
+                        found.append((np.full(len(which), own[i]), others[first:][which], *(g[which] for g in got)))
+        a, b, *got = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * (2 + len(names))
+        a, b = keys[a], keys[b]
+        if alone:
+            turn = b < a
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+        return pa.table({"a": pa.array(a, form), "b": pa.array(b, form), **{n: pa.array(g, from_pandas=True) for n, g in zip(names, got, strict=True)}})
+
+    return rows.groupBy("i", "j").applyInArrow(blocks, f"a {'string' if kind == 'string' else 'long'}, b {'string' if kind == 'string' else 'long'}, {columns}")
+
+
+def pairs_by_block(left: DataFrame, right: DataFrame | None = None, least: int = LEAST, capital: float = CAPITAL, block_keys: int | None = None) -> DataFrame:
+    """The same as pairs_by_join. Null values are left out; keys are integers or strings."""
+
+    def correlated(x, there, ys, theirs):
+        n, corr = kernel(x, there, ys, theirs, least, capital)
+        return n >= LEAST, n.astype(np.int64), corr
+
+    return meet(left, right, correlated, "n long, corr double", block_keys)
 
 
 correlate = pairs_by_block
@@ -155,36 +178,54 @@ def positive_max(pairs: DataFrame) -> DataFrame:
 
 
 def with_reference(series: DataFrame, reference, least: int = LEAST, positive: bool = True) -> DataFrame:
-    """(key, correlation) of every key with one; signed, or only what is positive. The reference series is small and broadcast by date."""
+    """(key, correlation) of every key with one; signed, or only what is positive.  Whether the one series is broadcast by date is left to its measured size."""
     ref = series.where(F.col("key") == reference)
-    pairs = pairs_by_join(series.where(F.col("key") != reference), F.broadcast(ref), least)
+    pairs = pairs_by_join(series.where(F.col("key") != reference), ref, least)
     corr = F.greatest(F.col("corr"), F.lit(0.0)) if positive else F.col("corr")
     return pairs.select(F.col("a").alias("key"), corr.alias("correlation")).where("correlation IS NOT NULL")
 
 
+def common_returns(x: np.ndarray, there: np.ndarray, y: np.ndarray, theirs: np.ndarray, capital: float) -> tuple[np.ndarray, np.ndarray]:
+    """Returns of two series between consecutive dates that both have, where both are defined."""
+    both = there & theirs
+    x, y = x[both], y[both]
+    with np.errstate(all="ignore"):
+        r, s = np.diff(x) / (x[:-1] + capital), np.diff(y) / (y[:-1] + capital)
+    ok = np.isfinite(r) & np.isfinite(s)
+    return r[ok], s[ok]
+
+
+def rolling_medians(r: np.ndarray, s: np.ndarray, windows: tuple[int, ...], least: int) -> list[float]:
+    """For each width the median of the correlations of windows of width - 1 returns, 0 where there is none."""
+    if len(r):
+        r, s = r - r.mean(), s - s.mean()  # which changes no correlation, and keeps running sums small
+    sums = [np.concatenate([[0.0], np.cumsum(t)]) for t in (r, s, r * r, s * s, r * s)]
+    out = []
+    for width in windows:
+        n = width - 1
+        if len(r) < max(n, least, 2):
+            out.append(0.0)
+            continue
+        a, b, aa, bb, ab = (t[n:] - t[:-n] for t in sums)
+        x2, y2 = aa - a * a / n, bb - b * b / n
+        ok = (x2 > 0) & (y2 > 0)
+        out.append(float(np.median((ab - a * b / n)[ok] / np.sqrt(x2[ok] * y2[ok]))) if ok.any() else 0.0)
+    return out
+
+
 def rolling(left: DataFrame, windows: tuple[int, ...] = (60, 120, 252), least: int = 30, capital: float = CAPITAL) -> DataFrame:
     """(a, b, corr): for each window width the median of the rolling correlation, averaged with weights 1, 1/2, 1/3 ...; missing ones count as 0.
 
-    Windows are differences of running sums, so a row costs the same for every width.
+    Pairs that share no two returns have no row.  Series meet in blocks, as in pairs_by_block; windows are differences of running sums, so a row costs the same for every width.
     """
-    one = left.select(F.col("key").alias("a"), "date", F.col("value").alias("x"))
-    two = left.select(F.col("key").alias("b"), "date", F.col("value").alias("y"))
-    w = Window.partitionBy("a", "b").orderBy("date")
-    r = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w) + capital)
-    both = one.join(two, "date").where("a < b").select("a", "b", "date", r("x").alias("r"), r("y").alias("s")).where("r IS NOT NULL AND s IS NOT NULL")
-    terms = {"_r": F.col("r"), "_s": F.col("s"), "_rr": F.col("r") * F.col("r"), "_ss": F.col("s") * F.col("s"), "_rs": F.col("r") * F.col("s")}
-    for name, x in terms.items():
-        both = both.withColumn(name, F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_at", F.row_number().over(w))
-    for i, width in enumerate(windows):
-        n = F.least(F.col("_at"), F.lit(width - 1))
-        inside = {c: F.col(c) - F.coalesce(F.lag(c, width - 1).over(w), F.lit(0.0)) for c in terms}
-        x2, y2 = inside["_rr"] - inside["_r"] * inside["_r"] / n, inside["_ss"] - inside["_s"] * inside["_s"] / n
-        c = F.when((x2 > 0) & (y2 > 0), (inside["_rs"] - inside["_r"] * inside["_s"] / n) / F.sqrt(x2 * y2))
-        both = both.withColumn(f"c{i}", F.when(n >= max(least, width - 1), c))
-    total = sum(1 / (i + 1) for i in range(len(windows)))
-    mean = sum(((F.coalesce(F.col(f"m{i}"), F.lit(0.0)) * (1 / (i + 1) / total)) for i in range(len(windows))), F.lit(0.0))
-    return both.groupBy("a", "b").agg(*[F.median(f"c{i}").alias(f"m{i}") for i in range(len(windows))]).select("a", "b", mean.alias("corr"))
+    weights = np.array([1 / (i + 1) for i in range(len(windows))])
+    weights /= weights.sum()
+
+    def averaged(x, there, ys, theirs):
+        both = [common_returns(x, there, y, t, capital) for y, t in zip(ys, theirs, strict=True)]
+        return np.array([len(r) > 0 for r, _ in both]), np.array([weights @ rolling_medians(r, s, windows, least) for r, s in both])
+
+    return meet(left, None, averaged, "corr double")
 
 
 def noise_threshold(series: DataFrame, multiplier: float = 2.5, cap: float = 0.95) -> DataFrame:

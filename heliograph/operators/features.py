@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import series as S
+from heliograph.runtime import cut
 
 DEFAULTS = {"mean_return": 0.0, "skewness": 0.0, "excess_kurtosis": 0.0, "sortino_ratio": 0.0, "max_drawdown": -0.1, "calmar_ratio": 0.0, "hurst_exponent": 0.5, "volatility_stability": 0.5, "tail_ratio": 1.0, "monthly_consistency": 0.5}
 #: Missing values of these become the median over all keys.
@@ -97,29 +100,46 @@ def regime(returns: DataFrame, least: int = 20) -> DataFrame:
     return shares.join(runs, "key").join(losses, "key", "left").na.fill(0.0, ["regime_downside_concentration"])
 
 
+def hurst_of(r: np.ndarray, most: int = 50) -> float:
+    """The exponent of one series of returns; 0.5 where fewer than two lags have a rescaled range."""
+    x, y = [], []
+    for lag in range(2, min(most, len(r) // 2)):
+        parts = r[: len(r) // lag * lag].reshape(-1, lag)
+        away = parts - parts.mean(1, keepdims=True)
+        spread = np.sqrt((away * away).sum(1) / (lag - 1))
+        summed = np.cumsum(away, 1)
+        ok = (spread > 0) & (parts.max(1) > parts.min(1))
+        if ok.any() and (mean := ((summed.max(1) - summed.min(1))[ok] / spread[ok]).mean()) > 0:
+            x.append(np.log(lag))
+            y.append(np.log(mean))
+    if len(x) < 2:
+        return 0.5
+    x, y = np.array(x) - np.mean(x), np.array(y)
+    return float(np.clip((x * y).sum() / (x * x).sum(), 0.0, 1.0))
+
+
 def hurst(returns: DataFrame, most: int = 50) -> DataFrame:
     """(key, hurst_exponent): slope of ln(R/S) over ln(lag) for lags from 2 to min(most, n/2) - 1, within 0 and 1; 0.5 where fewer than two lags have one.
 
     For each lag the series is cut into whole chunks; R is the range of the summed deviations from a chunk's mean, S its sample deviation.
+    Each series is one numpy pass (a series is as long as a calendar), so a return is shuffled once rather than once for each lag.
     """
-    at = Window.partitionBy("key").orderBy("date")
-    base = returns.select("key", "r", (F.row_number().over(at) - 1).alias("i"), F.count("*").over(Window.partitionBy("key")).alias("n"))
-    lags = base.where(F.least(F.lit(most), F.floor(F.col("n") / 2)) > 2).withColumn("lag", F.explode(F.sequence(F.lit(2), (F.least(F.lit(most), F.floor(F.col("n") / 2)) - 1).cast("int"))))
-    parts = lags.withColumn("chunk", F.floor(F.col("i") / F.col("lag"))).where((F.col("chunk") + 1) * F.col("lag") <= F.col("n"))
-    cell = Window.partitionBy("key", "lag", "chunk")
-    dev = parts.withColumn("d", F.col("r") - F.avg("r").over(cell))
-    summed = dev.withColumn("y", F.sum("d").over(cell.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    rs = summed.groupBy("key", "lag", "chunk").agg((F.max("y") - F.min("y")).alias("range"), F.stddev_samp("r").alias("s")).where("s > 0")
-    by_lag = rs.groupBy("key", "lag").agg(F.avg(F.col("range") / F.col("s")).alias("rs")).where("rs > 0").select("key", F.log("lag").alias("x"), F.log("rs").alias("y"))
-    slope = by_lag.groupBy("key").agg(F.when(F.count("*") >= 2, F.try_divide(F.covar_samp("x", "y"), F.var_samp("x"))).alias("h"))
-    every = returns.select("key").distinct()
-    return every.join(slope, "key", "left").select("key", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("h"))), F.lit(0.5)).alias("hurst_exponent"))
+    kind = returns.schema["key"].dataType.simpleString()
+
+    def one(t: pa.Table) -> pa.Table:
+        r = t["r"].to_numpy()[np.argsort(t["day"].to_numpy(), kind="stable")]
+        return pa.table({"key": t["key"][:1], "hurst_exponent": pa.array([hurst_of(r, most)])})
+
+    return returns.select("key", F.unix_date("date").alias("day"), "r").groupBy("key").applyInArrow(one, f"key {kind}, hurst_exponent double")
 
 
 def risk_features(series: DataFrame) -> DataFrame:
-    """One row of features for each series that passes the gates, with missing values filled by defaults or medians."""
-    returns = S.relative_changes(gated(series))
-    base = moments(returns)
+    """One row of features for each series that passes the gates, with missing values filled by defaults or medians.
+
+    Returns and moments are stored once: each family of features reads them.
+    """
+    returns = cut(S.relative_changes(gated(series)))
+    base = cut(moments(returns))
     returns = returns.join(base.select("key"), "key", "left_semi")
     out = base.join(shape(returns), "key", "left").join(expected_shortfall(returns, base), "key", "left").join(max_drawdown(returns), "key", "left").join(hurst(returns), "key", "left")
     out = out.join(S.volatility_stability(returns).withColumnRenamed("stability", "volatility_stability"), "key", "left").join(S.monthly_consistency(returns), "key", "left")

@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.runtime import cut
+
 
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Points of a block of silhouette(), at most: two blocks of them meet in a task.
+BLOCK_POINTS = 8192
+
+
 def silhouette(points: DataFrame) -> DataFrame:
     """(n, silhouette) of (key, cluster, vector array<double>) by plain Euclidean distance; members of clusters of one count 0.
 
-    Quadratic in the points, as the measure is; distances are aggregated per point and cluster before anything else.
+    Quadratic in the points, as the measure is: points are dealt into blocks, each two blocks meet in one task, and what leaves it is
+    a sum for each point and cluster.
     """
-    own = points.select(F.col("key").alias("i"), F.col("cluster").alias("ci"), F.col("vector").alias("x"))
-    other = points.select(F.col("key").alias("j"), F.col("cluster").alias("cj"), F.col("vector").alias("y"))
-    d = own.crossJoin(other).where("i <> j").select("i", "ci", "cj", F.sqrt(squared_distance(F.col("x"), F.col("y"))).alias("d"))
-    means = d.groupBy("i", "ci", "cj").agg(F.avg("d").alias("d"))
-    ab = means.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
+    rows = cut(points.select(F.monotonically_increasing_id().alias("i"), F.col("cluster").cast("long").alias("c"), F.col("vector").cast("array<double>").alias("v")))
+    n, tasks = rows.count(), 2 * points.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK_POINTS), min(-(-n // 256), int(np.ceil(np.sqrt(tasks)))))
+    own, other = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = rows.select("*", own.alias("p"), other.alias("q"), F.lit(0).alias("side")).unionByName(rows.select("*", own.alias("q"), other.alias("p"), F.lit(1).alias("side")))
+
+    def sums(t: pa.Table) -> pa.Table:
+        side, i, c = (t[x].to_numpy() for x in ("side", "i", "c"))
+        v = np.array(t["v"].to_pylist(), float).reshape(len(side), -1)
+        ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        clusters, code = np.unique(c[theirs], return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        theirs, head = theirs[order], np.searchsorted(code[order], np.arange(len(clusters)))
+        out = np.zeros((len(ours), len(clusters)))
+        if len(theirs):
+            step = max(1, (1 << 22) // (len(theirs) * v.shape[1]))
+            for a in range(0, len(ours), step):
+                d = np.sqrt(((v[ours[a : a + step], None] - v[None, theirs]) ** 2).sum(2))
+                out[a : a + step] = np.add.reduceat(d, head, axis=1)
+        size = np.bincount(code, minlength=len(clusters))
+        return pa.table({"i": np.repeat(i[ours], len(clusters)), "ci": np.repeat(c[ours], len(clusters)), "cj": np.tile(clusters, len(ours)), "d": out.ravel(), "n": np.tile(size, len(ours)).astype(np.int64)})
+
+    found = both.groupBy("p", "q").applyInArrow(sums, "i long, ci long, cj long, d double, n long").groupBy("i", "ci", "cj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    mean = F.try_divide(F.col("d"), F.col("n") - (F.col("ci") == F.col("cj")).cast("long"))  # a point isn't its own neighbour
+    ab = found.withColumn("d", mean).groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return ab.where("b IS NOT NULL").agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
 

@@ -58,6 +58,11 @@ def m39(spark, d):
     return X.clipped(X.imputed(holes, ["price"]), ["price"], 2.0).withColumn("price", r6("price", 4))
 
 
+@query("m39_clipped_default", f"WITH {_PARTS_SQL}, s AS (SELECT avg(price) AS m, stddev_samp(price) AS d FROM parts) SELECT key, round(greatest(m - 5 * d, least(m + 5 * d, price)), 4) + 0.0 AS price FROM parts, s")
+def m39_default(spark, d):
+    return X.clipped(_parts(spark, d), ["price"]).select("key", r6("price", 4).alias("price"))
+
+
 @query("a27_long_form", f"WITH {_LONG_SQL} SELECT key, feature, value FROM long")
 def a27(spark, d):
     return X.long_form(_parts(spark, d).withColumn("flat", F.lit(1.0)), [*_COLUMNS, "flat"])
@@ -80,6 +85,12 @@ def a25(spark, d):
     return K.profiles(p.drop("cluster"), p.select("key", "cluster"), _COLUMNS, 0.01).select("cluster", "feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), r6("z").alias("z"), "distinctive", "direction")
 
 
+@query("a25_profiles_default", f"WITH {_PROFILE} SELECT cluster, feature, round(z, 6) + 0.0 AS z, abs(z) > 1.5 AS distinctive FROM profile")
+def a25_default(spark, d):
+    p = _parts(spark, d)
+    return K.profiles(p.drop("cluster"), p.select("key", "cluster"), _COLUMNS).select("cluster", "feature", r6("z").alias("z"), "distinctive")
+
+
 @query("a25_interpretation", f"WITH {_PROFILE} SELECT cluster, string_agg(CASE WHEN z >= 0 THEN 'high ' ELSE 'low ' END || feature, ' | ' ORDER BY abs(z) DESC, feature) AS text FROM profile GROUP BY 1")
 def a25_text(spark, d):
     p = _parts(spark, d)
@@ -178,10 +189,18 @@ def m40(spark, d):
     return got.select("id", r6(F.round("overall", 2)).alias("overall"))
 
 
-@query("m15_window_stability")
+@query(
+    "m15_window_stability",
+    """WITH e AS (SELECT user_id % 5 AS key, ts::DATE AS date, sum(value) AS value FROM events GROUP BY 1, 2), shared AS (SELECT date FROM e GROUP BY 1 HAVING count(DISTINCT key) = (SELECT count(DISTINCT key) FROM e)),
+ranked AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, count(*) OVER () AS n FROM shared), starts AS (SELECT unnest(range(0, max(n) - 9, greatest(1, max(n) // 10)))::INT AS win FROM ranked),
+rows_ AS (SELECT win, key, key % 2 AS cluster, date, value - lag(value) OVER (PARTITION BY win, key ORDER BY date) AS d FROM e JOIN ranked USING (date) JOIN starts ON place >= win AND place < win + 10),
+centred AS (SELECT win, key, d, avg(d) OVER (PARTITION BY win, cluster, date) AS m FROM rows_ WHERE d IS NOT NULL),
+each AS (SELECT win, key, corr(d, m) AS c FROM centred GROUP BY 1, 2)
+SELECT win AS "window", round(avg(c), 6) + 0.0 AS similarity FROM each GROUP BY 1""",
+)
 def m15_windows(spark, d):
     e = T.table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("key"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("value"))
-    return V.windowed_stability(e, S.moving_windows(S.common_calendar(e), 10), e.select("key", (F.col("key") % 2).alias("cluster")).distinct())
+    return V.windowed_stability(e, S.moving_windows(S.common_calendar(e), 10), e.select("key", (F.col("key") % 2).alias("cluster")).distinct()).withColumn("similarity", r6("similarity"))
 
 
 # --- kernels that SQL can't express ---

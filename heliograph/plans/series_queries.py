@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import correlation as C
@@ -131,6 +130,11 @@ def w15(spark, d):
     return S.moving_windows(S.common_calendar(_event_series(spark, d)), 10).select("window", day())
 
 
+@query("w15_moving_windows_default", f"WITH {_EVENTS_SQL}, ranked AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, count(*) OVER () AS n FROM (SELECT date FROM event_series GROUP BY 1 HAVING count(DISTINCT key) = (SELECT count(DISTINCT key) FROM event_series))), starts AS (SELECT unnest(range(0, max(n) - 119, greatest(1, max(n) // 10)))::INT AS win FROM ranked) SELECT win AS \"window\", date::VARCHAR AS date FROM ranked, starts WHERE place >= win AND place < win + 120")
+def w15_default(spark, d):
+    return S.moving_windows(S.common_calendar(_event_series(spark, d))).select("window", day())
+
+
 @query("u3_common_calendar", f"WITH {_EVENTS_SQL} SELECT date::VARCHAR AS date FROM event_series GROUP BY 1 HAVING count(DISTINCT key) = (SELECT count(DISTINCT key) FROM event_series)")
 def u3(spark, d):
     return S.common_calendar(_event_series(spark, d)).select(day())
@@ -190,6 +194,17 @@ def m4(spark, d):
     return C.thresholded(C.correlate(s), C.noise_threshold(s, 0.5)).select("a", "b", r6("corr").alias("corr"))
 
 
+@query("m4_noise_threshold_default", f"{_P}, t AS (SELECT least(0.95, 2.5 * sqrt(ln(count(*)) / floor(avg(n)))) AS threshold FROM (SELECT key, count(*) AS n FROM series GROUP BY 1)) SELECT a, b, round(CASE WHEN abs(corr) > threshold THEN corr ELSE 0 END, 6) + 0.0 AS corr FROM pairs, t")
+def m4_default(spark, d):
+    s = T.series(spark, d)
+    return C.thresholded(C.correlate(s), C.noise_threshold(s)).select("a", "b", r6("corr").alias("corr"))
+
+
+@query("p12_network_edges_default", f"{_P} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM pairs WHERE abs(corr) >= 0.3")
+def p12_default(spark, d):
+    return G.network(C.correlate(T.series(spark, d))).withColumn("corr", r6("corr"))
+
+
 @query("m6_distances", f"{_P} SELECT a, b, round(sqrt(2 * (1 - corr * 0.9)), 6) AS euclidean, round(sqrt((1 - corr * 0.9) / 2), 6) AS angular, round(1 - corr * 0.9, 6) AS simple FROM pairs")
 def m6(spark, d):
     p = C.shrunk(C.correlate(T.series(spark, d)))
@@ -210,8 +225,7 @@ def p12(spark, d):
 
 @query("m31_degrees", f"{_P}, {_EDGES}, deg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1) SELECT id, degree, degree > avg(degree) OVER () AS hub FROM deg")
 def m31_degrees(spark, d):
-    n = G.degrees(_edges(spark, d))
-    return n.withColumn("hub", F.col("degree") > F.avg("degree").over(Window.partitionBy()))
+    return G.with_hubs(_edges(spark, d))
 
 
 @query("m31_density", f"{_P}, {_EDGES} SELECT (SELECT count(*) FROM supplier) AS nodes, count(*) AS edges, round(2.0 * count(*) / ((SELECT count(*) FROM supplier) * ((SELECT count(*) FROM supplier) - 1)), 9)::DOUBLE AS density FROM edges")
@@ -267,17 +281,16 @@ def m10(spark, d):
     return both.select("key", r6("max_drawdown").alias("max_drawdown"), r6(X.calmar(F.col("mean_return"), F.col("max_drawdown"))).alias("calmar_ratio"))
 
 
-@query(
-    "m11_hurst",
-    _R
-    + """, base AS (SELECT key, r, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM returns),
-parts AS (SELECT *, i // lag AS chunk FROM (SELECT *, unnest(range(2, least(50, n // 2))) AS lag FROM base)),
+def _hurst_sql(cte: str) -> str:
+    return f"""base_h AS (SELECT key, r, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM {cte}),
+parts AS (SELECT *, i // lag AS chunk FROM (SELECT *, unnest(range(2, least(50, n // 2))) AS lag FROM base_h)),
 summed AS (SELECT key, lag, chunk, r, sum(r - m) OVER (PARTITION BY key, lag, chunk ORDER BY i) AS y FROM (SELECT *, avg(r) OVER (PARTITION BY key, lag, chunk) AS m FROM parts WHERE (chunk + 1) * lag <= n)),
 rs AS (SELECT key, lag, max(y) - min(y) AS w, stddev_samp(r) AS s FROM summed GROUP BY key, lag, chunk HAVING s > 0),
 by_lag AS (SELECT key, ln(lag) AS x, ln(avg(w / s)) AS y FROM rs GROUP BY key, lag HAVING avg(w / s) > 0),
-slope AS (SELECT key, CASE WHEN count(*) >= 2 THEN regr_slope(y, x) END AS h FROM by_lag GROUP BY 1)
-SELECT key, round(coalesce(greatest(0, least(1, h)), 0.5), 6) + 0.0 AS hurst_exponent FROM (SELECT DISTINCT key FROM returns) LEFT JOIN slope USING (key)""",
-)
+slope AS (SELECT key, CASE WHEN count(*) >= 2 THEN regr_slope(y, x) END AS h FROM by_lag GROUP BY 1)"""
+
+
+@query("m11_hurst", f"{_R}, {{hurst}} SELECT key, round(coalesce(greatest(0, least(1, h)), 0.5), 6) + 0.0 AS hurst_exponent FROM (SELECT DISTINCT key FROM returns) LEFT JOIN slope USING (key)".replace("{hurst}", _hurst_sql("returns")))
 def m11(spark, d):
     return X.hurst(_returns(spark, d)).withColumn("hurst_exponent", r6("hurst_exponent"))
 
@@ -298,9 +311,32 @@ def m13(spark, d):
     return got.select("key", share("zero_loss_ratio", "zero_loss"), F.col("regime_has_downside_periods").alias("has_downside"), share("constant_return_periods", "constant"), share("low_volatility_ratio", "low_volatility"), F.col("regime_max_consecutive_gains").alias("longest"))
 
 
-@query("m14_risk_features")
+_BASE = "base AS (SELECT key, count(*) AS n, avg(r) AS mean_return, stddev_samp(r) AS std_return, stddev_samp(r) FILTER (r < 0) AS downside_deviation, quantile_cont(r, 0.05) AS var_95, quantile_cont(r, 0.95) AS q95 FROM all_returns GROUP BY 1 HAVING count(*) >= 20 AND stddev_samp(r) >= 1e-10 AND max(r) > min(r)), returns AS (SELECT * FROM all_returns WHERE key IN (SELECT key FROM base))"
+_GATED = f"{T.SERIES_SQL}, all_capital AS (SELECT key, date, value + 1e7 AS value FROM series), capital AS (SELECT * FROM all_capital WHERE key IN (SELECT key FROM all_capital GROUP BY 1 HAVING count(*) >= 30 AND max(abs(value)) >= 1e-10)), gains AS (SELECT key, date, (value - lag(value) OVER w) / lag(value) OVER w AS r FROM capital WINDOW w AS (PARTITION BY key ORDER BY date)), all_returns AS (SELECT * FROM gains WHERE r IS NOT NULL), {_BASE}"
+_FAMILIES = f"""{_DRAWDOWN}, worst AS (SELECT key, CASE WHEN max(growth) > 0 THEN min(drawdown) ELSE -0.01 END AS max_drawdown FROM fallen GROUP BY 1),
+shape AS (SELECT key, skewness(r) AS skewness, kurtosis(r) AS excess_kurtosis FROM returns GROUP BY 1 HAVING count(*) > 3),
+tails AS (SELECT key, avg(r) AS cvar_95 FROM returns JOIN base USING (key) WHERE r <= var_95 GROUP BY 1),
+vol AS (SELECT key, CASE WHEN stddev_samp(s) > 0 THEN 1 / (1 + stddev_samp(s)) ELSE 1 END AS volatility_stability FROM (SELECT key, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w END AS s FROM returns WINDOW w AS (PARTITION BY key ORDER BY date ROWS 19 PRECEDING)) GROUP BY 1),
+monthly AS (SELECT key, count(*) AS months, avg((r > 0)::INT) AS consistency FROM (SELECT key, date_trunc('month', date) AS month, sum(r) AS r FROM returns GROUP BY 1, 2) GROUP BY 1),
+{_ISLANDS}, longest AS (SELECT key, coalesce(max(n) FILTER (ok), 0) AS longest FROM runs GROUP BY 1)"""
+
+
+@query(
+    "m14_risk_features",
+    f"""WITH {_GATED}, {_FAMILIES}, {_hurst_sql('returns')}, joined AS (
+  SELECT key, base.n, mean_return, std_return, downside_deviation, CASE WHEN downside_deviation > 0 THEN mean_return / downside_deviation * sqrt(252) WHEN downside_deviation IS NOT NULL THEN 0 END AS sortino_ratio, var_95,
+    CASE WHEN var_95 != 0 THEN abs(q95) / abs(var_95) ELSE 1 END AS tail_ratio, skewness, excess_kurtosis, cvar_95, max_drawdown, h, CASE WHEN base.n >= 40 THEN volatility_stability END AS volatility_stability,
+    CASE WHEN base.n >= 60 AND months > 2 THEN consistency END AS monthly_consistency, CASE WHEN abs(max_drawdown) > 1e-10 THEN greatest(-100, least(100, mean_return * 252 / abs(max_drawdown))) ELSE 0 END AS calmar_ratio, longest
+  FROM base LEFT JOIN shape USING (key) LEFT JOIN tails USING (key) LEFT JOIN worst USING (key) LEFT JOIN slope USING (key) LEFT JOIN vol USING (key) LEFT JOIN monthly USING (key) LEFT JOIN longest USING (key))
+SELECT key, n, round(mean_return, 9) + 0.0 AS mean_return, round(coalesce(std_return, median(std_return) OVER ()), 9) + 0.0 AS std_return, round(coalesce(downside_deviation, median(downside_deviation) OVER ()), 9) + 0.0 AS downside_deviation,
+  round(coalesce(sortino_ratio, 0), 6) + 0.0 AS sortino_ratio, round(coalesce(var_95, median(var_95) OVER ()), 9) + 0.0 AS var_95, round(coalesce(cvar_95, median(cvar_95) OVER ()), 9) + 0.0 AS cvar_95, round(coalesce(tail_ratio, 1), 6) + 0.0 AS tail_ratio,
+  round(coalesce(skewness, 0), 6) + 0.0 AS skewness, round(coalesce(excess_kurtosis, 0), 6) + 0.0 AS excess_kurtosis, round(coalesce(max_drawdown, -0.1), 6) + 0.0 AS max_drawdown, round(coalesce(greatest(0, least(1, h)), 0.5), 6) + 0.0 AS hurst_exponent,
+  round(coalesce(volatility_stability, 0.5), 6) + 0.0 AS volatility_stability, round(coalesce(monthly_consistency, 0.5), 6) + 0.0 AS monthly_consistency, round(calmar_ratio, 6) + 0.0 AS calmar_ratio, longest AS regime_max_consecutive_gains FROM joined""",
+)
 def m14(spark, d):
-    return X.risk_features(_capital(spark, d))
+    f = X.risk_features(_capital(spark, d))
+    nine, six = ["mean_return", "std_return", "downside_deviation", "var_95", "cvar_95"], ["sortino_ratio", "tail_ratio", "skewness", "excess_kurtosis", "max_drawdown", "hurst_exponent", "volatility_stability", "monthly_consistency", "calmar_ratio"]
+    return f.select("key", "n", *[r6(c, 9).alias(c) for c in nine], *[r6(c).alias(c) for c in six], "regime_max_consecutive_gains")
 
 
 @query("j11_feature_families", f"{_R}, m AS ({_MOMENTS}), {T.SIGNALS_SQL} SELECT id, region, round(std_return, 9) + 0.0 AS std_return, score AS metadata_score FROM signals JOIN m ON key = id")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from heliograph.operators import store
@@ -36,17 +37,13 @@ def backfill(stream: DataFrame, at: str, checkpoint: str, keys: list[str], order
 
 
 def stored(spark: SparkSession, at: str, schema) -> DataFrame:
-    """The table that backfill() writes, empty before its first batch; _batch tells which batch a row came with."""
+    """The table that backfill() writes, empty before its first batch; _batch, a partition column, tells which batch a row came with."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(at)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    paths = [str(s.getPath()) for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
-    out = spark.createDataFrame([], schema).withColumn("_batch", F.lit(0).cast("long"))
-    for p in sorted(paths):
-        number = p.rsplit("_batch=", 1)
-        if len(number) == 2:
-            one = spark.read.schema(schema).parquet(p).withColumn("_batch", F.lit(int(number[1])).cast("long"))
-            out = out.unionByName(one)
-    return out
+    if not fs.exists(jpath):
+        return spark.createDataFrame([], schema).withColumn("_batch", F.lit(0).cast("long"))
+    whole = T.StructType([*(schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema), T.StructField("_batch", T.LongType())])
+    return spark.read.schema(whole).parquet(at)
 
 
 def windows_back(start: str, end: str, days: int = 7) -> list[tuple[str, str]]:
