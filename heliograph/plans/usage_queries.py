@@ -100,6 +100,16 @@ def x14(spark, d):
     return spark.createDataFrame([(n,) for n in names], "d string").select("d", X.dataset_category(F.col("d")).alias("c"))
 
 
+_KINDS = ["fundamental", "ANALYST", "pv", "macro", "alternative", "Tech", "my_sentiment_", "newsfeed", "an_esg", "crypto", "model"]
+
+
+@query("x14_categories_of_a_table", "SELECT p_partkey AS id, ['Fundamental', 'Analyst', 'Price Volume', 'Macroeconomic', 'Alternative', 'Technical', 'Sentiment', 'News', 'ESG', 'Cryptocurrency', 'Other'][p_size % 11 + 1] AS category FROM part")
+def x14_table(spark, d):
+    p = T.table(spark, d, "part")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_size") % 11 + 1).cast("int")), F.col("p_size").cast("string"))
+    return p.select(F.col("p_partkey").alias("id"), X.dataset_category(name).alias("category"))
+
+
 @query("x15_dataset_of_field", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_type ELSE 'unknown' END AS dataset FROM part")
 def x15(spark, d):
     p = T.table(spark, d, "part")

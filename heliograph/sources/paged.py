@@ -27,7 +27,7 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.fetch, self.total, self.limit = options["fetch"], int(options["total"]), int(options.get("limit", 100))
         self.offset = int(options.get("offset", 0))
-        self.retries, self.wait = int(options.get("retries", 3)), float(options.get("wait", 1.0))
+        self.retries, self.wait, self.pause = int(options.get("retries", 3)), float(options.get("wait", 1.0)), float(options.get("pause", 0.0))
 
     def partitions(self) -> list[Page]:
         return [Page(self.offset + at, min(self.limit, self.total - at)) for at in range(0, self.total, self.limit)]
@@ -35,6 +35,7 @@ class PagedReader(DataSourceReader):
     def read(self, partition: Page) -> Iterator[tuple]:
         module, _, name = self.fetch.rpartition(".")
         fetch = getattr(importlib.import_module(module), name)
+        time.sleep(self.pause)
         for turn in range(self.retries + 1):
             try:
                 found = fetch(partition.offset, partition.limit)
@@ -48,7 +49,8 @@ class PagedReader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """Options: fetch (import path), total (records, from a probe), limit (records of a page), offset (of the first), retries, wait (seconds)."""
+    """Options: fetch (import path), total (records, from a probe), limit (records of a page), offset (of the first), retries, wait (seconds
+    before the first retry, doubled each time), pause (seconds before each page: with so many tasks at once, so many pages in that time at most)."""
 
     @classmethod
     def name(cls) -> str:
