@@ -243,12 +243,17 @@ def _forest_edges(batches):
 
 
 def forest_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) of a stored table (node, sig), by the forest."""
+    """Edges (a, b) of a stored table (node, sig), by the forest.
+
+    Regions are counted first: a signature goes to those of its regions that have another node (a filter of bits tells, see parted()), so
+    in a sparse forest most of a node's trees cost it the 8 bytes of a region and no more.
+    """
     region = F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * DEPTH + 1, LEAST_DEPTH)) for t in range(TREES)]))
     rows = nodes.select("node", "sig", region.alias("tree", "region"))
+    shared = written(rows.groupBy("region").count().where("count > 1"), "regions")
     least = max(CROWD, nodes.count() * TREES // CROWDED)
-    crowded = rows.groupBy("region").count().where(F.col("count") > least).select("region", F.ceil(F.col("count") / least).cast("int").alias("blocks"))
-    some = crowded.collect()  # CROWDED rows, at most
+    some = shared.where(F.col("count") > least).select("region", F.ceil(F.col("count") / least).cast("int").alias("blocks")).collect()  # CROWDED rows, at most
+    rows, _ = parted(rows, F.col("region"), shared.select("region"))
     if some:
         rows = rows.join(F.broadcast(nodes.sparkSession.createDataFrame(some, "region long, blocks int")), "region", "left")
         own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
@@ -257,8 +262,9 @@ def forest_edges(nodes: DataFrame) -> DataFrame:
         part = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
     else:
         part = F.col("region")
-    placed = rows.select(part.alias("part"), F.expr(f"substring(sig, tree * {DEPTH} + 1, {DEPTH})").alias("order"), "node", "sig")
-    placed = placed.repartition("part").sortWithinPartitions("part", "order", "node").select("part", "node", "sig")
+    # a tree's own bytes come first, so that its order is the order of signatures; all of a region are turned alike
+    turned = F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))")
+    placed = rows.select(part.alias("part"), "node", turned.alias("sig")).repartition("part").sortWithinPartitions("part", "sig", "node")
     return placed.mapInArrow(_forest_edges, "a long, b long")
 
 
