@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of documents; rows that a
 stage drops and passages that it cuts are gone for those after it.  Null and empty texts have no language and end at the first stage; an
-empty table passes through.
+empty table passes through.  Texts of any length are worked on whole.  Of equal texts (ties) the row of the least doc_id stays, one without an
+id last, and of repeated rows one does; texts that share a doc_id are documents of their own.  Further columns, whatever their names, stay as they are, but for tokens and
+decoded, which the last stage replaces.
 """
 
 from __future__ import annotations

@@ -55,6 +55,18 @@ def test_pairs_of_lower_rank_that_a_merge_makes(tmp_path):
     assert B.Codec(B.load_ranks(str(path))).encode(texts).to_pylist() == [plain(t) for t in texts]
 
 
+def test_what_a_task_remembers_is_bounded(monkeypatch):
+    codec, enc = B.Codec(B.load_ranks(B.RANKS)), T.encoder(B.RANKS)
+    monkeypatch.setattr(B, "REMEMBERED_BYTES", 2000)
+    for i in range(30):
+        text = " ".join(f"word{i * 7 + k} w" for k in range(10))
+        assert codec.encode([text]).to_pylist() == [enc.encode_ordinary(text)]
+        assert len(codec.pieces) < 60
+    with codec:
+        pass
+    assert not codec.pieces and not len(codec.tokens)
+
+
 def test_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 5), (None, None, None, None)], "doc_id long, text string, decoded string, tokens int")
     got = B.encode_decode(docs)
@@ -87,6 +99,9 @@ def test_counts_of_odd_texts(spark):
     enc = T.encoder(T.RANKS)
     got = {r.doc_id: r.n_tokens for r in T.encoded_lengths(docs).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(ODD)} | {None: 1}
+    twice = T.limits(T.histogram(T.encoded_lengths(docs.unionByName(docs)))).collect()
+    once = T.limits(T.histogram(T.encoded_lengths(docs))).collect()
+    assert [(r.n_tokens, r.n_docs, r.quantile) for r in twice] == [(r.n_tokens, 2 * r.n_docs, r.quantile) for r in once], "repeated rows count each, ties share a row"
     empty = T.histogram(T.encoded_lengths(docs.limit(0)))
     assert T.limits(empty).count() == 0 and T.quantile(empty, 0.5).count() == 0
     assert tuple(T.at_limit(empty, 10).first()) == (0, 0, 0, 0, 0)

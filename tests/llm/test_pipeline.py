@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -87,3 +89,23 @@ def test_empty_table_and_nulls(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, sf)
         assert rows.count() == 0
+
+
+def test_odd_rows_pass_through_all_stages(spark, sf):
+    """Very long texts, repeated rows, ties, rows without an id, and columns of the names that stages use themselves."""
+    docs = table(spark, sf, "documents")
+    words = sorted({w for r in docs.where("lang = 'en'").collect() for w in r.text.split() if w.isalpha()})
+    rng = random.Random(0)
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    long, tie, lone = prose(150_000), prose(80), prose(90)
+    rows = [(10**6, long, "en", "x", len(long)), *[(10**6 + 1, tie, "en", "x", len(tie))] * 3, (10**6 + 2, tie, "en", "y", len(tie)), (None, tie, "en", "z", len(tie)), *[(None, lone, "en", "z", len(lone))] * 2]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    names = ["key", "sig", "node", "region", "kept", "g", "_near_key", "_cuts", "tokens", "place", "_filter_at"]
+    now = odd.selectExpr("*", *[f"concat('{n}', source) AS `{n}`" for n in names])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), now.schema) if i < 4 else stage(spark, now, sf)
+        if i < 4:
+            assert now.columns == [*docs.columns, *names]
+    got = now.where("doc_id >= 1000000 OR doc_id IS NULL").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1000000", long), ("1000001", tie), ("None", lone)])
+    assert all(r.decoded == r.text and r.sig == "sig" + r.source and len(r.tokens) > 80 for r in got)

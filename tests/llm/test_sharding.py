@@ -39,6 +39,16 @@ def test_keys_and_columns(spark):
     assert S.assign_shards(df, shards=["only"]).select("shard").distinct().collect()[0][0] == "only"
 
 
+def test_long_keys_and_bounds(spark):
+    long = "k" * 1_000_000
+    df = spark.createDataFrame([(long,), (long,), (long + "x",), ("",), (None,)], "doc_id string")
+    got = S.assign_shards(df).collect()
+    assert len(got) == 5 and len({r.slot for r in got if r.doc_id == long}) == 1
+    assert len({r.slot for r in got if not r.doc_id}) == 1, "a null key counts as the empty text"
+    with pytest.raises(ValueError, match="slots"):
+        S.lookup_table(["a"], S.prime_from(S.MOST_SLOTS + 1))
+
+
 def test_written_folders(spark, tmp_path):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     S.write_sharded(df, str(tmp_path / "out"), shards=["a", "b", "c"])
