@@ -51,9 +51,9 @@ class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.held, self.n = data, 0, 0, 0
 
-    def ended(self) -> bool:
-        """Whether more bits than there are were taken."""
-        return 8 * self.at - self.n > 8 * len(self.data)
+    def ended(self, short: int = 0) -> bool:
+        """Whether more bits were taken than there are, less `short`."""
+        return 8 * self.at - self.n > 8 * len(self.data) - short
 
     def _fill(self) -> None:
         more = self.data[self.at : self.at + 6]
@@ -164,7 +164,7 @@ def _ac_refine(bits: _Bits, coef: list[int], at: int, lo: int, hi: int, shift: i
 class Decoder:
     def __init__(self, data: bytes, most_pixels: int = MOST_PIXELS):
         self.data, self.most_pixels, self.quant, self.tables, self.comps = data, most_pixels, {}, {}, []
-        self.interval, self.progressive, self.adobe = 0, False, None
+        self.interval, self.progressive, self.adobe, self.scanned = 0, False, None, False
         if data[:2] != b"\xff\xd8":
             raise BadJpeg("no start of image")
         at = 2
@@ -179,6 +179,8 @@ class Decoder:
             if kind == 0xD9:
                 break
             size = int.from_bytes(data[at + 2 : at + 4], "big")
+            if at + 2 + size > len(data):
+                break  # cut short
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if kind == 0xDB:
                 self._quant(body)
@@ -198,9 +200,10 @@ class Decoder:
                     end += 2
                 end = len(data) if end < 0 else end
                 self._scan(body, data[at:end])
+                self.scanned = True
                 at = end
-        if not self.comps:
-            raise BadJpeg("no frame")
+        if not self.scanned:
+            raise BadJpeg("no scan")
 
     def _quant(self, body: bytes) -> None:
         at = 0
@@ -266,16 +269,16 @@ class Decoder:
         if not self.progressive and any(c.dc is None or c.ac is None for c in comps) or self.progressive and (comps[0].ac is None if lo else not high and any(c.dc is None for c in comps)):
             raise BadJpeg("a scan without a Huffman table")
         segments = iter(_RESTART.split(raw))
-        bits, run = _Bits(b""), 0
+        bits, run, spent = _Bits(b""), 0, False
         for i, mcu in enumerate(self._blocks(comps)):
             if i == 0 or self.interval and i % self.interval == 0:
                 segment = next(segments, None)
                 if segment is None:
                     return
-                bits, run = _Bits(segment.replace(b"\xff\x00", b"\xff")), 0
+                bits, run, spent = _Bits(segment.replace(b"\xff\x00", b"\xff")), 0, False
                 for c in comps:
                     c.pred = 0
-            elif not run and bits.ended():
+            elif spent or not run and bits.ended():
                 if not self.interval:
                     return
                 continue  # the next segment may be whole
@@ -293,8 +296,9 @@ class Decoder:
                             c.pred += bits.value(t)
                         c.coef[at] = c.pred * (1 << low)
             except BadJpeg:
-                if not bits.ended():
+                if not bits.ended(16):  # what is left may be padding, or the beginning of a code
                     raise
+                spent, run = True, 0
 
     def coefficients(self) -> list[np.ndarray]:
         """Quantised coefficients of each component: rows of blocks, blocks, 64 in zigzag order."""
