@@ -89,7 +89,7 @@ def meet(left: DataFrame, right: DataFrame | None, kernel, columns: str, block_k
     """
     spark = left.sparkSession
     kind = left.schema["key"].dataType.simpleString()
-    names = [c.split()[0] for c in columns.split(",")]
+    kinds = {n: {"long": pa.int64(), "double": pa.float64()}[t] for n, t in (c.split() for c in columns.split(","))}
     tasks = 2 * spark.sparkContext.defaultParallelism
 
     def packed(df: DataFrame) -> tuple[DataFrame, int]:
@@ -134,12 +134,12 @@ def meet(left: DataFrame, right: DataFrame | None, kernel, columns: str, block_k
                         ok, *got = kernel(xs[i], x_there[i], ys[first:], y_there[first:])
                         which = np.flatnonzero(ok)
                         found.append((np.full(len(which), own[i]), others[first:][which], *(g[which] for g in got)))
-        a, b, *got = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * (2 + len(names))
+        a, b, *got = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * (2 + len(kinds))
         a, b = keys[a], keys[b]
         if alone:
             turn = b < a
             a, b = np.where(turn, b, a), np.where(turn, a, b)
-        return pa.table({"a": pa.array(a, form), "b": pa.array(b, form), **{n: pa.array(g, from_pandas=True) for n, g in zip(names, got, strict=True)}})
+        return pa.table({"a": pa.array(a, form), "b": pa.array(b, form), **{n: pa.array(g, t, from_pandas=True) for (n, t), g in zip(kinds.items(), got, strict=True)}})
 
     return rows.groupBy("i", "j").applyInArrow(blocks, f"a {'string' if kind == 'string' else 'long'}, b {'string' if kind == 'string' else 'long'}, {columns}")
 
