@@ -189,14 +189,14 @@ def m40(spark, d):
     return got.select("id", r6(F.round("overall", 2)).alias("overall"))
 
 
-@query("m40_scores_of_a_table", """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_size <= 40 THEN p_size / 25.0 - 1 END AS silhouette, CASE WHEN p_size % 3 != 0 THEN p_retailprice / 2500 END AS stability, CASE WHEN p_size % 5 != 0 THEN p_size / 50.0 END AS coherence, CASE WHEN p_size % 2 = 0 THEN 0.5 END AS homogeneity FROM part)
-SELECT id, round((coalesce((silhouette + 1) / 2 * 0.3, 0) + coalesce(stability * 0.25, 0) + coalesce(coherence * 0.25, 0) + coalesce(homogeneity * 0.2, 0)) / nullif((silhouette IS NOT NULL)::INT * 0.3 + (stability IS NOT NULL)::INT * 0.25 + (coherence IS NOT NULL)::INT * 0.25 + (homogeneity IS NOT NULL)::INT * 0.2, 0), 6)::DOUBLE AS overall FROM s""")
+@query("m40_scores_of_a_table", """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_size <= 40 THEN p_size::DOUBLE / 25 - 1 END AS silhouette, CASE WHEN p_size % 3 != 0 THEN p_retailprice / 2500 END AS stability, CASE WHEN p_size % 5 != 0 THEN p_size::DOUBLE / 50 END AS coherence, CASE WHEN p_size % 2 = 0 THEN 0.5::DOUBLE END AS homogeneity FROM part)
+SELECT id, round((coalesce((silhouette + 1) / 2 * 0.3, 0) + coalesce(stability * 0.25, 0) + coalesce(coherence * 0.25, 0) + coalesce(homogeneity * 0.2, 0))::DOUBLE / nullif((silhouette IS NOT NULL)::DOUBLE * 0.3 + (stability IS NOT NULL)::DOUBLE * 0.25 + (coherence IS NOT NULL)::DOUBLE * 0.25 + (homogeneity IS NOT NULL)::DOUBLE * 0.2, 0), 9) AS overall FROM s""")
 def m40_table(spark, d):
     size = F.col("p_size")
     scores = T.table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), F.when(size <= 40, size / 25 - 1).alias("silhouette"), F.when(size % 3 != 0, F.col("p_retailprice") / 2500).alias("stability"), F.when(size % 5 != 0, size / 50).alias("coherence"), F.when(size % 2 == 0, 0.5).alias("homogeneity")
     )
-    return V.overall(scores).select("id", r6("overall").alias("overall"))
+    return V.overall(scores).select("id", r6("overall", 9).alias("overall"))
 
 
 @query(
