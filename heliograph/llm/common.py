@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,29 @@ def light_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(name, size)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back to the system when its task ends: worker processes stay for other stages."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc
+        trim(0)
+
+
 #: Bits of the filter that parted() broadcasts, at most (64 MB), and of each of its rows.
 FILTER_BITS, FILTER_ROW = 1 << 29, 1 << 15
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 from heliograph.llm.textnum import chunks, hashed_words
 
 #: Words that a verbatim match must have; items of fewer words must be there whole.
@@ -225,7 +225,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
                             ["doc_id", "item_id", "match_words", "doc_word", "item_word"],
                         )
 
-        found = slim.mapInArrow(run, MATCHES)
+        found = slim.mapInArrow(lean(run), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -248,7 +248,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS)
                     keep[b.value.matches(data, offs)[0]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 
 #: Characters that a paragraph must have to pass points.
 LEAST_PARAGRAPH = 25
@@ -229,7 +229,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             n = pa.array([None if x[1] is None else len(x[1]) for x in got], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), texts, n, pa.array([x[2] for x in got], pa.float64())], ["page_id", "title", "text", "n_chars", "score"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, title string, text string, n_chars long, score double")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(lean(run), "page_id long, title string, text string, n_chars long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 from heliograph.llm.textnum import chunks, code_points
 
 BUCKETS = 1 << 16
@@ -149,7 +149,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     counts = np.zeros(len(languages) * BUCKETS)
-    summed = sample.select("lang", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    summed = sample.select("lang", "text").mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts[summed["key"].to_numpy()] = summed["n"].to_numpy()
     counts = counts.reshape(len(languages), BUCKETS)
     log_prob = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * BUCKETS)
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "lang", "posterior", "log_prob_per_ngram", "n_ngrams"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCORES)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_POSTERIOR) -> DataFrame:
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_POSTERIO
                     keep = (best >= 0) & ((said < 0) | (post[np.arange(hi - lo), np.maximum(said, 0)] >= least))
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

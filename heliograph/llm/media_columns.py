@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.llm import jpeg
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 
 #: Bytes of tensors that leave a task at once; one larger tensor leaves alone.
 AT_ONCE = 16 << 20
@@ -52,7 +52,7 @@ def decode_column(df: DataFrame, column: str = "jpeg", most_pixels: int = jpeg.M
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at] + added, schema.names)
                 lo, shapes, tensors, held = hi, [], [], 0
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def tensor(height: int, width: int, channels: int, rgb: bytes) -> np.ndarray:
@@ -83,7 +83,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
                 made = [None if x is None else jpeg.encode(picture(np.array([y or 0.0 for y in x]))) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["vec_id", "jpeg"])
 
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, jpeg binary")
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lean(run), "vec_id long, jpeg binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

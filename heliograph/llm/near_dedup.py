@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, free, light_batches, parted, table, written
+from heliograph.llm.common import cut, free, lean, light_batches, parted, table, written
 from heliograph.llm.textnum import chunks, hashed_words, mix64, windows
 
 SHINGLE = 3
@@ -208,7 +208,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).take(pa.array(docs)) for i in (0, 1)), flat], ["doc_id", "key", "sig"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return slim.mapInArrow(run, "doc_id long, key long, sig binary")
+    return slim.mapInArrow(lean(run), "doc_id long, key long, sig binary")
 
 
 def _key() -> Column:
@@ -265,7 +265,7 @@ def forest_edges(nodes: DataFrame) -> DataFrame:
     # a tree's own bytes come first, so that its order is the order of signatures; all of a region are turned alike
     turned = F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))")
     placed = rows.select(part.alias("part"), "node", turned.alias("sig")).repartition("part").sortWithinPartitions("part", "sig", "node")
-    return placed.mapInArrow(_forest_edges, "a long, b long")
+    return placed.mapInArrow(lean(_forest_edges), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import free, light_batches, parted, table, written
+from heliograph.llm.common import free, lean, light_batches, parted, table, written
 from heliograph.llm.decontamination import WORDS_SQL
 from heliograph.llm.textnum import chunks, hashed_words, mix64, windows, words
 
@@ -155,7 +155,7 @@ def _prefixes(docs: DataFrame) -> tuple[Prefixes, np.ndarray]:
                 g, n = np.unique(anchors(h, first)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
-    counted = slim.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = slim.mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     repeated = written(counted.where("n > 1"), "repeated-prefixes")
     bits = int(np.clip(int(max(repeated.count(), 1) * 64 - 1).bit_length(), _ROW_BITS, BITMAP_BITS.bit_length() - 1))
     row = repeated.select(F.shiftrightunsigned("g", 64 - bits).alias("at")).groupBy(F.shiftright("at", _ROW_BITS).alias("row"))
@@ -176,7 +176,7 @@ def _prefixes(docs: DataFrame) -> tuple[Prefixes, np.ndarray]:
                 g, at, n = np.unique(g, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(full[at]), pa.array(n)], ["g", "whole", "n"])
 
-    found = slim.mapInArrow(longer, "g long, whole boolean, n long").groupBy("g", "whole").agg(F.sum("n").alias("n")).where(F.col("n") > PACK)
+    found = slim.mapInArrow(lean(longer), "g long, whole boolean, n long").groupBy("g", "whole").agg(F.sum("n").alias("n")).where(F.col("n") > PACK)
     found = _most_crowded(written(found, "crowded-prefixes"))
     whole = as_hashes(found.where("whole"))
     return Prefixes(bits, prefixes.bitmap, np.union1d(prefixes.crowded, as_hashes(found))), whole
@@ -213,7 +213,7 @@ def _suffixes(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                     ["g", "key", "doc_id", "place", "low", "high", "around"],
                 )
 
-    return _keyed(docs).mapInArrow(run, _SUFFIXES)
+    return _keyed(docs).mapInArrow(lean(run), _SUFFIXES)
 
 
 def _crowded_windows(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
@@ -233,7 +233,7 @@ def _crowded_windows(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                     rows = pa.array(doc)
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *(batch.column(i).slice(lo, hi - lo).take(rows) for i in (0, 1)), pa.array(at)], ["g", "key", "doc_id", "place"])
 
-    rows = written(_keyed(docs).mapInArrow(run, _WINDOWS), "windows-of-crowded-prefixes")
+    rows = written(_keyed(docs).mapInArrow(lean(run), _WINDOWS), "windows-of-crowded-prefixes")
     oldest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "place")).alias("oldest")
     known = rows.distinct().groupBy("g").agg(F.count("*").alias("copies"), oldest).where("copies > 1")
     known = written(known.select("g", "copies", F.col("oldest.key").alias("first_key"), F.col("oldest.place").alias("first_place")), "crowded-windows")
@@ -347,7 +347,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     light_batches(docs.sparkSession)
     prefixes, whole = _prefixes(docs)
-    runs = _suffixes(docs, prefixes).repartition("g").sortWithinPartitions("g").mapInArrow(_trees, _RUNS)
+    runs = _suffixes(docs, prefixes).repartition("g").sortWithinPartitions("g").mapInArrow(lean(_trees), _RUNS)
     if len(whole):
         runs = runs.unionByName(_crowded_windows(docs, prefixes))
     by_place = Window.partitionBy("key", "kept").orderBy("start_word", "end_word")
@@ -390,7 +390,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rest.unionByName(marked.mapInArrow(run, docs.schema))
+    return rest.unionByName(marked.mapInArrow(lean(run), docs.schema))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.bpe import PATTERN, RANKS, TOKENS_SQL
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 
 #: Texts that are encoded in one call.
 AT_ONCE = 256
@@ -51,7 +51,7 @@ def encoded_lengths(docs: DataFrame, path: str = RANKS) -> DataFrame:
             n = [len(x) for lo in range(0, batch.num_rows, AT_ONCE) for x in encode([t or "" for t in batch.column(1).slice(lo, AT_ONCE).to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
