@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.common import light_batches, table
+from heliograph.llm.common import lean, light_batches, table
 from heliograph.llm.textnum import chunks
 
 #: Rank file of the tokenizer; a parameter of every function here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pieces; letters come first, which changes nothing but the time.
+PATTERN = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of pieces that a task remembers, each counted with PIECE_BYTES more; beyond that it starts afresh. A matter of memory alone.
 REMEMBERED_BYTES, PIECE_BYTES = 56 << 20, 170
 #: Bytes of text that are encoded at once; a matter of memory alone.
@@ -151,7 +152,6 @@ class Codec:
         """Gives back what the codec holds: worker processes outlive their tasks."""
         self.db.close()
         self.forget()
-        pa.default_memory_pool().release_unused()
 
     def forget(self) -> None:
         self.pieces, self.held = _Pieces(), 0
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 for part in _runs(batch, at):
                     yield pa.RecordBatch.from_arrays([*part.columns, one.encode(part.column(at).to_pylist())], [*part.schema.names, "tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, _TOKENS]))
 
 
 def decode(rows: DataFrame, path: str = RANKS, column: str = "tokens") -> DataFrame:
@@ -249,7 +249,7 @@ def decode(rows: DataFrame, path: str = RANKS, column: str = "tokens") -> DataFr
                     part = batch.slice(lo, 256)
                     yield pa.RecordBatch.from_arrays([*part.columns, one.decode(part.column(at))], [*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, _DECODED]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema, _DECODED]))
 
 
 def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
@@ -264,12 +264,13 @@ def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
                     tokens = one.encode(part.column(at).to_pylist())
                     yield pa.RecordBatch.from_arrays([*part.columns, tokens, one.decode(tokens)], [*part.schema.names, "tokens", "decoded"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, _TOKENS, _DECODED]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, _TOKENS, _DECODED]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs).select("doc_id", "tokens", F.size("tokens").alias("n_tokens"), "decoded")
+    text = F.array_join(F.col("tokens").cast("array<string>"), " ")  # token ids as text, which all engines compare alike
+    return encode_decode(docs).select("doc_id", text.alias("tokens"), F.size("tokens").alias("n_tokens"), "decoded")
 
 
 _SPACE = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -302,7 +303,7 @@ encoded AS (SELECT docs.r, doc_id, text, CASE WHEN text IS NOT NULL THEN coalesc
 ORACLE_SQL = (
     TOKENS_SQL
     + """
-SELECT doc_id, tokens, len(tokens)::INT AS n_tokens, CASE WHEN text IS NOT NULL THEN coalesce(decode(unhex(bytes)), '') END AS decoded
+SELECT doc_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::INT AS n_tokens, CASE WHEN text IS NOT NULL THEN coalesce(decode(unhex(bytes)), '') END AS decoded
 FROM encoded LEFT JOIN (
   SELECT r, string_agg(h, '' ORDER BY i) AS bytes FROM (SELECT r, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS t FROM encoded) JOIN ranks USING (t) GROUP BY r) USING (r)
 """
