@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import light_batches, table, written
+from heliograph.llm.common import lean, light_batches, table, written
 from heliograph.llm.textnum import chunks, hashed_words
 
 #: Classes of the model: 0 is the edge of a text, then frequent words, then the shared ones.
@@ -41,8 +41,8 @@ RATE = 0.05
 BLOCK = 64
 #: Tokens of the corpus for each group that words and word counts meet in; bounds a worker's memory.
 GROUP_TOKENS = 1 << 22
-#: Bytes of text of a chunk: its words of shared classes are asked for once.
-CHUNK = 4 << 20
+#: Bytes of text of a chunk: its words of shared classes are asked for once. Tokens of documents that travel in one row, one document at least.
+CHUNK, ROW_TOKENS = 4 << 20, 1 << 17
 #: Distinct words that a task counts before it passes them on; a matter of memory alone.
 HELD = 1 << 20
 
@@ -114,7 +114,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             counter.merge()
             yield counter.batch()
 
-    return _slim(docs).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _slim(docs).select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -272,13 +272,18 @@ def _places(planes: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _one(values: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _groups(vocab: Vocabulary) -> int:
     return 1 + int(vocab.counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // GROUP_TOKENS
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """The stored texts as classes, for train() and score(): a row for each chunk of documents (part null) with their ids, lengths, classes
-    and places of their words of shared classes, and rows (chunk, part, words) of the latter, once each, by the group of words that they are in."""
+    """The stored texts as classes, for train() and score(): rows of some documents of a chunk each (part null) with their ids, lengths, classes
+    and places of their words of shared classes, and rows (chunk, part, words) of the chunk's latter, once each, by the group of words that they are in."""
     light_batches(docs.sparkSession)
     sent, groups = docs.sparkSession.sparkContext.broadcast(vocab), _groups(vocab)
 
@@ -298,16 +303,22 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 place[order] = np.arange(len(order))
                 held, begin = np.unique(group[order], return_index=True)
                 asked = np.split(asked[order], begin[1:]) if len(held) else []
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                none = lambda kind, n=len(held): pa.nulls(n, kind)
-                cells = [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(np.diff(first))), *(pa.array([x.tobytes()], pa.binary()) for x in (w.astype(np.int16), _planes(place[at])))]
                 names = ["chunk", "part", "words", "doc_id", "n_tokens", "w", "place"]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), none(pa.int32(), 1), none(pa.binary(), 1), *cells], names)
+                n, w, place = np.diff(first), w.astype(np.int16), place[at]
+                before = np.concatenate([[0], np.cumsum(w >= CLASSES - SHARED)])
+                ids, row = batch.column(0).slice(lo, hi - lo), 0
+                while row < hi - lo:
+                    end = max(row + 1, int(np.searchsorted(first, first[row] + ROW_TOKENS, side="right")) - 1)
+                    x, y = first[row], first[end]
+                    cells = [_one(ids.slice(row, end - row)), _one(pa.array(n[row:end])), *(pa.array([z.tobytes()], pa.binary()) for z in (w[x:y], _planes(place[before[x] : before[y]])))]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *cells], names)
+                    row = end
+                none = [pa.nulls(len(held), k) for k in (pa.list_(ids.type), pa.list_(pa.int64()), pa.binary(), pa.binary())]
                 if len(held):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), chunk)), pa.array(held.astype(np.int32)), pa.array([x.tobytes() for x in asked], pa.binary()), *(none(x.type) for x in cells)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), chunk)), pa.array(held.astype(np.int32)), pa.array([x.tobytes() for x in asked], pa.binary()), *none], names)
                 chunk += 1
 
-    return written(_slim(docs).mapInArrow(run, _ENCODED), "classes")
+    return written(_slim(docs).mapInArrow(lean(run), _ENCODED), "classes")
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
@@ -344,7 +355,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
                     ["block", "part", "seen", "weights"],
                 )
 
-        means = slim.mapInArrow(run, schema).groupBy("block", "part").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema)
+        means = slim.mapInArrow(lean(run), schema).groupBy("block", "part").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema)
         got = sorted(means.select("block", "weights").collect())
         if got:
             model = Model.of(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in got]).reshape(CLASSES, width))
@@ -404,23 +415,25 @@ def score(encoded: DataFrame, vocab: Vocabulary, model: Model, tokens: bool = Fa
                 cells = np.arange(len(w) + 1) if tokens else first
                 total, before = np.concatenate([[0.0], np.cumsum(each)]), np.concatenate([[0], np.cumsum(w >= CLASSES - SHARED)])
                 base = each if tokens else total[first[1:]] - total[first[:-1]]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(base), pa.array(np.diff(before[cells]).astype(np.int32)))]
+                lists = [_one(pa.array(base)), _one(pa.array(np.diff(before[cells]).astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, 1) for x in (chunk, ids, n_tokens, place)), *lists], ["chunk", "doc_id", "n_tokens", "place", "base", "shared"])
 
     def joined(cells: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("part")
-        flat = lambda c: cells[c].combine_chunks().flatten()
-        n, base, count = (flat(c).to_numpy() for c in ("n_tokens", "base", "shared"))
         share = np.frombuffer(b"".join(found["shares"].to_pylist()), np.float32).astype(np.float64)
-        each = base + np.bincount(np.repeat(np.arange(len(base)), count), share[_places(cells["place"][0])], len(base))
-        first = np.concatenate([[0], np.cumsum(n)])
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        sums = total[first[1:]] - total[first[:-1]] if tokens else each
-        mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-        columns = [flat("doc_id"), pa.array(n), pa.array(sums.round(6)), pa.array(mean.round(6), mask=n == 0)]
-        if tokens:
-            columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(each.astype(np.float32))))
-        return pa.table(columns, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "token_log_probs"][: len(columns)])
+        out = []
+        for ids, n, base, count, place in zip(*(cells[c] for c in ("doc_id", "n_tokens", "base", "shared", "place")), strict=True):
+            n, base, count = (x.values.to_numpy() for x in (n, base, count))
+            each = base + np.bincount(np.repeat(np.arange(len(base)), count), share[_places(place)], len(base))
+            first = np.concatenate([[0], np.cumsum(n)])
+            total = np.concatenate([[0.0], np.cumsum(each)])
+            sums = total[first[1:]] - total[first[:-1]] if tokens else each
+            mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
+            columns = [ids.values, pa.array(n), pa.array(sums.round(6)), pa.array(mean.round(6), mask=n == 0)]
+            if tokens:
+                columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(each.astype(np.float32))))
+            out.append(pa.table(columns, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "token_log_probs"][: len(columns)]))
+        return pa.concat_tables(out)
 
     # the same group as in encode(): of the unsigned hash, without its bits that tell the class
     part = F.pmod(F.shiftrightunsigned("word", SHARED.bit_length() - 1), F.lit(groups).cast("long")).cast("int")
@@ -428,7 +441,7 @@ def score(encoded: DataFrame, vocab: Vocabulary, model: Model, tokens: bool = Fa
     asked = encoded.where("part is not null").select("part", "chunk", "words")
     found = counts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(shares, "chunk long, part int, shares binary")
     cells = encoded.where("part is null").select("chunk", "doc_id", "n_tokens", "w", "place")
-    cells = cells.mapInArrow(of_classes, "chunk long, doc_id array<long>, n_tokens array<long>, place binary, base array<double>, shared array<int>")
+    cells = cells.mapInArrow(lean(of_classes), "chunk long, doc_id array<long>, n_tokens array<long>, place binary, base array<double>, shared array<int>")
     return cells.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, "doc_id long, n_tokens long, log_prob double, mean_log_prob double" + ", token_log_probs array<float>" * tokens)
 
 
