@@ -288,3 +288,22 @@ def summary(left: DataFrame) -> DataFrame:
         return first
     rest = _medians(C.correlated(series.join(missed, "key", "left_semi"), series, gather=_stats(False), schema=_STATS))
     return first.where("median_correlation IS NOT NULL").unionByName(rest)
+
+
+def head(left: DataFrame, n: int = 50) -> DataFrame:
+    """filters.first_of_matrix of all pairs: only the first keys meet all others, to tell which have a pair, and then each other."""
+
+    def gather(keys, tags, tiles, alone) -> Iterator[dict]:
+        seen = np.zeros(len(keys), bool)
+        for x, y, n, _ in tiles:
+            seen[x] |= ((n > 0) & (keys[x][:, None] != keys[y])).any(1)
+        yield {"key": keys[seen]}
+
+    series = cut(C.packed(left))
+    whole, tried = series.count(), n + 14
+    while True:
+        some = C.correlated(cut(series.orderBy("key").limit(tried)), series, gather=gather, schema="key key").distinct().orderBy("key").limit(n)
+        some = cut(some)
+        if tried >= whole or some.count() >= n:
+            return C.correlate(series.join(F.broadcast(some), "key", "left_semi"))
+        tried *= 2

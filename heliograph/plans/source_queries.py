@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.operators import clustering as K
-from heliograph.operators import correlation as C
+from heliograph.operators import gathered as B
 from heliograph.operators import filters, store
 from heliograph.plans.registry import day, query, r6
 from heliograph.plans.series_queries import _P
@@ -206,7 +206,7 @@ def p11(spark, d):
 
 @query("p14_heat_map", f"{_P.replace(' RECURSIVE', '')}, ids AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs ORDER BY id LIMIT 50) SELECT a, b, round(corr, 6) + 0.0 AS corr FROM pairs WHERE a IN (SELECT id FROM ids) AND b IN (SELECT id FROM ids)")
 def p14(spark, d):
-    return filters.first_of_matrix(C.correlate(T.series(spark, d))).select("a", "b", r6("corr").alias("corr"))
+    return B.head(T.series(spark, d)).select("a", "b", r6("corr").alias("corr"))
 
 
 @query("p15_highlights", "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS operator_match, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AS field_match, c_custkey = 7 AS selected FROM customer")
