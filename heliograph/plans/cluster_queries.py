@@ -16,6 +16,7 @@ from heliograph.operators import series as S
 from heliograph.operators import validation as V
 from heliograph.plans.registry import query, r6
 from heliograph.plans.series_queries import _P, _returns
+from heliograph.runtime import cut
 from heliograph.sources import tables as T
 
 _POINTS_SQL = "points AS (SELECT vec_id AS key, label AS cluster, embedding::DOUBLE[] AS vector FROM embeddings)"
@@ -34,8 +35,8 @@ def _parts(spark, d):
 
 
 def _features(spark, d):
-    """(key, ...): moments of each supplier's returns."""
-    return X.moments(_returns(spark, d)).drop("n")
+    """(key, ...): moments of each supplier's returns, stored once: what fits a model reads them many times."""
+    return cut(X.moments(_returns(spark, d)).drop("n"))
 
 
 _MOMENTS = ["mean_return", "std_return", "downside_deviation", "sortino_ratio", "var_95", "tail_ratio"]
