@@ -136,7 +136,7 @@ def hurst(returns: DataFrame, most: int = 50) -> DataFrame:
 def risk_features(series: DataFrame) -> DataFrame:
     """One row of features for each series that passes the gates, with missing values filled by defaults or medians.
 
-    Returns and moments are stored once: each family of features reads them.
+    Returns and moments are stored once: each family of features reads them. So are the features, which are read for their medians and to be filled.
     """
     returns = cut(S.relative_changes(gated(series)))
     base = cut(moments(returns))
@@ -146,7 +146,7 @@ def risk_features(series: DataFrame) -> DataFrame:
     out = out.withColumn("volatility_stability", F.when(F.col("n") >= 40, F.col("volatility_stability")))
     out = out.withColumn("monthly_consistency", F.when((F.col("n") >= 60) & (F.col("months") > 2), F.col("consistency"))).drop("months", "consistency")
     out = out.withColumn("calmar_ratio", calmar(F.col("mean_return"), F.col("max_drawdown")))
-    return out.join(regime(returns), "key", "left").transform(fill)
+    return cut(out.join(regime(returns), "key", "left")).transform(fill)
 
 
 def fill(features: DataFrame) -> DataFrame:
