@@ -16,35 +16,59 @@ def squared_distance(x: Column, y: Column) -> Column:
 
 #: Points of a block of silhouette(), at most: two blocks of them meet in a task.
 BLOCK_POINTS = 8192
+#: Distances that are held at a time.
+HELD = 1 << 20
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows of x and y by one product of matrices; those so small that the product loses digits are taken again from differences."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    d = x @ (-2.0 * y.T)
+    d += xx[:, None]
+    d += yy
+    i, j = np.nonzero(~(d > 1e-4 * (xx.max(initial=0.0) + yy.max(initial=0.0))))
+    for k in range(0, len(i), HELD // max(1, x.shape[1])):
+        part = slice(k, k + HELD // max(1, x.shape[1]))
+        d[i[part], j[part]] = ((x[i[part]] - y[j[part]]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
 
 
 def silhouette(points: DataFrame) -> DataFrame:
     """(n, silhouette) of (key, cluster, vector array<double>) by plain Euclidean distance; members of clusters of one count 0.
 
-    Quadratic in the points, as the measure is: points are dealt into blocks, each two blocks meet in one task, and what leaves it is
+    Quadratic in the points, as the measure is: points are dealt into blocks, each two blocks meet once in one task, for the points of both, and what leaves it is
     a sum for each point and cluster.
     """
     rows = cut(points.select(F.monotonically_increasing_id().alias("i"), F.col("cluster").cast("long").alias("c"), F.col("vector").cast("array<double>").alias("v")))
     n, tasks = rows.count(), 2 * points.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // BLOCK_POINTS), min(-(-n // 256), int(np.ceil(np.sqrt(tasks)))))
+    blocks = max(1, -(-n // BLOCK_POINTS), min(-(-n // 256), int(np.ceil(np.sqrt(2 * tasks)))))
     own, other = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    both = rows.select("*", own.alias("p"), other.alias("q"), F.lit(0).alias("side")).unionByName(rows.select("*", own.alias("q"), other.alias("p"), F.lit(1).alias("side")))
+    each = rows.select("*", own.alias("own"), other.alias("other"))
+    both = each.select("i", "c", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
     def sums(t: pa.Table) -> pa.Table:
         side, i, c = (t[x].to_numpy() for x in ("side", "i", "c"))
-        v = np.array(t["v"].to_pylist(), float).reshape(len(side), -1)
-        ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        clusters, code = np.unique(c[theirs], return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        theirs, head = theirs[order], np.searchsorted(code[order], np.arange(len(clusters)))
-        out = np.zeros((len(ours), len(clusters)))
-        if len(theirs):
-            step = max(1, (1 << 22) // (len(theirs) * v.shape[1]))
+        v = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t["v"].chunks]).reshape(len(side), -1)
+        alone, out = t["p"][0].as_py() == t["q"][0].as_py(), []
+        sides = [np.flatnonzero(side == 0)] * 2 if alone else [np.flatnonzero(side == s) for s in (0, 1)]
+        ours, theirs = (rows[np.argsort(c[rows], kind="stable")] for rows in sides)
+        (mine, m), (yours, k) = (np.unique(c[rows], return_counts=True) for rows in (ours, theirs))
+        first, head = np.cumsum(m) - m, np.cumsum(k) - k
+        forth, back, centre = np.zeros((len(ours), len(yours))), np.zeros((len(mine), len(theirs))), v.mean(0)
+        if len(ours) and len(theirs):
+            x, y = v[ours] - centre, v[theirs] - centre  # smaller numbers, so that products keep more digits
+            step = max(1, HELD // len(theirs))
             for a in range(0, len(ours), step):
-                d = np.sqrt(((v[ours[a : a + step], None] - v[None, theirs]) ** 2).sum(2))
-                out[a : a + step] = np.add.reduceat(d, head, axis=1)
-        size = np.bincount(code, minlength=len(clusters))
-        return pa.table({"i": np.repeat(i[ours], len(clusters)), "ci": np.repeat(c[ours], len(clusters)), "cj": np.tile(clusters, len(ours)), "d": out.ravel(), "n": np.tile(size, len(ours)).astype(np.int64)})
+                d = distances(x[a : a + step], y)
+                if alone:
+                    d[np.arange(len(d)), np.arange(a, a + len(d))] = 0.0
+                forth[a : a + step] = np.add.reduceat(d, head, axis=1)
+                if not alone:
+                    at = np.unique(np.maximum(first[(first < a + step) & (first + m > a)], a)) - a
+                    back[(first < a + step) & (first + m > a)] += np.add.reduceat(d, at, axis=0)
+        for rows, code, size, found in ((ours, yours, k, forth), *(() if alone else ((theirs, mine, m, back.T),))):
+            out.append(pa.table({"i": np.repeat(i[rows], len(code)), "ci": np.repeat(c[rows], len(code)), "cj": np.tile(code, len(rows)), "d": found.ravel(), "n": np.tile(size, len(rows)).astype(np.int64)}))
+        return pa.concat_tables(out)
 
     found = both.groupBy("p", "q").applyInArrow(sums, "i long, ci long, cj long, d double, n long").groupBy("i", "ci", "cj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     mean = F.try_divide(F.col("d"), F.col("n") - (F.col("ci") == F.col("cj")).cast("long"))  # a point isn't its own neighbour
