@@ -29,3 +29,19 @@ def test_distances_by_products(monkeypatch):
     want = np.sqrt(((x[:, None] - y) ** 2).sum(2))
     got = validation.distances(x, y)
     assert np.allclose(got, want, rtol=1e-9, atol=0) and (got[np.arange(20), np.arange(20)] == 0).all()
+
+
+def test_correlations_are_finished_a_tile_at_a_time():
+    from heliograph.operators import correlation
+
+    rng, days = np.random.default_rng(6), np.arange(90)
+    grown = 1e7 * (1.01**days - 1)
+    series = [np.cumsum(rng.normal(size=90)) * 1e4, grown + 1e-3 * np.sin(days), np.full(90, 3.0), np.where(days == 5, -1e7, days)]
+    dates = [days[: 40 + 10 * k] for k in range(4)]
+    flat, edges = np.concatenate([s[d] for s, d in zip(series, dates, strict=True)]), np.cumsum([0, *map(len, dates)])
+    for x in (series[0], grown + 1e-3 * np.sin(days + 1)):
+        args = x, np.ones(90, bool), np.concatenate(dates), flat, edges
+        n, corr = correlation.kernel(*args, 20, 1e7)
+        days_, sums = correlation.moments(*args, 1e7)
+        m, c, odd = correlation.of_moments(days_, list(sums), 20)
+        assert (m == n).all() and np.allclose(c[~odd], corr[~odd], rtol=0, atol=1e-8, equal_nan=True) and odd[1]
