@@ -45,3 +45,21 @@ def test_correlations_are_finished_a_tile_at_a_time():
         days_, sums = correlation.moments(*args, 1e7)
         m, c, odd = correlation.of_moments(days_, list(sums), 20)
         assert (m == n).all() and np.allclose(c[~odd], corr[~odd], rtol=0, atol=1e-8, equal_nan=True) and odd[1]
+
+
+def test_rolling_correlations_of_few_long_pairs_dont_widen_the_others(monkeypatch):
+    from heliograph.operators import correlation
+
+    held, wide, medians = {}, [], correlation.rolling_medians
+    monkeypatch.setattr(correlation, "meet", lambda left, right, kernel, columns: held.update(kernel=kernel))
+    monkeypatch.setattr(correlation, "rolling_medians", lambda r, s, n, *more: wide.append((r.size, n.sum())) or medians(r, s, n, *more))
+    correlation.rolling(None)
+    rng = np.random.default_rng(7)
+    x = np.cumsum(rng.normal(size=600)) * 1e4
+    dates = [np.arange(600), *[np.sort(rng.permutation(600)[: 70 + k]) for k in range(30)], np.arange(40)]
+    flat = [x[d] + np.cumsum(rng.normal(size=len(d))) * 1e4 for d in dates]
+    ask = lambda d, v: held["kernel"](x, np.ones(600, bool), np.concatenate(d), np.concatenate(v), np.cumsum([0, *map(len, d)]))
+    n, corr = ask(dates, flat)
+    assert sum(a for a, _ in wide) < 1.3 * sum(b for _, b in wide)
+    alone = [ask([d], [v]) for d, v in zip(dates, flat, strict=True)]
+    assert (n == [a[0] for a, _ in alone]).all() and np.allclose(corr, [b[0] for _, b in alone], rtol=0, atol=1e-12) and corr[-1] == 0 and (corr[:-1] != 0).any()
