@@ -158,3 +158,19 @@ def test_volatilities_of_all_paired_keys_count(spark, monkeypatch):
     more = spark.createDataFrame([*((f"k{i}", 9.0) for i in range(9)), *own], "key string, std_return double")
     weights = lambda v: sorted((r.key, round(r.weight, 9)) for r in clustering.risk_parity(pairs, v).collect())
     assert weights(more.coalesce(1)) == weights(spark.createDataFrame(own, "key string, std_return double"))
+
+
+def test_a_join_in_cells_gives_the_same_and_shuffles_no_joined_rows(spark):
+    import inspect
+
+    from heliograph.plans import QUERIES
+
+    s = walk(spark, 9, 120)
+    odd = s.unionByName(s.limit(9).withColumn("date", F.lit(None).cast("date"))).unionByName(s.limit(9).withColumn("key", F.lit(None).cast("long")))
+    want = pairs(correlation.pairs_by_join(s))
+    for joined in (1, 400, 10**6):
+        assert pairs(correlation.pairs_by_join(odd, joined=joined)) == want
+    assert pairs(correlation.pairs_by_join(s.where("key < 0"), joined=400)) == {}
+    plan = correlation.pairs_by_join(s, joined=400)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(i#") == 1 and plan.count("Exchange") == 1 and "Window" in plan
+    assert "joined=" in inspect.getsource(QUERIES["m1_pair_correlation_by_join"])
