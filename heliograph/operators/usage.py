@@ -11,6 +11,18 @@ def token_usage(used: DataFrame, token: str, extra: list[str] | None = None) ->
     return used.groupBy(token, *(extra or [])).agg(F.countDistinct("id").alias("unique_count"), F.sum("n").cast("long").alias("nominal_count"))
 
 
+def usage_by_region(used: DataFrame, token: str) -> DataFrame:
+    """(token, region, signals): the number of ids that use a token in a region and, with a null region, in all.
+
+    An id counts for all in the first of its regions, so rows aren't repeated for each of the two; they stay where rows of equal id and token are.
+    """
+    w = Window.partitionBy("id", token).orderBy("region")
+    each = used.select("id", token, "region").distinct().withColumn("_first", (F.row_number().over(w) == 1) & F.col("id").isNotNull())
+    per = each.groupBy(token, "region").agg(F.count("id").alias("_in"), F.count_if("_first").alias("_all"))
+    out = per.groupingSets([[token, "region"], [token]], token, "region").agg(F.grouping("region").alias("_g"), F.sum("_in").alias("_in"), F.sum("_all").alias("_all"))
+    return out.select(token, "region", F.when(F.col("_g") == 1, F.col("_all")).otherwise(F.col("_in")).alias("signals"))
+
+
 def token_ids(used: DataFrame, token: str) -> DataFrame:
     """For each token the sorted ids that use it."""
     return used.groupBy(token).agg(F.array_sort(F.collect_set("id")).alias("ids"))

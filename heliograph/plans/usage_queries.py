@@ -177,8 +177,7 @@ def a7(spark, d):
 
 @query("a8_usage_by_region", _U + "SELECT field, coalesce(region, 'all') AS region, count(DISTINCT id) AS signals FROM usage GROUP BY GROUPING SETS ((field, region), (field))")
 def a8(spark, d):
-    u = T.usage(spark, d)
-    return u.rollup("field", "region").agg(F.countDistinct("id").alias("signals")).where("field IS NOT NULL").select("field", F.coalesce("region", F.lit("all")).alias("region"), "signals")
+    return U.usage_by_region(T.usage(spark, d), "field").where("field IS NOT NULL").select("field", F.coalesce("region", F.lit("all")).alias("region"), "signals")
 
 
 @query(

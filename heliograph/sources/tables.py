@@ -118,11 +118,19 @@ def best_value_column(df: DataFrame, key: str, date: str, first: str, second: st
 
 # --- the data model on the star schema ---
 
+#: Rows of a partition of spread().
+ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows of a file in partitions by columns, of about ROWS rows each at every size: what is grouped by these columns needs no other shuffle, and a task's memory doesn't grow with a split."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS)), *by)  # counted from the footers
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each supplier: id, name, region, universe, kind, delay, score."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
@@ -156,7 +164,8 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, field, n, region): how often each signal uses each field, and the signal's region."""
-    used = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("field")).agg(F.count("*").alias("n"))
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("field")), "id", "field")
+    used = lines.groupBy("id", "field").agg(F.count("*").alias("n"))
     return used.join(F.broadcast(signals(spark, sf_dir).select("id", "region")), "id").select("id", "field", "n", "region")
 
 

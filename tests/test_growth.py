@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from heliograph.operators import features, validation
-from heliograph.plans import cluster_queries
+from heliograph.plans import QUERIES, cluster_queries
 from heliograph.sources import tables
+from pyspark.sql import functions as F
 
 
 def plan(df) -> str:
@@ -63,3 +64,24 @@ def test_rolling_correlations_of_few_long_pairs_dont_widen_the_others(monkeypatc
     assert sum(a for a, _ in wide) < 1.3 * sum(b for _, b in wide)
     alone = [ask([d], [v]) for d, v in zip(dates, flat, strict=True)]
     assert (n == [a[0] for a, _ in alone]).all() and np.allclose(corr, [b[0] for _, b in alone], rtol=0, atol=1e-12) and corr[-1] == 0 and (corr[:-1] != 0).any()
+
+
+def test_ids_of_several_regions_count_once_in_all(spark):
+    from heliograph.operators import usage
+
+    rows = [(1, "f", "a"), (1, "f", "b"), (2, "f", "a"), (2, "f", "a"), (3, "f", None), (None, "f", "a"), (1, "g", "b"), (None, "h", "b")]
+    used = spark.createDataFrame(rows, "id long, field string, region string")
+    want = used.rollup("field", "region").agg(F.countDistinct("id").alias("signals")).where("field IS NOT NULL")
+    key = lambda r: (r.field, str(r.region), r.signals)
+    assert sorted(map(key, usage.usage_by_region(used, "field").collect())) == sorted(map(key, want.collect()))
+
+
+def test_usage_is_shuffled_once_into_tasks_of_bounded_rows(spark, sf, monkeypatch):
+    import re
+
+    monkeypatch.setattr(tables, "ROWS", 500)
+    for name in ("a8_usage_by_region", "a16_usage_bands", "a1_token_usage"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        lines = tables.table(spark, sf, "lineitem").count()
+        assert re.findall(r"hashpartitioning\(id#\w+, field#\w+, (\d+)\)", plan) == [str(-(-lines // 500))], name
+        assert not re.search(r"Exchange hashpartitioning\([^)]*\bid#[^)]*\), ENSURE", plan.replace("spark_grouping_id", "")), name
