@@ -114,6 +114,12 @@ def parse(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id
     (region, field) rows of `fields`, which is joined rather than collected.  A null region takes a field of any region.
     Null and empty expressions use nothing and aren't excluded.  Rows of equal region and expression are parsed once.
     """
+    rows, once_ = parse_apart(df, available, fields, key, expression, region)
+    return rows.join(once_.drop(region), "_same").drop("_same")
+
+
+def parse_apart(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id", expression: str = "code", region: str = "region") -> tuple[DataFrame, DataFrame]:
+    """What parse() joins: (key, region, _same) of each row, and what parse() gives of each distinct region and expression, by _same."""
     same = F.md5(F.concat_ws("\u0001", F.hex(region), F.col(region).isNull().cast("string"), F.hex(expression)))
     rows = df.select(key, region, same.alias("_same"), expression)
     t = tokens(rows.select("_same", region, expression).distinct(), expression, available)
@@ -131,6 +137,7 @@ def parse(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id
     unknown = F.concat(F.transform("unknown_operators", lambda x: F.concat(F.lit("operator:"), x)), F.transform(F.coalesce("_unknown", empty), lambda x: F.concat(F.lit("datafield:"), x)))
     out = once(out, _unrecognised=unknown).select(
         "_same",
+        region,
         "operators",
         "operator_counts",
         "fields",
@@ -138,7 +145,7 @@ def parse(df: DataFrame, available: list[str], fields: DataFrame, key: str = "id
         (F.size("_unrecognised") > 0).alias("excluded"),
         F.when(F.size("_unrecognised") > 0, F.concat(F.lit("Unrecognized components: "), F.array_join("_unrecognised", ", "))).alias("reason"),
     )
-    return rows.select(key, region, "_same").join(out, "_same").drop("_same")
+    return rows.select(key, region, "_same"), out
 
 
 def parse_missing(df: DataFrame, cache: DataFrame, available: list[str], fields: DataFrame, key: str = "id", expression: str = "code", region: str = "region") -> DataFrame:

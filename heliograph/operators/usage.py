@@ -141,6 +141,34 @@ def batch_categories(parsed: DataFrame, categories: DataFrame, key: str = "id")
     return token_usage(used, "category")
 
 
+def analysis_of_distinct(rows: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
+    """batch_analysis() of what parse_apart() gives."""
+    gone = parsed.where("excluded").select("_same", F.lit("excluded").alias("kind"), F.col("reason").alias("token"), F.lit(1).alias("n"))
+    labels = parsed_tokens(parsed, "_same").select(F.col("id").alias("_same"), "kind", "token", "n").unionByName(gone)
+    return counted(rows, labels, ["kind", "token"], key).withColumn("unique_count", F.when(F.col("kind") == "excluded", F.col("nominal_count")).otherwise(F.col("unique_count")))
+
+
+def categories_of_distinct(rows: DataFrame, parsed: DataFrame, categories: DataFrame, key: str = "id") -> DataFrame:
+    """batch_categories() of what parse_apart() gives."""
+    used = parsed_tokens(parsed, "_same").where("kind = 'field'").join(categories.select(F.lower(F.col("field").cast("string")).alias("token"), "category"), "token")
+    return counted(rows, used.select(F.col("id").alias("_same"), "category", "n"), ["category"], key)
+
+
+def counted(rows: DataFrame, labels: DataFrame, by: list[str], key: str = "id") -> DataFrame:
+    """(*by, unique_count, nominal_count) of labels (_same, *by, n) over rows (key, _same): ids of each label, and the sum of its n.
+
+    Ids of one _same alone, which is nearly all, are counted for each _same before it is joined with its labels; only the others are counted as ids of a label.
+    A row isn't repeated for its labels, and its _same goes through the shuffle as two numbers.
+    """
+    same = [F.xxhash64("_same").alias("_a"), F.xxhash64("_same", F.lit(7)).alias("_b")]
+    each = rows.select(key, *same).groupBy(key, "_a", "_b").agg(F.count("*").alias("_times"))
+    each = each.withColumn("_several", F.count("*").over(Window.partitionBy(key)) > 1)  # a null id is no id, but its row's n counts
+    met = each.groupBy("_a", "_b", F.when(F.col("_several"), F.col(key)).alias("_id")).agg(F.sum("_times").alias("_times"), F.count(key).alias("_ids"))
+    per = labels.groupBy("_same", *by).agg(F.sum("n").alias("n")).select(*same, *by, "n")
+    out = met.join(per, ["_a", "_b"]).groupBy(*by).agg(F.sum(F.when(F.col("_id").isNull(), F.col("_ids")).otherwise(0)).alias("_one"), F.countDistinct("_id").alias("_more"), F.sum(F.col("n") * F.col("_times")).cast("long").alias("nominal_count"))
+    return out.select(*by, (F.col("_one") + F.col("_more")).alias("unique_count"), "nominal_count")
+
+
 def batch_statistics(parsed: DataFrame) -> DataFrame:
     """(total, analysed, excluded, percent_excluded) of a batch."""
     total, gone = F.count("*"), F.count_if("excluded")

@@ -62,14 +62,20 @@ def _parsed(spark, d):
     return X.parse(_expressions(spark, d), AVAILABLE, _expression_fields(spark))
 
 
+def _parsed_apart(spark, d):
+    """Rows by id, in partitions of bounded size, and what each distinct expression parses to."""
+    rows, parsed = X.parse_apart(_expressions(spark, d), AVAILABLE, _expression_fields(spark))
+    return T.spread(rows.select("id", "_same"), "id"), parsed
+
+
 @query("x_parser_table", f"WITH {_USED} SELECT kind, token, count(DISTINCT id) AS unique_count, sum(n)::BIGINT AS nominal_count FROM used GROUP BY 1, 2 UNION ALL SELECT 'excluded', 'Unrecognized components: ' || array_to_string(unknown, ', '), count(*), count(*) FROM parsed WHERE len(unknown) > 0 GROUP BY 2")
 def x_table(spark, d):
-    return U.batch_analysis(_parsed(spark, d))
+    return U.analysis_of_distinct(*_parsed_apart(spark, d))
 
 
 @query("x19_batch_categories", f"WITH {_USED} SELECT 'c' || (substr(token, 2)::INT % 7) AS category, count(DISTINCT id) AS unique_count, sum(n)::BIGINT AS nominal_count FROM used WHERE kind = 'field' GROUP BY 1")
 def x19_categories(spark, d):
-    return U.batch_categories(_parsed(spark, d), _expression_fields(spark).select("field", "category").distinct())
+    return U.categories_of_distinct(*_parsed_apart(spark, d), _expression_fields(spark).select("field", "category").distinct())
 
 
 @query("x19_batch_statistics", f"WITH {_EXPRESSIONS} SELECT count(*) AS total, count(*) FILTER (len(unknown) = 0) AS analysed, count(*) FILTER (len(unknown) > 0) AS excluded, round(count(*) FILTER (len(unknown) > 0) * 100.0 / count(*), 2)::DOUBLE AS percent_excluded FROM parsed")

@@ -85,3 +85,24 @@ def test_usage_is_shuffled_once_into_tasks_of_bounded_rows(spark, sf, monkeypatc
         lines = tables.table(spark, sf, "lineitem").count()
         assert re.findall(r"hashpartitioning\(id#\w+, field#\w+, (\d+)\)", plan) == [str(-(-lines // 500))], name
         assert not re.search(r"Exchange hashpartitioning\([^)]*\bid#[^)]*\), ENSURE", plan.replace("spark_grouping_id", "")), name
+
+
+def test_ids_are_counted_by_distinct_expressions(spark):
+    from heliograph.functions import expressions
+    from heliograph.operators import usage
+
+    codes = ["rank(a) + b", "rank(b)", "a * a", "mystery(a)", None, "rank(nothing)"]
+    ids = [(i // 3 if i % 4 else i, codes[i * 7 % 6]) for i in range(60)] + [(1, codes[0]), (1, codes[0]), (None, codes[1]), (None, codes[2])]
+    rows = spark.createDataFrame(ids, "id long, code string").withColumn("region", F.lit("A"))
+    fields = spark.createDataFrame([("A", "a", "x"), ("A", "b", "x"), ("A", "b", "y")], "region string, field string, category string")
+    available = ["rank", "add", "multiply"]
+    whole, apart = expressions.parse(rows, available, fields), expressions.parse_apart(rows, available, fields)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(usage.analysis_of_distinct(*apart)) == key(usage.batch_analysis(whole))
+    assert key(usage.categories_of_distinct(*apart, fields)) == key(usage.batch_categories(whole, fields.select("field", "category")))
+
+
+def test_lines_are_not_repeated_for_their_tokens(spark, sf):
+    for name in ("x_parser_table", "x19_batch_categories"):
+        text = plan(QUERIES[name](spark, sf))
+        assert "RepartitionByExpression [id" in text and "count(distinct id#" not in text, name
