@@ -41,3 +41,13 @@ def test_pairs_of_copies(spark, small, monkeypatch, together):  # noqa: F811
     strong = graph.network(p, 0.2).cache()
     assert rows(gathered.degrees(s, 0.2)) == rows(graph.degrees(strong))
     assert rows(gathered.summary(s)) == rows(correlation.summary(p))
+
+
+def test_rounding_of_many_is_rounding(spark):
+    from heliograph.plans.registry import r6, r6_of_many
+
+    rng, halves = np.random.default_rng(8), (np.arange(-40, 40) + 0.5) / 1e6
+    values = [*rng.uniform(-2, 2, 2000), *halves, *np.nextafter(halves, 1), *np.nextafter(halves, -1), -0.0, 1e-7, -4e-7, np.nan, np.inf, -np.inf, 1234567.8912345, 1e300, None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    got = df.select(r6_of_many("v").alias("got"), r6("v").alias("want"))
+    assert got.where("NOT got <=> want").isEmpty() and got.where("cast(got AS string) = '-0.0'").isEmpty()
