@@ -51,3 +51,26 @@ def test_rounding_of_many_is_rounding(spark):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
     got = df.select(r6_of_many("v").alias("got"), r6("v").alias("want"))
     assert got.where("NOT got <=> want").isEmpty() and got.where("cast(got AS string) = '-0.0'").isEmpty()
+
+
+def test_few_edges_are_sorted_for_a_tree_of_copies(spark, monkeypatch):
+    held, sorted_, forest = {}, [], gathered.forest
+    monkeypatch.setattr(gathered.C, "correlated", lambda left, gather, schema: held.update(gather=gather) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        gathered.minimum_spanning_tree(None, lambda c: c)
+    monkeypatch.setattr(gathered, "forest", lambda a, b, w, n: sorted_.append(len(a)) or forest(a, b, w, n))
+    rng, n = np.random.default_rng(9), 300
+    w = np.round(rng.normal(1.4, 0.1, (n // 6, n // 6)), 9)
+    w = np.repeat(np.repeat(np.minimum(w, w.T), 6, 0), 6, 1)
+    w[np.arange(n)[:, None] // 6 == np.arange(n) // 6] = 0
+    w[7, 8:] = w[:7, 7] = np.nan  # a key without a correlation
+    at, tiles = np.arange(n), []
+    for hi in range(0, n, 60):
+        for lo in range(0, hi + 60, 100):
+            x, y = at[lo : min(lo + 100, hi + 60)], at[hi : hi + 60]
+            tiles.append((x, y, np.where(x[:, None] < y, 30, 0), [None, w[np.ix_(x, y)]]))
+    (got,) = list(held["gather"](at, None, iter(tiles), True))
+    a, b = np.triu_indices(n, 1)
+    keep = forest(a, b, w[a, b], n)
+    assert set(zip(got["a"], got["b"], strict=True)) == set(zip(a[keep], b[keep], strict=True)) and len(keep) == n - 1
+    assert sum(sorted_) < 0.6 * n * (n - 1) / 2
